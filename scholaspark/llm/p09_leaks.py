@@ -34,8 +34,8 @@ from scholaspark.llm.common import BROADCAST_LIMIT, WORD, bounded_rows, table
 
 WORDS = 13
 EDITS = 2
-TABLES = 6
-BITS = 8
+TABLES = 12
+BITS = 9
 SEED = 20240917
 #: Most items that the driver takes up, and most windows in one block of them.
 MAX_ITEMS = 100_000
@@ -58,13 +58,17 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=4)
 def _walk(words: int, tables: int, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers: of each step's random bit, and of each table's samples."""
+    """Odd multipliers: of each step's random bit, and of each table's samples.
+
+    The pointer moves at every other step on average, so the samples are taken
+    from the first ``2 * words`` steps; later ones mostly put out the padding.
+    """
     rng = np.random.default_rng(seed)
     steps = 3 * words
     turn = rng.integers(0, 2**63, steps, np.uint64) * np.uint64(2) + np.uint64(1)
     sample = np.zeros((tables, steps), np.uint64)
     for t in range(tables):
-        at = rng.choice(steps, bits, replace=False)
+        at = rng.choice(2 * words, bits, replace=False)
         sample[t, at] = rng.integers(0, 2**63, bits, np.uint64) * np.uint64(2) + np.uint64(1)
     return turn, sample
 
@@ -130,13 +134,14 @@ class ItemBlock:
         at = np.arange(max(len(found) - words + 1, 0))
         at = at[owner[at] == owner[at + words - 1]] if len(at) else at
         first = np.searchsorted(owner, np.arange(len(items)))
-        self.owner, self.offset = owner[at], at - first[owner[at]]
+        self.symbols, self.at, self.owner, self.offset = found, at, owner[at], at - first[owner[at]]
         keys = embed(found, at, words, tables, bits, seed)
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, 1)
 
-    def candidates(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, word offset in it, item, word offset in it), each once."""
+    def candidates(self, texts: list[str], edits: int) -> Iterator[tuple[int, int, int, int]]:
+        """(text, word offset in it, item, word offset in it), each once, of
+        the colliding windows that have all but ``edits`` words in common."""
         found, owner = symbols(texts)
         n = self.words
         if len(found) < n or not self.keys.shape[1]:
@@ -145,24 +150,29 @@ class ItemBlock:
         at = at[owner[at] == owner[at + n - 1]]
         keys = embed(found, at, n, self.tables, self.bits, self.seed)
         first = np.searchsorted(owner, np.arange(len(texts)))
-        seen = set()
+        pairs = []
         for t in range(self.tables):
             low = np.searchsorted(self.keys[t], keys[t], "left")
             hit = np.flatnonzero(self.keys[t][np.minimum(low, self.keys.shape[1] - 1)] == keys[t])
-            high = np.searchsorted(self.keys[t], keys[t][hit], "right")
-            for w, a, b in zip(hit.tolist(), low[hit].tolist(), high.tolist()):
-                text = int(owner[at[w]])
-                for k in self.order[t, a:b].tolist():
-                    row = text, int(at[w] - first[text]), int(self.owner[k]), int(self.offset[k])
-                    if row not in seen:
-                        seen.add(row)
-                        yield row
+            low = low[hit]
+            many = np.searchsorted(self.keys[t], keys[t][hit], "right") - low
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            pairs.append(np.repeat(hit, many) * self.keys.shape[1] + self.order[t][np.repeat(low, many) + inside])
+        pairs = np.unique(np.concatenate(pairs))
+        window = np.arange(n)
+        for begin in range(0, len(pairs), 20_000):
+            w, k = np.divmod(pairs[begin : begin + 20_000], self.keys.shape[1])
+            a, b = found[at[w][:, None] + window], self.symbols[self.at[k][:, None] + window]
+            common = (a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1)
+            for x, y in zip(w[common >= n - edits].tolist(), k[common >= n - edits].tolist()):
+                text = int(owner[at[x]])
+                yield text, int(at[x] - first[text]), int(self.owner[y]), int(self.offset[y])
 
     def matches(self, texts: list[str], edits: int) -> dict[tuple[int, int], tuple[int, int]]:
         """By (text, item): the least distance and the windows within edits."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
         split: dict[int, list[str]] = {}
-        for text, i, item, j in self.candidates(texts):
+        for text, i, item, j in self.candidates(texts, edits):
             if text not in split:
                 split[text] = WORD.findall(texts[text].lower())
             d = edit_distance(split[text][i : i + self.words], self.lists[item][1][j : j + self.words], edits)
