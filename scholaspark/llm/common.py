@@ -52,3 +52,30 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
 
 
 WORD = re.compile(r"[^\W_]+")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label): connected components of the edges (a, b); the label is
+    the least node of the component.
+
+    Every node takes the least label around it, then the label of its label,
+    until nothing changes, so the rounds grow with the logarithm of the longest
+    chain. Each round is written to the shared folder; only a count of changes
+    comes to the driver.
+    """
+    from pyspark.sql import functions as F
+
+    one = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node is not null and other is not null and node <> other")
+    both = written(one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = written(
+            labels.join(near, "node", "left")
+            .join(jump, "label", "left")
+            .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("theirs", "label"), F.coalesce("further", "label")).alias("label"))
+        )
+        if new.where("old <> label").limit(1).count() == 0:
+            return new.select("node", "label")
+        labels = new.select("node", "label")
