@@ -138,9 +138,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p4_pairs": p4_pairs, "p4_found": p4_found}
 _SQL = r"""
 WITH names AS (
-  SELECT chunk_id, unnest(list_transform(entities, x -> x.name)) AS name FROM extractions
-  UNION ALL SELECT chunk_id, unnest(list_transform(relations, x -> x.source)) FROM extractions
-  UNION ALL SELECT chunk_id, unnest(list_transform(relations, x -> x.target)) FROM extractions
+  SELECT chunk_id, unnest(list_transform(entities, lambda x: x.name)) AS name FROM extractions
+  UNION ALL SELECT chunk_id, unnest(list_transform(relations, lambda x: x.source)) FROM extractions
+  UNION ALL SELECT chunk_id, unnest(list_transform(relations, lambda x: x.target)) FROM extractions
 ), cells AS (
   SELECT DISTINCT chunk_id AS record, trim(regexp_replace(lower(name), '\s+', ' ', 'g')) AS item
   FROM names WHERE trim(regexp_replace(lower(name), '\s+', ' ', 'g')) <> ''

@@ -242,8 +242,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p9_near": p9_near, "p9_found": p9_found}
 SQL = {
     "p9_found": r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), x -> x <> '') AS w FROM documents),
-q AS (SELECT question_id, list_filter(regexp_split_to_array(lower(reference_answer), '[^\pL\pN]+'), x -> x <> '') AS w FROM eval_questions),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT question_id, list_filter(regexp_split_to_array(lower(reference_answer), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM eval_questions),
 dg AS (SELECT doc_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
 qg AS (SELECT question_id, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT question_id, w, unnest(range(1, len(w) - 11)) AS i FROM q))
 SELECT DISTINCT question_id, doc_id FROM qg JOIN dg USING (g)

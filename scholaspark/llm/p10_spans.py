@@ -318,4 +318,9 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares}
-SQL: dict[str, str] = {}
+SQL = {
+    "p10_found": """
+WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, i, 600)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 598)) AS i FROM documents WHERE length(text) >= 600))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id
+"""
+}
