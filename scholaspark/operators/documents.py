@@ -67,10 +67,14 @@ def search_by_metadata(documents: DataFrame, year: int | None = None, category:
         found = found.where(F.col("year") == year)
     for column, part in (("categories", category), ("authors", author)):
         if part is not None:
-            found = found.where(F.exists(column, lambda x, part=part: F.lower(x).contains(part.lower())))
+            found = found.where(F.exists(column, _holds(part)))
     return found
 
 
+def _holds(part: str):
+    return lambda x: F.lower(x).contains(part.lower())
+
+
 def not_indexed(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     """Documents whose id isn't in the manifest (resume)."""
     return documents.join(manifest.select("doc_id"), "doc_id", "left_anti")

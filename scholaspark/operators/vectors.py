@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, FloatType
 
 from scholaspark.config import get_settings
@@ -54,6 +55,7 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 5, id_column: st
     named = vectors.select(vectors[id_column].alias("id"), vectors[vector_column].cast("array<float>").alias("v")).where("id is not null and v is not null")
     asked = queries.select(queries[query_column].alias("q"), queries["embedding"].cast("array<float>").alias("v")).where("q is not null and v is not null")
     schema = f"query_id {query_kind}, id {id_kind}, score double"
+    kinds = to_arrow_type(asked.schema["q"].dataType), to_arrow_type(named.schema["id"].dataType), pa.float64()
     found = None
     block: list = []
     size = 0
@@ -62,7 +64,7 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 5, id_column: st
         nonlocal found, block, size
         if block:
             sent = spark.sparkContext.broadcast([(q, np.asarray(v, np.float64)) for q, v in block])
-            part = named.mapInArrow(_scorer(sent, top_k), schema)
+            part = named.mapInArrow(_scorer(sent, top_k, kinds), schema)
             found = part if found is None else found.unionByName(part)
         block, size = [], 0
 
@@ -78,16 +80,14 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 5, id_column: st
     return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
-def _scorer(sent, top_k: int):
+def _scorer(sent, top_k: int, kinds: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim: dict[int, list] = {}
         for q, v in sent.value:
             by_dim.setdefault(len(v), []).append((q, v))
         matrices = {d: ([q for q, _ in x], np.array([v / (np.linalg.norm(v) or 1.0) for _, v in x])) for d, x in by_dim.items()}
         best: dict = {}
-        kinds = None
         for batch in batches:
-            kinds = batch.schema.field(0).type
             ids = np.array(batch.column(0).to_pylist(), dtype=object)
             column = batch.column(1)
             sizes = np.diff(column.offsets.to_numpy())
@@ -109,8 +109,7 @@ def _scorer(sent, top_k: int):
                         best[d, q] = sorted(rows_q)[:top_k]
         rows = [(q, i, -s) for (_, q), found in best.items() for s, i in found]
         if rows:
-            a, b, c = zip(*rows)
-            yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": a, "id": b, "score": c}), preserve_index=False)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["query_id", "id", "score"])
 
     return run
 

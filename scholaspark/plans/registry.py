@@ -6,15 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from scholaspark.plans import queries as plans
 
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(plans.SQL)
