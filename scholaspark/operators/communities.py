@@ -49,39 +49,55 @@ def connected_components(node_table: DataFrame, edge_table: DataFrame) -> DataFr
             return labels
 
 
-def detect(node_table: DataFrame, edge_table: DataFrame, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
+def detect(node_table: DataFrame, edge_table: DataFrame, rounds: int = 4, levels: int = 4, resolution: float = 1.0) -> DataFrame:
     """(node_id, community): communities by local moves of greatest gain.
 
     In each round every node weighs its neighbours' communities by the gain of
     modularity that moving there brings; half of the nodes (by a hash of node
-    and round, so no pair keeps swapping) take the best. Deterministic; a
+    and round, so no pair keeps swapping) take the best. When no node moves, or
+    after ``rounds``, each community becomes one node of a smaller graph, and
+    the moves go on there, for at most ``levels`` graphs. Deterministic; a
     community is named by a number from 0, larger ones first, ties by their
-    least node. Ends when no node moves or after ``rounds``.
+    least node.
     """
     pair = undirected(edge_table).where("a <> b")
     both = _cut(pair.select("a", "b", "w").unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     total = both.agg(F.sum("w")).first()[0] or 0.0
-    weight = _cut(both.groupBy(F.col("a").alias("node_id")).agg(F.sum("w").alias("k")))
-    labels = _cut(node_table.select("node_id", F.col("node_id").alias("c")))
-    for number in range(rounds if total else 0):
-        sizes = labels.join(weight, "node_id").groupBy("c").agg(F.sum("k").alias("tot"))
-        links = both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("node_id"), "c").agg(F.sum("w").alias("inside"))
-        own = labels.select("node_id", F.col("c").alias("own"))
-        scored = (
-            links.join(weight, "node_id")
-            .join(sizes, "c")
-            .join(own, "node_id")
-            .withColumn("gain", F.col("inside") - F.lit(resolution) * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(total))
-        )
-        best = scored.groupBy("node_id").agg(F.max(F.struct("gain", "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
-        turn = F.pmod(F.xxhash64("node_id", F.lit(number)), F.lit(2)) == 0
-        moves = best.where(turn & (F.col("best.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-12)).select("node_id", F.col("best.c").alias("to"))
-        new = _cut(labels.join(moves, "node_id", "left").select("node_id", F.col("c").alias("old"), F.coalesce("to", "c").alias("c")))
+    members = _cut(node_table.select("node_id", F.col("node_id").alias("c")))
+    for _ in range(levels if total else 0):
+        moved = _moves(both, total, rounds, resolution)
+        if moved is None:
+            break
+        members = _cut(members.join(moved.toDF("c", "to"), "c", "left").select("node_id", F.coalesce("to", "c").alias("c")))
+        ends = both.join(moved.toDF("a", "ca"), "a").join(moved.toDF("b", "cb"), "b")
+        both = _cut(ends.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+    return numbered(members)
+
+
+def _moves(both: DataFrame, total: float, rounds: int, resolution: float) -> DataFrame | None:
+    """(node, c) after the local moves on one graph, given as symmetric weights
+    (a, b, w) with loops; None if no node moved."""
+    weight = _cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
+    labels = weight.select("node", F.col("node").alias("c"))
+    any_moved = still = 0
+    for number in range(rounds):
+        sizes = labels.join(weight, "node").groupBy("c").agg(F.sum("k").alias("tot"))
+        links = both.where("a <> b").join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("inside"))
+        own = labels.join(weight, "node").select("node", F.col("c").alias("own"), "k")
+        scored = links.join(own, "node").join(sizes, "c").withColumn("gain", F.col("inside") - F.lit(resolution) * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(total))
+        # A node without links to its own community would stay there alone.
+        alone = own.join(sizes.withColumnRenamed("c", "own"), "own").select("node", (-F.lit(resolution) * F.col("k") * (F.col("tot") - F.col("k")) / F.lit(total)).alias("stay_alone"))
+        best = scored.groupBy("node").agg(F.max(F.struct("gain", "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        turn = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2)) == 0
+        moves = best.join(alone, "node").where(turn & (F.col("best.gain") > F.coalesce("stay", "stay_alone") + 1e-12)).select("node", F.col("best.c").alias("to"))
+        new = _cut(labels.join(moves, "node", "left").select("node", F.col("c").alias("old"), F.coalesce("to", "c").alias("c")))
         moved = new.where("old <> c").limit(1).count()
-        labels = new.select("node_id", "c")
-        if not moved and number:
+        labels = new.select("node", "c")
+        any_moved += moved
+        still = 0 if moved else still + 1
+        if still == 2:
             break
-    return numbered(labels)
+    return labels if any_moved else None
 
 
 def numbered(labels: DataFrame) -> DataFrame:
