@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholaspark.functions.text import strip
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="scholaspark-core-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/steps/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from scholaspark.lineage import cut
 
 
 def undirected(edge_table: DataFrame) -> DataFrame:
@@ -36,12 +21,12 @@ def connected_components(node_table: DataFrame, edge_table: DataFrame) -> DataFr
     rounds grow with the logarithm of the longest path.
     """
     pair = undirected(edge_table).where("a <> b")
-    both = _cut(pair.select("a", "b").unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _cut(node_table.select("node_id", F.col("node_id").alias("component")))
+    both = cut(pair.select("a", "b").unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(node_table.select("node_id", F.col("node_id").alias("component")))
     while True:
         near = both.join(labels.toDF("b", "label"), "b").groupBy(F.col("a").alias("node_id")).agg(F.min("label").alias("near"))
         jump = labels.toDF("component", "further")
-        new = _cut(
+        new = cut(
             labels.join(near, "node_id", "left").join(jump, "component", "left").select("node_id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component"), F.coalesce("further", "component")).alias("component"))
         )
         labels = new.select("node_id", "component")
@@ -61,23 +46,23 @@ def detect(node_table: DataFrame, edge_table: DataFrame, rounds: int = 4, levels
     least node.
     """
     pair = undirected(edge_table).where("a <> b")
-    both = _cut(pair.select("a", "b", "w").unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    both = cut(pair.select("a", "b", "w").unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     total = both.agg(F.sum("w")).first()[0] or 0.0
-    members = _cut(node_table.select("node_id", F.col("node_id").alias("c")))
+    members = cut(node_table.select("node_id", F.col("node_id").alias("c")))
     for _ in range(levels if total else 0):
         moved = _moves(both, total, rounds, resolution)
         if moved is None:
             break
-        members = _cut(members.join(moved.toDF("c", "to"), "c", "left").select("node_id", F.coalesce("to", "c").alias("c")))
+        members = cut(members.join(moved.toDF("c", "to"), "c", "left").select("node_id", F.coalesce("to", "c").alias("c")))
         ends = both.join(moved.toDF("a", "ca"), "a").join(moved.toDF("b", "cb"), "b")
-        both = _cut(ends.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        both = cut(ends.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
     return numbered(members)
 
 
 def _moves(both: DataFrame, total: float, rounds: int, resolution: float) -> DataFrame | None:
     """(node, c) after the local moves on one graph, given as symmetric weights
     (a, b, w) with loops; None if no node moved."""
-    weight = _cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
+    weight = cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
     labels = weight.select("node", F.col("node").alias("c"))
     any_moved = still = 0
     for number in range(rounds):
@@ -90,7 +75,7 @@ def _moves(both: DataFrame, total: float, rounds: int, resolution: float) -> Dat
         best = scored.groupBy("node").agg(F.max(F.struct("gain", "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
         turn = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2)) == 0
         moves = best.join(alone, "node").where(turn & (F.col("best.gain") > F.coalesce("stay", "stay_alone") + 1e-12)).select("node", F.col("best.c").alias("to"))
-        new = _cut(labels.join(moves, "node", "left").select("node", F.col("c").alias("old"), F.coalesce("to", "c").alias("c")))
+        new = cut(labels.join(moves, "node", "left").select("node", F.col("c").alias("old"), F.coalesce("to", "c").alias("c")))
         moved = new.where("old <> c").limit(1).count()
         labels = new.select("node", "c")
         any_moved += moved

@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholaspark.config import get_settings
 from scholaspark.functions.text import fold, safe_value
+from scholaspark.lineage import cut
 from scholaspark.operators.extraction import GOOD
 
 
@@ -97,12 +97,6 @@ def entity_info(node_table: DataFrame, name: str) -> DataFrame:
     return node_table.where(F.col("node_id") == fold(F.lit(name)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if its rows are few enough."""
-    limit = get_settings().broadcast_bytes // 256
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def expand(seeds: DataFrame, edge_table: DataFrame, hops: int = 1) -> DataFrame:
     """(seed columns, node_id): the nodes within ``hops`` edges of the seeds,
     along the edges' direction, as an ego graph has them. ``seeds`` has node_id
@@ -110,7 +104,10 @@ def expand(seeds: DataFrame, edge_table: DataFrame, hops: int = 1) -> DataFrame:
     reached = seeds.distinct()
     frontier = reached
     steps = edge_table.select(F.col("src").alias("node_id"), F.col("dst").alias("_next")).distinct()
-    for _ in range(hops):
+    for hop in range(hops):
+        if hop:
+            # Else each hop would compute all hops before it again, twice.
+            reached, frontier = cut(reached), cut(frontier)
         new = frontier.join(steps, "node_id").drop("node_id").withColumnRenamed("_next", "node_id").select(*reached.columns).distinct()
         frontier = new.join(reached, reached.columns, "left_anti")
         reached = reached.unionByName(new).distinct()

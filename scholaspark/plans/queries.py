@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholaspark.functions import text as T
+from scholaspark.lineage import cut
 from scholaspark.operators import benchmark as B
 from scholaspark.operators import chunking as C
 from scholaspark.operators import communities as CO
@@ -53,7 +54,7 @@ def _papers(spark: SparkSession, d: str) -> DataFrame:
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _extractions(spark, d)
-    return CO._cut(G.nodes(rows, _order())), CO._cut(G.edges(rows, _order()))
+    return cut(G.nodes(rows, _order())), cut(G.edges(rows, _order()))
 
 
 _STRIP = r"'^[\s\pZ\x1c-\x1f\x85]+|[\s\pZ\x1c-\x1f\x85]+$'"
@@ -273,25 +274,25 @@ def graph_communities(spark, d):
 @query()
 def community_quality(spark, d):
     nodes, edges = _graph(spark, d)
-    return CO.modularity(CO._cut(CO.detect(nodes, edges)), edges)
+    return CO.modularity(cut(CO.detect(nodes, edges)), edges)
 
 
 @query()
 def community_summaries(spark, d):
     nodes, edges = _graph(spark, d)
-    return CO.summarise(CO._cut(CO.detect(nodes, edges)), nodes, edges)
+    return CO.summarise(cut(CO.detect(nodes, edges)), nodes, edges)
 
 
 @query()
 def community_facts(spark, d):
     nodes, edges = _graph(spark, d)
-    return CO.facts(CO._cut(CO.detect(nodes, edges)), nodes, edges)
+    return CO.facts(cut(CO.detect(nodes, edges)), nodes, edges)
 
 
 @query()
 def visual_sample(spark, d):
     nodes, edges = _graph(spark, d)
-    return VI.sample(nodes, edges, CO._cut(CO.detect(nodes, edges)), 200)
+    return VI.sample(nodes, edges, cut(CO.detect(nodes, edges)), 200)
 
 
 @query()
@@ -334,8 +335,8 @@ def search_graph_only(spark, d):
 
 
 def _communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    members = CO._cut(CO.detect(nodes, edges))
-    return CO._cut(CO.community_table(members, CO.summarise(members, nodes, edges)))
+    members = cut(CO.detect(nodes, edges))
+    return cut(CO.community_table(members, CO.summarise(members, nodes, edges)))
 
 
 @query()
@@ -348,7 +349,7 @@ def search_hybrid(spark, d):
     nodes, edges = _graph(spark, d)
     found = R.hybrid_search(_questions(spark, d), _vectors(spark, d), G.chunk_entities(_extractions(spark, d), _order()), nodes, edges, _communities(nodes, edges))
     asked = R.contexts(_questions(spark, d), table(spark, d, "chunks").dropDuplicates(["chunk_id"]), found)
-    return R.extractive_answers(CO._cut(asked))
+    return R.extractive_answers(cut(asked))
 
 
 # --- evaluation ----------------------------------------------------------------------
