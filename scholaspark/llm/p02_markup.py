@@ -460,10 +460,12 @@ def markup(df: DataFrame, record_type: str, key: str, text: str) -> DataFrame:
         model = sent.value
         for batch in batches:
             keys, kinds = [], []
-            for k, t in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                own = kinds_of(t, model)
-                keys += [k] * len(own)
-                kinds += own
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                for k, t in zip(*(part.column(i).to_pylist() for i in (0, 1))):
+                    own = kinds_of(t, model)
+                    keys += [k] * len(own)
+                    kinds += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(kinds, pa.string())], ["record_key", "markup"])
 
     return source.mapInArrow(run, "record_key string, markup string").select(F.lit(record_type).alias("record_type"), "record_key", "markup")
