@@ -38,7 +38,7 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text, source_file) of plain text files."""
-    raw = spark.read.option("wholetext", True).text(f"{path}/*.txt")
+    raw = spark.read.text(f"{path}/*.txt", wholetext=True)
     return raw.select(_stem().alias("doc_id"), F.col("value").alias("text"), F.col("_metadata.file_name").alias("source_file"))
 
 
@@ -162,7 +162,7 @@ def _is_lines(spark: SparkSession, path: str) -> bool:
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation questions of a JSON array, numbered from 1 in its order; a
     question without text fails, as does a file that is no array of objects."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"array<struct<{_inner(QUESTION)}>>").alias("value"))
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{_inner(QUESTION)}>>").alias("value"))
     rows = raw.select(F.posexplode("value").alias("pos", "q")).select((F.col("pos") + 1).cast("long").alias("question_id"), "q.*")
     if raw.where("value is null").limit(1).count() or rows.where("trim(coalesce(question, '')) = ''").limit(1).count():
         raise ValueError("an evaluation file is a JSON array of objects with a question each")
