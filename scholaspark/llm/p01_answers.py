@@ -137,7 +137,8 @@ def features(question: str | None, answer: str, common: dict[str, tuple[str, ...
         on = set()
         words = WORD.findall(part.lower())
         tokens = re.findall(r"[\w’']+", part.lower().replace("’", "'"))
-        seen = set(tokens)
+        lang = language(part, common)
+        seen = set(tokens) - ({"comment"} if lang == "fr" else set())
         own = _overlap(words, asked) if asked and words else 0
         if words and asked:
             share, cover = own / len(words), own / len(asked)
@@ -152,7 +153,6 @@ def features(question: str | None, answer: str, common: dict[str, tuple[str, ...
         said = " ".join(words)
         if said in ECHO_FRAMES or any(said.startswith(f + " ") for f in ECHO_FRAMES if len(f) > 1):
             on.add("echo_frame")
-        lang = language(part, common)
         if lang is None or asked_language is None:
             on.add("no_language")
         else:
