@@ -34,8 +34,8 @@ from scholaspark.llm.common import BROADCAST_LIMIT, WORD, bounded_rows, table
 
 WORDS = 13
 EDITS = 2
-TABLES = 12
-BITS = 9
+TABLES = 16
+BITS = 8
 SEED = 20240917
 #: Most items that the driver takes up, and most windows in one block of them.
 MAX_ITEMS = 100_000
