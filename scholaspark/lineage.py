@@ -5,21 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder all executors share (spark.checkpoint.dir)
-    and read again, so the loss of an executor costs no more than its tasks.
-
-    Where the folder is unset, as in tests on one machine, a temporary one is
-    made for the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or the context's
+    checkpoint folder. Where both are unset and all runs on one machine, as in
+    tests, a temporary folder is made for the session; a cluster must name one.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="scholaspark-core-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="scholaspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/steps/{uuid.uuid4().hex}"
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so the loss of an
+    executor costs no more than its tasks."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/steps/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the tables that ``cut`` left in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/steps")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

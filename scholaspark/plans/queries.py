@@ -133,7 +133,7 @@ def token_chunks(spark, d):
 
 @query()
 def chunk_token_counts(spark, d):
-    return C.token_counts(table(spark, d, "chunks").dropDuplicates(["chunk_id"]), "chunk_id", "text")
+    return C.token_counts(table(spark, d, "chunks"), "chunk_id", "text").dropDuplicates(["chunk_id"])
 
 
 @query()
@@ -199,7 +199,7 @@ def chunks_not_extracted(spark, d):
 
 @query()
 def extraction_plan(spark, d):
-    return X.planned(table(spark, d, "chunks").dropDuplicates(["chunk_id"])).select("chunk_id", "n_words", F.round("capitals", 6).alias("capitals"), "plan")
+    return X.planned(table(spark, d, "chunks")).select("chunk_id", "n_words", F.round("capitals", 6).alias("capitals"), "plan").dropDuplicates(["chunk_id"])
 
 
 @query()
