@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scholaspark.lineage import shared_folder
+
 #: Largest serialised size, in bytes, of anything that is sent to every task.
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
@@ -17,28 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is
-    unset (as in tests on one machine) a temporary folder of this session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="scholaspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts the
     lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Removes the tables that ``written`` left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholaspark.llm.common import BROADCAST_LIMIT, shared_dir, table, written
+from scholaspark.lineage import shared_folder
+from scholaspark.llm.common import BROADCAST_LIMIT, table, written
 
 MIN_SPAN = 600
 WINDOW = 400
@@ -138,7 +139,7 @@ class SpanIndex:
 
     def _write(self, df: DataFrame) -> tuple[str, int]:
         name = f"span_run_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark)}/tables/{name}"
+        path = f"{shared_folder(self.spark)}/tables/{name}"
         df.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
         return name, self.spark.table(name).count()
 
@@ -170,7 +171,7 @@ class SpanIndex:
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/tables/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(self.spark)}/tables/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def close(self) -> None:
