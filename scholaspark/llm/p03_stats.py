@@ -36,7 +36,7 @@ LABELLED = 4000
 JOIN = 0.05
 #: A text this far from every profile may be a mixture and is taken apart into
 #: segments of about SEGMENT characters, which vote with their sizes.
-MIXED = 0.1
+APART = 0.1
 SEGMENT = 400
 #: Weights of the four distributions.
 WEIGHTS = (0.35, 0.3, 0.2, 0.15)
@@ -283,7 +283,7 @@ def classify(texts: list[str], model: Profiles) -> list[tuple[list[float], str,
     near = model.nearest(np.array([normalised(counts) for _, counts in described]))
     found = []
     for text, (figures, _), (kind, d) in zip(texts, described, near):
-        parts = segments(text) if d > MIXED and len(text) > SEGMENT else []
+        parts = segments(text) if d > APART and len(text) > SEGMENT else []
         if len(parts) > 1:
             votes = dict.fromkeys(KINDS, 0)
             for part, (k, _) in zip(parts, model.nearest(np.array([normalised(describe(p, model.common)[1]) for p in parts]))):

@@ -49,6 +49,16 @@ def test_mixture_votes_by_size():
     assert p3.classify([junk + "\n" + sample("prose", random.Random(1))[:60]], model)[0][1] == "junk"
 
 
+def test_majority_of_segments_overrules_the_whole_text():
+    rng = random.Random(0)
+    model = p3.Profiles([], COMMON)
+    text = "\n\n".join(sample(k, rng) for k in ["prose"] * 3 + ["list"] * 3)
+    counts = p3.describe(text, COMMON)[1]
+    (kind, d), = model.nearest(np.array([p3.normalised(counts)]))
+    assert kind == "list" and d > 0.1
+    assert p3.classify([text], model)[0][1] == "prose"
+
+
 def test_defined_results(spark):
     rows = [("a", None, 1), ("b", "", 1), ("c", " \n", 1), ("d", "The end was not in the house, but we had a lamp. " * 4, 1), ("d", "The end was not in the house, but we had a lamp. " * 4, 2), ("e", "%&/ ( )=? " * 200000, 3)]
     df = spark.createDataFrame(rows, "chunk_id string, text string, kind int")
