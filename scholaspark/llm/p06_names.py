@@ -1,13 +1,15 @@
 """Problem 6: the spellings of one person or organisation, linked.
 
 Distinct spellings are read into parts (family name, given name, initials; or
-place and kind of body). Suffix blocking finds candidates: every suffix of at
-least ``MIN_SUFFIX`` letters of a part is a key. A key of more than ``COMMON``
-spellings is refined with another field (the beginning of the other part), then
-once more with more of it, and left out only if it is common even so; a pair
-meets in some longer suffix, or in the other part's, before that. Candidates are
-compared by the ratio of their longest common subsequence and by their edits,
-part by part.
+place and kind of body). Every pair that ``link`` accepts meets in a block: by
+the whole family name, by a given name (or one it is short for, or one learned),
+or by a word of the kind of body. A block of more than ``COMMON`` spellings is
+taken apart without losing such a pair: one of a family name by the letters and
+endings that linked given names share, any other by the family names in it that
+are alike, found by what is left of them without a few letters (long ones by
+their segments). What stays large is compared in slices. Candidates are compared
+by the ratio of their longest common subsequence and by their edits, part by
+part.
 
 Given names that are different words (a short form that is in no list) count as
 one if they share family names far more often than chance would have it; that
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from scholaspark.llm.common import bounded_rows, components, table, written
 from scholaspark.llm.p04_pairs import together
 
-MIN_SUFFIX = 5
+#: Spellings of a block, and of a slice of one, that are all compared at once.
 COMMON = 100
 RATIO = 0.8
 
@@ -91,12 +93,17 @@ def edits(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+def slips(size: int) -> int:
+    """Most edits between two words, the longer of ``size`` letters."""
+    return 3 if size >= 9 else 2 if size >= 7 else 1 if size >= 4 else 0
+
+
 def alike(a: str, b: str) -> bool:
     """Whether two words differ by slips of the keyboard only."""
     if a == b:
         return True
     size = max(len(a), len(b))
-    most = 3 if size >= 9 else 2 if size >= 7 else 1 if size >= 4 else 0
+    most = slips(size)
     return 2 * lcs(a, b) >= RATIO * (len(a) + len(b)) and edits(a, b, most) <= most
 
 
@@ -176,23 +183,50 @@ def body(name: str) -> dict | None:
     return {"family": "".join(sorted(proper)), "parts": proper, "given": " ".join(sorted(set(kinds))), "form": "body", "initials": ""}
 
 
-def keys(kind: str, p: dict) -> list[tuple[str, str, str]]:
-    """(suffix, refined, refined further) of a spelling."""
-    found = set()
-    own, other = p["family"], p["given"]
-    for part in {*p["parts"], own}:
-        if len(part) >= 3:
-            for n in range(min(MIN_SUFFIX, len(part)), len(part) + 1):
-                s = part[-n:]
-                found.add((f"{kind}f{s}", f"{kind}f{s}|{own[:3]}", f"{kind}f{s}|{own[:3]}|{(other or p['initials'])[:1]}"))
-    if kind == "p" and p["form"] == "full" and len(other) >= 3:
-        for n in range(min(MIN_SUFFIX, len(other)), len(other) + 1):
-            s = other[-n:]
-            found.add((f"pg{s}", f"pg{s}|{own[:3]}", f"pg{s}|{own[:5]}"))
+def blocks(kind: str, family: str, given: str, form: str, formal: dict[str, frozenset]) -> set[str]:
+    """The blocks of a spelling: of the family name, of the given names it may
+    stand for, of the words of a kind of body."""
     if kind == "o":
-        for word in other.split():
-            found.add((f"og{word}", f"og{word}|{own[:3]}", f"og{word}|{own[:5]}"))
-    return sorted(found)
+        return {f"og{w}" for w in given.split()} or {"og"}
+    full = {given, *formal.get(given, ())} if form == "full" else ()
+    return {f"pf{family}", *(f"pg{x}" for x in full)}
+
+
+def places(given: str, form: str, initials: str, formal: dict[str, frozenset]) -> set[str]:
+    """Where a spelling stands in the block of its family name; two that are
+    linked share a place, or their given names share a block."""
+    if form == "none":
+        return {"n"}
+    if form == "initial":
+        return {f"i{initials[:1]}"}
+    found = {f"i{x[:1]}" for x in (given, *formal.get(given, ()))}
+    if form == "full":
+        found |= {f"s{given[-3:]}", *(f"d{x}" for x in shortened(given, 1))}
+    return found
+
+
+def shortened(word: str, most: int) -> set[str]:
+    """The word without up to ``most`` of its letters. Words that differ by so
+    many edits or swaps have one in common."""
+    found = last = {word}
+    for _ in range(most):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        found = found | last
+    return found
+
+
+def near_keys(family: str) -> set[str]:
+    """Keys of which two families that are alike share one. A long family has
+    too many shortened forms: of its seven segments, three edits or swaps leave
+    one as it is, moved by three letters at most."""
+    size = len(family)
+    found = shortened(family, slips(size)) if size <= 20 else set()
+    if size >= 18:
+        for other in range(size - 3, size + 4):
+            cuts = [i * other // 7 for i in range(8)]
+            for i, (b, e) in enumerate(zip(cuts, cuts[1:])):
+                found |= {f"{other}.{i}.{family[b + m : e + m]}" for m in range(-min(3, b), 4)}
+    return found
 
 
 _FIELDS = ("family", "given", "form", "initials")
@@ -251,36 +285,94 @@ def spellings(papers: DataFrame, extractions: DataFrame) -> DataFrame:
     return authors.unionByName(each.select("name", kind.alias("kind")).where("kind is not null")).where("name is not null and name <> ''").distinct()
 
 
+def _strings(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in list(zip(*rows)) or [[]] * len(names)], names)
+
+
+def _spread(df: DataFrame, columns: list[str], new: str, make) -> DataFrame:
+    """Each row of strings with each of make(*columns) as ``new``."""
+    old = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                c = batch.slice(first, 500).to_pydict()
+                own = [make(*x) for x in zip(*(c[n] for n in columns))]
+                yield _strings([(*r, x) for r, xs in zip(zip(*(c[n] for n in old)), own) for x in xs], [*old, new])
+
+    return df.mapInArrow(run, ", ".join(f"`{n}` string" for n in [*old, new]))
+
+
 def read(names: DataFrame) -> DataFrame:
-    """The spellings with their parts and keys; unlettered ones are left out."""
+    """The spellings with their parts; unlettered ones are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("k0", pa.string()), ("k1", pa.string()), ("k2", pa.string())]))
         for batch in batches:
             rows = []
             for n, k in zip(batch.column("name").to_pylist(), batch.column("kind").to_pylist()):
                 p = person(n) if k == "p" else body(n)
                 if p and p["family"]:
-                    rows.append((n, k, *(p[f] for f in _FIELDS), [dict(zip(("k0", "k1", "k2"), x)) for x in keys(k, p)]))
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.string()] * 6 + [kind]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["name", "kind", *_FIELDS, "keys"])
+                    rows.append((n, k, *(p[f] for f in _FIELDS)))
+            yield _strings(rows, ["name", "kind", *_FIELDS])
+
+    return names.mapInArrow(run, "name string, kind string, family string, given string, form string, initials string")
+
+
+def candidates(parsed: DataFrame, common: int = COMMON, formal: dict[str, frozenset] | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """(a, b): pairs of spellings, with every pair that is linked among them."""
+    sent = parsed.sparkSession.sparkContext.broadcast(formal or {})
+    named = parsed.select(F.concat("kind", "name").alias("id"), "kind", *_FIELDS)
+    placed = _spread(named, ["kind", "family", "given", "form"], "block", lambda *x: blocks(*x, sent.value))
+    if learned is not None:
+        block = F.concat(F.lit("pl"), "item_a", F.lit("|"), "item_b")
+        both = learned.select(block.alias("block"), F.explode(F.array("item_a", "item_b")).alias("given"))
+        placed = placed.unionByName(named.where("kind = 'p' and form = 'full'").join(both, "given").select(*placed.columns))
+    placed = written(placed)
+    sizes = placed.groupBy("block").count()
+    small = placed.join(sizes.where((F.col("count") > 1) & (F.col("count") <= common)).select("block"), "block", "left_semi").select("block", "id")
+    large = written(placed.join(sizes.where(F.col("count") > common).select("block"), "block", "left_semi"))
+    family = large.where("block like 'pf%'").select("id", "given", "form", "initials", "block")
+    apart = _spread(family, ["given", "form", "initials"], "place", lambda *x: places(*x, sent.value)).select(F.concat_ws("|", "block", "place").alias("block"), "id")
+    pairs = _compared(small.unionByName(apart), common).unionByName(_of_near_families(large.where("block not like 'pf%'").select("id", "family", "block")))
+    return pairs.distinct()
+
+
+def _compared(rows: DataFrame, common: int) -> DataFrame:
+    """(a, b): all pairs of each block, a large one in slices, pair by pair."""
+    rows = written(rows)
+    sizes = rows.groupBy("block").count().where("count > 1").select("block", F.ceil(F.col("count") / common).cast("int").alias("slices"))
+    own = rows.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("id"), "slices").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    own = own.select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id")
+    a, b = (own.select("block", "low", "high", F.col("own").alias(f"own_{x}"), F.col("id").alias(x)) for x in "ab")
+    return a.join(b, ["block", "low", "high"]).where("a < b and (low = high or own_a <> own_b)").select("a", "b")
+
+
+def _of_near_families(large: DataFrame) -> DataFrame:
+    """(a, b): pairs of one block whose family names are alike."""
+    families = written(large.select("block", "family").distinct().withColumn("no", F.monotonically_increasing_id()))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                rows = [(n, f"{block}|{k}") for block, family, n in zip(*batch.slice(first, 500).to_pydict().values()) for k in near_keys(family)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 2, (pa.int64(), pa.string()))], ["no", "key"])
 
-    return names.mapInArrow(run, "name string, kind string, family string, given string, form string, initials string, keys array<struct<k0 string, k1 string, k2 string>>")
+    # Spark takes the keys to be as few as the families, and would send them all.
+    tasks = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = families.repartition(tasks, "no").mapInArrow(keyed, "no long, key string").select(F.xxhash64("key").alias("key"), "no")
+    a, b = (found.select("key", F.col("no").alias(x)) for x in ("no", "other_no"))
+    met = a.join(b.hint("merge"), "key").where("no < other_no").select("no", "other_no").distinct().join(families, "no")
+    met = met.join(families.select(F.col("no").alias("other_no"), "block", F.col("family").alias("other")), ["other_no", "block"]).select("block", "family", "other")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.to_pydict()
+            yield _strings([x for x in zip(c["block"], c["family"], c["other"]) if alike(*x[1:])], ["block", "family", "other"])
 
-def candidates(parsed: DataFrame, common: int = COMMON) -> DataFrame:
-    """(a, b): pairs of spellings that share a key that isn't common."""
-    each = written(parsed.select(F.concat("kind", "name").alias("id"), F.explode("keys").alias("k")).select("id", "k.*"))
-    blocks = []
-    for n in range(3):
-        sizes = each.select("id", f"k{n}").distinct().groupBy(f"k{n}").count()
-        blocks.append(each.join(sizes.where((F.col("count") > 1) & (F.col("count") <= common)).select(f"k{n}"), f"k{n}", "left_semi").select("id", F.col(f"k{n}").alias("block")))
-        if n < 2:
-            each = each.join(sizes.where(F.col("count") > common).select(f"k{n}"), f"k{n}", "left_semi")
-    rows = written(blocks[0].unionByName(blocks[1]).unionByName(blocks[2]).distinct())
-    a, b = (rows.select("block", F.col("id").alias(x)) for x in "ab")
-    return a.join(b, "block").where("a < b").select("a", "b").distinct()
+    near = written(met.mapInArrow(run, "block string, family string, other string").unionByName(families.select("block", "family", F.col("family").alias("other"))))
+    a = large.select("block", "family", F.col("id").alias("x"))
+    b = large.select("block", F.col("family").alias("other"), F.col("id").alias("y"))
+    return a.join(near, ["block", "family"]).join(b, ["block", "other"]).where("family <> other or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def learned_pairs(parsed: DataFrame) -> DataFrame:
@@ -341,7 +433,8 @@ def linked(papers: DataFrame, extractions: DataFrame, nicknames: DataFrame) -> D
         formal.setdefault(given, {given})
     parsed = written(read(spellings(papers, extractions)))
     learned = written(learned_pairs(parsed))
-    found = links(parsed, candidates(parsed), {k: frozenset(v) for k, v in formal.items()}, learned)
+    short = {k: frozenset(v) for k, v in formal.items()}
+    found = links(parsed, candidates(parsed, COMMON, short, learned), short, learned)
     return clusters(parsed, found).select(F.expr("substring(id, 2)").alias("name"), F.expr("left(id, 1)").alias("kind"), "label")
 
 

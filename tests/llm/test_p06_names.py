@@ -63,3 +63,41 @@ def test_components_of_a_long_chain(spark):
     rows = components(edges).collect()
     assert {r.label for r in rows if r.node.startswith("n")} == {"n000"} and {(r.node, r.label) for r in rows if r.node in "xyzq"} == {("x", "x"), ("y", "x")}
     assert components(edges.limit(0)).count() == 0
+
+
+def spelled(rng, n):
+    """Names with slips, initials, short forms and short or long families."""
+    syllable = lambda: rng.choice("bdklmnrst") + rng.choice("aeiou")
+    families = ["Li", "Wu", "Ng", "Smith", "Smyth", "Oe"] + ["".join(syllable() for _ in range(rng.choice((2, 3, 4, 5, 9, 11)))).title() for _ in range(12)]
+    givens = ["Wei", "Bo", "Yohan", "Johan", "William", "Bill", "Elizabeth", "Beth", "Joerg", "Jorg", "Al"]
+    found = set()
+    while len(found) < n:
+        family, given = rng.choice(families), rng.choice(givens)
+        for _ in range(rng.choice((0, 0, 0, 1, 2, 3))):
+            i = rng.randrange(len(family))
+            family = rng.choice([family[:i] + rng.choice("aeinr") + family[i + 1 :], family[:i] + family[i + 1 :] or family, family[:i] + family[i:][1::-1] + family[i + 2 :], family[:i] + "n" + family[i:]])
+        found.add(rng.choice([f"{given} {family}", f"{family}, {given}", f"{given[0]}. {family}", f"{given[:3]}. {family}", f"{given} K. {family}", family]))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("common", [3, 1000])
+def test_every_linked_pair_is_a_candidate(spark, common):
+    rng = random.Random(7)
+    names = [(n, "p") for n in spelled(rng, 500)] + [(f"{w} {n.split()[-1]}", "o") for n, w in zip(spelled(rng, 80), ["University of", "Univ.", "Institute of Technology", ""] * 20)]
+    parsed = p6.read(spark.createDataFrame(sorted(set(names)), "name string, kind string")).cache()
+    formal = {"bill": frozenset(("bill", "william")), "william": frozenset(("william",))}
+    learned = spark.createDataFrame([("al", "wei")], "item_a string, item_b string")
+    rows = [(r.kind + r.name, r.kind, (r.family, r.given, r.form, r.initials)) for r in parsed.collect()]
+    want = set()
+    for x, y in combinations(sorted(rows), 2):
+        if x[1] == y[1] and p6.link(x[1], x[2], y[2], formal, {x[2][1], y[2][1]} == {"al", "wei"}):
+            want.add((x[0], y[0]))
+    got = {(r.a, r.b) for r in p6.candidates(parsed, common, formal, learned).collect()}
+    assert not want - got and len(want) > 100
+
+
+def test_crowded_family_and_initial_are_compared(spark):
+    names = ["J. Smith", "Smith, J."] + [f"J{a}{b}n Smith" for a in "aeiou" for b in "bcdfghjklmnpqrstvwxyz"]
+    parsed = p6.read(spark.createDataFrame([(n, "p") for n in names], "name string, kind string"))
+    pairs = {(r.a[1:], r.b[1:]) for r in p6.candidates(parsed).collect()}
+    assert all(tuple(sorted(("J. Smith", n))) in pairs for n in names[1:])
