@@ -101,3 +101,9 @@ def test_crowded_family_and_initial_are_compared(spark):
     parsed = p6.read(spark.createDataFrame([(n, "p") for n in names], "name string, kind string"))
     pairs = {(r.a[1:], r.b[1:]) for r in p6.candidates(parsed).collect()}
     assert all(tuple(sorted(("J. Smith", n))) in pairs for n in names[1:])
+
+
+def test_short_names_meet(spark):
+    parsed = p6.read(spark.createDataFrame([(n, "p") for n in ("W. Li", "Wei Li", "Bo Li", "Li, Bo", "Ng, A.", "Al Ng")], "name string, kind string"))
+    pairs = {(r.a[1:], r.b[1:]) for r in p6.candidates(parsed).collect()}
+    assert {("W. Li", "Wei Li"), ("Bo Li", "Li, Bo"), ("Al Ng", "Ng, A.")} <= pairs
