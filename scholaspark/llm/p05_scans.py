@@ -311,7 +311,8 @@ def passed(papers: DataFrame) -> DataFrame:
                     for field, text in fields_of(full, sections):
                         layout = Layout(text, t)
                         rows += [(k, field, "n", what, None, n) for what, n in layout.counts().items() if n >= AT_LEAST[what]]
-                        rows += [(k, field, "h", (a + b).lower(), f"{a}-{b}".lower(), 1) for _, _, a, b in layout.breaks]
+                        divided = Counter(((a + b).lower(), f"{a}-{b}".lower()) for _, _, a, b in layout.breaks)
+                        rows += [(k, field, "h", word, other, n) for (word, other), n in divided.items()]
                         words = words_of(layout)
                         every |= words.keys()
                         if layout.wrapped:

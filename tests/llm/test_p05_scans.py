@@ -78,3 +78,10 @@ def test_found_and_blocks_agree(spark, monkeypatch):
     fixed = {r.doc_id: r for r in p5.repaired(df).collect()}
     assert "modern examples of the climate shown in the calendar between" in fixed["s1"].full_text and fixed["n"].full_text is None and fixed["e"].full_text == ""
     assert p5.noise(df.limit(0)).count() == 0
+
+
+def test_a_word_divided_twice_counts_twice(spark):
+    text = "the stones of the water-\nways near the old river\nand then the water-\nways of the valley"
+    rows = [("d", None, text, None), ("d", None, text, None), ("e", None, text.split("\nand")[0], None), ("e", None, text.split("\nand")[0], None)]
+    df = spark.createDataFrame(rows, "doc_id string, title string, full_text string, sections array<struct<heading string, text string>>")
+    assert {tuple(r) for r in p5.noise(df).collect()} == {("d", "full_text", "hyphenation")}
