@@ -6,31 +6,36 @@ has ``WINDOW`` code points, and of any ``MIN_SPAN - WINDOW + 1`` neighbouring
 windows the one of least hash is kept, so two texts that share a span of
 ``MIN_SPAN`` keep at least one window of it in common. A new run is merge-joined
 with itself and with every older run (no shuffle, as all runs are bucketed
-alike); runs of like size are then compacted into one. What is left are the
-occurrences of hashes found in two records. Their neighbourhoods, cut from the
-texts, decide: the common text left and right of the window is measured
-character by character, and ``MIN_SPAN`` must be reached.
-
-A hash of more than ``HOT`` occurrences (a notice in a third of all records,
-say) isn't compared in pairs by its window: its neighbourhoods are taken apart
-into their spans of exactly ``MIN_SPAN``, and only those found twice are paired,
-so shorter boilerplate costs time in proportion to its occurrences.
+alike); runs of like size are then compacted into one. The runs, the shared
+occurrences and a manifest lie in one folder, so a later session opens the index
+and adds its batch. What is left are the occurrences of hashes found in two
+records. Their neighbourhoods, cut from the texts, decide: the common text left
+and right of the window is measured character by character, and ``MIN_SPAN``
+must be reached.
+
+Equal windows that overlap in a chain (a stretch that repeats itself) are one
+occurrence with its first and last place. A hash with such a chain, or with more
+than ``HOT`` occurrences (a notice in a third of all records, say), isn't
+compared in pairs: its neighbourhoods are taken apart into their spans of exactly
+``MIN_SPAN``, told apart by a digest of 128 bits, and only those found in two
+records stay. They give the shared stretches without any pair; for the pairs, of
+all spans with the same holders one is taken, and its holders meet in slices.
 
 Defined results: null, empty and shorter texts are in no pair and have share 0;
-repeated rows of an id count once; a span within one record only is not shared;
-in a stretch that repeats itself with a period below the window, the windows
-between the first and the last of equal hash aren't looked at.
+repeated rows of an id count once; a span within one record only is not shared.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholaspark.lineage import shared_folder
@@ -40,8 +45,11 @@ MIN_SPAN = 600
 WINDOW = 400
 #: Occurrences of one hash beyond which it is refined before pairs are made.
 HOT = 64
+#: Holders of one span that meet those of another slice in one task.
+SLICE = 1000
 #: Size ratio of neighbouring runs from which they are compacted.
 RATIO = 4
+_RUN = "hash BIGINT, item_id BIGINT, pos INT, last INT"
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -89,58 +97,101 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(hashes == most)
 
 
-def fingerprints(text: str, min_span: int = MIN_SPAN, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the windows that stand for a text. Of equal
-    hashes that overlap in a chain, the first and the last are kept."""
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _chains(hashes: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last) of the chains of equal hashes at most reach apart."""
+    order = np.lexsort((at, hashes))
+    h, at = hashes[order], at[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (at[1:] - at[:-1] > reach)
+    first = np.flatnonzero(new)
+    return h[first], at[first], at[np.append(first[1:], len(h)) - 1] if len(h) else at
+
+
+def fingerprints(text: str, min_span: int = MIN_SPAN, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last) of the windows that stand for a text; equal windows
+    that overlap in a chain are one."""
     if len(text) < min_span:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    hashes = window_hashes(codes, window)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = window_hashes(_codes(text), window)
     at = winnow(hashes, min_span - window + 1)
-    h = hashes[at]
-    order = np.lexsort((at, h))
-    h, at = h[order], at[order]
-    joined = (h[1:] == h[:-1]) & (at[1:] - at[:-1] <= window)
-    if joined.any():
-        keep = ~(np.concatenate([[False], joined]) & np.concatenate([joined, [False]]))
-        h, at = h[keep], at[keep]
-    return h, at
+    return _chains(hashes[at], at, window)
 
 
 def fingerprint_rows(df: DataFrame, key: str, text: str, min_span: int, window: int) -> DataFrame:
-    """(hash, item_id, pos) of every record."""
+    """(hash, item_id, pos, last) of every record."""
     source = df.select(df[key].cast("long").alias("item_id"), df[text].alias("item_text")).where(F.length("item_text") >= min_span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                ids, hashes, at = [], [], []
+                ids, hashes, at, last = [], [], [], []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if i is not None:
-                        h, p = fingerprints(t, min_span, window)
+                        h, p, q = fingerprints(t, min_span, window)
                         ids.append(np.full(len(h), i, np.int64))
                         hashes.append(h.view(np.int64))
                         at.append(p.astype(np.int32))
+                        last.append(q.astype(np.int32))
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, at)], ["hash", "item_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, at, last)], ["hash", "item_id", "pos", "last"])
 
-    return source.mapInArrow(run, "hash long, item_id long, pos int")
+    return source.mapInArrow(run, "hash long, item_id long, pos int, last int")
 
 
 class SpanIndex:
-    """The runs of an index and the occurrences of shared hashes found so far."""
+    """The runs of an index and the occurrences of shared hashes found so far.
+
+    All lies in ``folder``; without one, in a folder that ``close`` removes but
+    for the shared occurrences. The manifest is written after the data it names,
+    so a session that breaks off leaves the index as it was.
+    """
 
-    def __init__(self, spark: SparkSession, min_span: int = MIN_SPAN, window: int = WINDOW, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, min_span: int = MIN_SPAN, window: int = WINDOW, buckets: int | None = None, folder: str | None = None):
         self.spark, self.min_span, self.window = spark, min_span, window
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.lasting = folder is not None
+        self.folder = folder or f"{shared_folder(spark)}/steps/spans_{uuid.uuid4().hex}"
         self.runs: list[tuple[str, int]] = []
-        self.shared: list[DataFrame] = []
+        self.shared: list[str] = []
+        self.version = 0
+        self._cut: tuple[DataFrame, DataFrame] | None = None
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> SpanIndex:
+        """The index that an earlier session left in a folder."""
+        found = spark.read.text(f"{folder}/manifest/*", wholetext=True).collect()
+        state = max((json.loads(r.value) for r in found), key=lambda m: m["version"])
+        index = cls(spark, state["min_span"], state["window"], state["buckets"], folder)
+        index.runs, index.shared, index.version = [tuple(r) for r in state["runs"]], state["shared"], state["version"]
+        for name, _ in index.runs:
+            if not spark.catalog.tableExists(name):
+                spark.sql(f"CREATE TABLE {name} ({_RUN}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {index.buckets} BUCKETS LOCATION '{folder}/runs/{name}'")
+        return index
+
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _save(self) -> None:
+        self.version += 1
+        state = {"version": self.version, "min_span": self.min_span, "window": self.window, "buckets": self.buckets, "runs": self.runs, "shared": self.shared}
+        files, new = self._files(f"_manifest_{self.version}")
+        out = files.create(new, True)
+        out.write(json.dumps(state).encode())
+        out.close()
+        _, place = self._files(f"manifest/{self.version:09d}.json")
+        files.mkdirs(place.getParent())
+        files.rename(new, place)
+        files.delete(self._files(f"manifest/{self.version - 1:09d}.json")[1], False)
 
     def _write(self, df: DataFrame) -> tuple[str, int]:
         name = f"span_run_{uuid.uuid4().hex}"
-        path = f"{shared_folder(self.spark)}/tables/{name}"
-        df.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
+        df.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.folder}/runs/{name}").saveAsTable(name)
         return name, self.spark.table(name).count()
 
     def add(self, batch: DataFrame, key: str, text: str) -> None:
@@ -148,70 +199,90 @@ class SpanIndex:
         new = self._write(fingerprint_rows(batch, key, text, self.min_span, self.window))
         run = self.spark.table(new[0])
         ids = run.groupBy("hash").agg(F.min("item_id").alias("low"), F.max("item_id").alias("high"))
-        own = run.join(ids.where("low < high").select("hash").hint("merge"), "hash", "left_semi")
-        found = [own]
+        both = run.join(ids.where("low < high").select("hash").hint("merge"), "hash", "left_semi")
         for name, _ in self.runs:
             old = self.spark.table(name)
-            found.append(run.join(old.select("hash").hint("merge"), "hash", "left_semi"))
-            found.append(old.join(run.select("hash").hint("merge"), "hash", "left_semi"))
-        both = found[0]
-        for x in found[1:]:
-            both = both.unionByName(x)
-        self.shared.append(written(both))
+            both = both.unionByName(run.join(old.select("hash").hint("merge"), "hash", "left_semi"))
+            both = both.unionByName(old.join(run.select("hash").hint("merge"), "hash", "left_semi"))
+        part = uuid.uuid4().hex
+        both.write.parquet(f"{self.folder}/shared/{part}")
+        self.shared.append(part)
         self.runs.append(new)
-        self.compact()
+        self._cut = None
+        stale = self.compact()
+        self._save()
+        for name in stale:
+            self._drop(name)
 
-    def compact(self, force: bool = False) -> None:
-        """Merges the newest runs while the older is below RATIO times the newer."""
-        while len(self.runs) > 1 and (force or self.runs[-2][1] < RATIO * self.runs[-1][1]):
+    def compact(self) -> list[str]:
+        """Merges the newest runs while the older is below RATIO times the
+        newer; returns the runs that aren't needed any more."""
+        stale = []
+        while len(self.runs) > 1 and self.runs[-2][1] < RATIO * self.runs[-1][1]:
             (a, _), (b, _) = self.runs.pop(), self.runs.pop()
             self.runs.append(self._write(self.spark.table(a).unionByName(self.spark.table(b))))
-            for name in (a, b):
-                self._drop(name)
+            stale += [a, b]
+        return stale
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(self.spark)}/tables/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        files, path = self._files(f"runs/{name}")
+        files.delete(path, True)
 
     def close(self) -> None:
-        """Drops the runs; the shared occurrences stay."""
+        """Takes the runs out of the session's catalog; a lasting index can be
+        opened again, the runs of any other are removed."""
         for name, _ in self.runs:
-            self._drop(name)
-        self.runs = []
+            if self.lasting:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            else:
+                self._drop(name)
+        self.runs = self.runs if self.lasting else []
 
     def occurrences(self) -> DataFrame:
-        """(hash, item_id, pos) of hashes that stand in two records."""
-        both = self.shared[0]
-        for x in self.shared[1:]:
-            both = both.unionByName(x)
-        return both.distinct()
+        """(hash, item_id, pos, last) of hashes that stand in two records."""
+        return self.spark.read.schema(_RUN).parquet(*(f"{self.folder}/shared/{x}" for x in self.shared)).distinct()
+
+    def _neighbourhoods(self, records: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+        """The matches of hashes compared in pairs, and the shared spans
+        (x, y, item_id, begin, end) of the others."""
+        if self._cut is None:
+            reach, window = self.min_span - self.window, self.window
+            where = written(self.occurrences())
+            bytes_sent = where.count() * 48
+            texts = records.select(records[key].cast("long").alias("item_id"), records[text].alias("item_text")).where(F.length("item_text") >= self.min_span)
+            joined = texts.join(F.broadcast(where) if bytes_sent <= BROADCAST_LIMIT else where, "item_id")
+            begin = F.greatest(F.col("pos") - reach, F.lit(0))
+            part = F.col("item_text").substr(begin + 1, F.col("last") - begin + window + reach)
+            slices = written(joined.select("hash", "item_id", "pos", "last", begin.alias("begin"), part.alias("part")).dropDuplicates(["hash", "item_id", "pos"]))
+            sizes = slices.groupBy("hash").agg(F.count("*").alias("n"), F.max(F.col("last") - F.col("pos")).alias("chain"))
+            plain = (F.col("n") <= HOT) & (F.col("chain") == 0)
+            cool = slices.join(sizes.where(plain).select("hash"), "hash", "left_semi")
+            hot = slices.join(sizes.where(~plain).select("hash"), "hash", "left_semi")
+            spans = written(self._spans(hot))
+            holders = spans.groupBy("x", "y").agg(F.min("item_id").alias("low"), F.max("item_id").alias("high"))
+            kept = written(spans.join(holders.where("low < high").select("x", "y"), ["x", "y"], "left_semi"))
+            self._cut = written(self._compared(cool).distinct()), kept
+        return self._cut
 
     def matches(self, records: DataFrame, key: str, text: str) -> DataFrame:
         """(id_a, begin_a, end_a, id_b, begin_b, end_b), id_a < id_b: common
-        stretches of at least min_span around shared windows, proven on the
-        texts. A stretch ends min_span - window beyond its window at most."""
-        reach = self.min_span - self.window
-        where = written(self.occurrences())
-        bytes_sent = where.count() * 40
-        texts = records.select(records[key].cast("long").alias("item_id"), records[text].alias("item_text")).where(F.length("item_text") >= self.min_span)
-        joined = texts.join(F.broadcast(where) if bytes_sent <= BROADCAST_LIMIT else where, "item_id")
-        begin = F.greatest(F.col("pos") - reach, F.lit(0))
-        slices = written(
-            joined.select("hash", "item_id", "pos", begin.alias("begin"), F.col("item_text").substr(begin + 1, F.col("pos") - begin + self.window + reach).alias("part")).dropDuplicates(
-                ["hash", "item_id", "pos"]
-            )
-        )
-        sizes = slices.groupBy("hash").count()
-        cool = slices.join(sizes.where(F.col("count") <= HOT).select("hash"), "hash", "left_semi")
-        hot = slices.join(sizes.where(F.col("count") > HOT).select("hash"), "hash", "left_semi")
-        return self._compared(cool, "hash").unionByName(self._refined(hot)).distinct()
-
-    def _compared(self, slices: DataFrame, *keys: str) -> DataFrame:
-        window, reach, min_span = self.window, self.min_span - self.window, self.min_span
-        a = slices.select(*keys, *(F.col(c).alias(f"{c}_a") for c in ("item_id", "pos", "begin", "part")))
-        b = slices.select(*keys, *(F.col(c).alias(f"{c}_b") for c in ("item_id", "pos", "begin", "part")))
-        pairs = a.join(b, list(keys)).where("item_id_a < item_id_b").drop(*keys)
+        stretches of at least min_span, proven on the texts; at least one for
+        every pair that has any, but not all of a pair's."""
+        cool, spans = self._neighbourhoods(records, key, text)
+        return cool.unionByName(_holders_paired(spans, self.min_span)).distinct()
+
+    def covered(self, records: DataFrame, key: str, text: str) -> DataFrame:
+        """(item_id, begin, end): stretches that cover all that is shared."""
+        cool, spans = self._neighbourhoods(records, key, text)
+        sides = (cool.select(F.col(f"id_{s}").alias("item_id"), F.col(f"begin_{s}").alias("begin"), F.col(f"end_{s}").alias("end")) for s in "ab")
+        return spans.select("item_id", "begin", "end").unionByName(next(sides)).unionByName(next(sides)).distinct()
+
+    def _compared(self, slices: DataFrame) -> DataFrame:
+        window, min_span = self.window, self.min_span
+        a = slices.select("hash", *(F.col(c).alias(f"{c}_a") for c in ("item_id", "pos", "begin", "part")))
+        b = slices.select("hash", *(F.col(c).alias(f"{c}_b") for c in ("item_id", "pos", "begin", "part")))
+        pairs = a.join(b, "hash").where("item_id_a < item_id_b").drop("hash")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -230,26 +301,42 @@ class SpanIndex:
 
         return pairs.mapInArrow(run, "id_a long, begin_a int, end_a int, id_b long, begin_b int, end_b int")
 
-    def _refined(self, slices: DataFrame) -> DataFrame:
-        """The same for hot hashes: pairs of equal spans of min_span only."""
+    def _spans(self, slices: DataFrame) -> DataFrame:
+        """(x, y, item_id, begin, end): the digests of the spans of min_span in
+        the neighbourhoods, and the stretch that a chain of equal ones covers."""
         span = self.min_span
-        starts = F.sequence(F.col("begin"), F.col("begin") + F.length("part") - span)
-        spans = (
-            slices.where(F.length("part") >= span)
-            .select("item_id", "begin", "part", F.explode(starts).alias("at"))
-            .select("item_id", "at", F.substr("part", F.col("at") - F.col("begin") + 1, F.lit(span)).alias("part"))
-            .select("item_id", "at", F.xxhash64("part").alias("x"), F.md5("part").alias("y"))
-            .distinct()
-        )
-        twice = spans.groupBy("x", "y").agg(F.min("item_id").alias("low"), F.max("item_id").alias("high")).where("low < high").select("x", "y")
-        kept = spans.join(twice, ["x", "y"], "left_semi")
-        a = kept.select("x", "y", F.col("item_id").alias("id_a"), F.col("at").alias("begin_a"))
-        b = kept.select("x", "y", F.col("item_id").alias("id_b"), F.col("at").alias("begin_b"))
-        return (
-            a.join(b, ["x", "y"])
-            .where("id_a < id_b")
-            .select("id_a", "begin_a", (F.col("begin_a") + span).alias("end_a"), "id_b", "begin_b", (F.col("begin_b") + span).alias("end_b"))
-        )
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                c = batch.to_pydict()
+                digests, ids, begins, ends = [], [], [], []
+                for i, b, part in zip(c["item_id"], c["begin"], c["part"]):
+                    if len(part) < span:
+                        continue
+                    _, first, last = _chains(window_hashes(_codes(part), span), np.arange(len(part) - span + 1), span)
+                    digests += [hashlib.md5(part[f : f + span].encode("utf-8", "surrogatepass")).digest() for f in first.tolist()]
+                    ids.append(np.full(len(first), i, np.int64))
+                    begins.append((first + b).astype(np.int32))
+                    ends.append((last + b + span).astype(np.int32))
+                if ids:
+                    xy = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in (xy[:, 0], xy[:, 1], *map(np.concatenate, (ids, begins, ends)))], ["x", "y", "item_id", "begin", "end"])
+
+        return slices.select("item_id", "begin", "part").mapInArrow(run, "x long, y long, item_id long, begin int, end int")
+
+
+def _holders_paired(spans: DataFrame, span: int) -> DataFrame:
+    """The pairs of the holders of each span. Spans with the same holders give
+    the same pairs, so one of them stands for all."""
+    held = spans.groupBy("x", "y", "item_id").agg(F.min("begin").alias("begin"))
+    sets = held.groupBy("x", "y").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(item_id))").alias("s"), F.expr("bit_xor(xxhash64(item_id, 7))").alias("t"))
+    one = sets.groupBy("n", "s", "t").agg(F.min(F.struct("x", "y")).alias("k")).select("k.x", "k.y", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    own = written(held.join(one, ["x", "y"]).withColumn("own", F.pmod(F.xxhash64("item_id"), "slices").cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    a = own.select("x", "y", F.col("own").alias("slice_a"), other.alias("slice_b"), F.col("item_id").alias("id_a"), F.col("begin").alias("begin_a"))
+    b = own.select("x", "y", other.alias("slice_a"), F.col("own").alias("slice_b"), F.col("item_id").alias("id_b"), F.col("begin").alias("begin_b"))
+    met = a.join(b, ["x", "y", "slice_a", "slice_b"]).where("id_a < id_b")
+    return met.select("id_a", "begin_a", (F.col("begin_a") + span).alias("end_a"), "id_b", "begin_b", (F.col("begin_b") + span).alias("end_b"))
 
 
 def _common(a: str, b: str) -> int:
@@ -266,32 +353,32 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def shares(matches: DataFrame, records: DataFrame, key: str, text: str) -> DataFrame:
+def shares(covered: DataFrame, records: DataFrame, key: str, text: str) -> DataFrame:
     """(item_id, n_chars, shared_chars, share) of every record: the part of
     its text that also stands in another, overlaps counted once."""
-    both = matches.select(F.col("id_a").alias("item_id"), F.col("begin_a").alias("b"), F.col("end_a").alias("e")).unionByName(
-        matches.select(F.col("id_b").alias("item_id"), F.col("begin_b").alias("b"), F.col("end_b").alias("e"))
-    )
-    # Distinct stretches first: a text in many pairs has few different ones.
-    edges = both.distinct().groupBy("item_id", "b").agg(F.max("e").alias("e"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("item_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.coalesce(F.max("e").over(before), F.lit(0))
-    fresh = edges.select("item_id", F.greatest(F.col("e") - F.greatest(F.col("b"), reach), F.lit(0)).alias("fresh"))
+    # A text in many pairs has few different stretches.
+    edges = covered.groupBy("item_id", "begin").agg(F.max("end").alias("end"))
+    before = Window.partitionBy("item_id").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("end").over(before), F.lit(0))
+    fresh = edges.select("item_id", F.greatest(F.col("end") - F.greatest(F.col("begin"), reach), F.lit(0)).alias("fresh"))
     shared = fresh.groupBy("item_id").agg(F.sum("fresh").cast("long").alias("shared_chars"))
     sizes = records.select(records[key].cast("long").alias("item_id"), F.coalesce(F.length(records[text]), F.lit(0)).cast("long").alias("n_chars")).distinct()
     n, s = F.col("n_chars"), F.coalesce(F.col("shared_chars"), F.lit(0)).cast("long")
     return sizes.join(shared, "item_id", "left").select("item_id", "n_chars", s.alias("shared_chars"), F.when(n > 0, s / n).otherwise(F.lit(0.0)).alias("share"))
 
 
-def span_matches(records: DataFrame, key: str, text: str, batches: list[DataFrame] | None = None, min_span: int = MIN_SPAN, window: int = WINDOW) -> DataFrame:
-    """All matches among the records, indexed batch by batch."""
+def indexed(records: DataFrame, key: str, text: str, batches: list[DataFrame] | None = None, min_span: int = MIN_SPAN, window: int = WINDOW) -> SpanIndex:
+    """An index of the records, made batch by batch; its runs are dropped."""
     index = SpanIndex(records.sparkSession, min_span, window)
     for batch in batches or [records]:
         index.add(batch, key, text)
     index.close()
-    return index.matches(records, key, text)
+    return index
+
+
+def span_matches(records: DataFrame, key: str, text: str, batches: list[DataFrame] | None = None, min_span: int = MIN_SPAN, window: int = WINDOW) -> DataFrame:
+    """The matches among the records, indexed batch by batch."""
+    return indexed(records, key, text, batches, min_span, window).matches(records, key, text)
 
 
 def _batches(documents: DataFrame) -> list[DataFrame]:
@@ -303,25 +390,29 @@ def _batches(documents: DataFrame) -> list[DataFrame]:
     return [documents.where(F.col("ingested_at") < F.lit(middle)), documents.where(late)]
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, sf_dir, "documents")
-    return span_matches(documents, "doc_id", "text", _batches(documents)), documents
-
-
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = _matches(spark, sf_dir)
+    documents = table(spark, sf_dir, "documents")
+    found = span_matches(documents, "doc_id", "text", _batches(documents))
     return found.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b")).distinct()
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, documents = _matches(spark, sf_dir)
-    return shares(written(found), documents, "doc_id", "text").withColumnRenamed("item_id", "doc_id")
+    documents = table(spark, sf_dir, "documents")
+    covered = indexed(documents, "doc_id", "text", _batches(documents)).covered(documents, "doc_id", "text")
+    return shares(covered, documents, "doc_id", "text").withColumnRenamed("item_id", "doc_id")
 
 
 QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares}
+_GRAMS = "g AS (SELECT doc_id, i, md5(substr(text, i, 600)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 598)) AS i FROM documents WHERE length(text) >= 600))"
 SQL = {
-    "p10_found": """
-WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, i, 600)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 598)) AS i FROM documents WHERE length(text) >= 600))
-SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id
-"""
+    "p10_found": f"WITH {_GRAMS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, h FROM g) a JOIN (SELECT DISTINCT doc_id, h FROM g) b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p10_shares": f"""
+WITH {_GRAMS}, twice AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT DISTINCT doc_id, i FROM g WHERE h IN (SELECT h FROM twice)),
+step AS (SELECT doc_id, least(600, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 600)) AS n FROM hit),
+covered AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM step GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, coalesce(n, 0) AS shared_chars,
+       CASE WHEN coalesce(length(text), 0) > 0 THEN CAST(coalesce(n, 0) AS DOUBLE) / length(text) ELSE 0.0 END AS share
+FROM documents LEFT JOIN covered USING (doc_id)
+""",
 }

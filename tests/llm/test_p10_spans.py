@@ -49,12 +49,54 @@ def test_against_brute_force_in_batches(spark):
         texts = corpus(seed)
         df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
         batches = [df.where("doc_id < 20"), df.where("doc_id between 20 and 30"), df.where("doc_id > 30")]
-        found = p10.span_matches(df, "doc_id", "text", batches, min_span=40, window=25)
-        assert {(r.id_a, r.id_b) for r in found.collect()} == brute(texts, 40)
-    rows = {r.item_id: r.shared_chars for r in p10.shares(found, df, "doc_id", "text").collect()}
-    for i, n in brute_share(texts, 40).items():
-        if not any(s in (texts[i] or "") for s in ("ab" * 20, "z" * 40)):
-            assert rows[i] == n
+        index = p10.indexed(df, "doc_id", "text", batches, min_span=40, window=25)
+        assert {(r.id_a, r.id_b) for r in index.matches(df, "doc_id", "text").collect()} == brute(texts, 40)
+        rows = {r.item_id: r.shared_chars for r in p10.shares(index.covered(df, "doc_id", "text"), df, "doc_id", "text").collect()}
+        assert rows == brute_share(texts, 40)
+
+
+def test_stretches_that_repeat_themselves(spark):
+    rng = random.Random(4)
+    for period in (1, 2, 7, 24, 25, 26, 31):
+        unit = "".join(rng.choice("abcdefghijklmnop") for _ in range(period))
+        letters = lambda n: "".join(rng.choice("qrstuvwxyz") for _ in range(n))
+        texts = {i: letters(rng.randint(0, 30)) + (unit * 300)[rng.randint(0, period) :][: rng.choice([20, 39, 40, 45, 90, 300])] + letters(rng.randint(0, 30)) for i in range(12)}
+        texts[12] = texts[13] = unit * 12 + "-" + unit * 5
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        index = p10.indexed(df, "doc_id", "text", None, min_span=40, window=25)
+        assert {(r.id_a, r.id_b) for r in index.matches(df, "doc_id", "text").collect()} == brute(texts, 40)
+        rows = {r.item_id: r.shared_chars for r in p10.shares(index.covered(df, "doc_id", "text"), df, "doc_id", "text").collect()}
+        assert rows == brute_share(texts, 40)
+
+
+def test_a_long_stretch_of_production_size(spark):
+    df = spark.createDataFrame([(1, "abcdefghij" * 600), (2, "abcdefghij" * 600), (3, "abcdefghij" * 59)], "doc_id long, text string")
+    index = p10.indexed(df, "doc_id", "text")
+    assert [(r.id_a, r.id_b) for r in index.matches(df, "doc_id", "text").collect()] == [(1, 2)]
+    rows = p10.shares(index.covered(df, "doc_id", "text"), df, "doc_id", "text").collect()
+    assert {r.item_id: (r.shared_chars, r.share) for r in rows} == {1: (6000, 1.0), 2: (6000, 1.0), 3: (0, 0.0)}
+
+
+def test_a_later_session_joins_history(spark, tmp_path):
+    texts = corpus(5)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    folder = str(tmp_path / "index")
+    first = p10.SpanIndex(spark, 40, 25, folder=folder)
+    first.add(df.where("doc_id < 20"), "doc_id", "text")
+    first.close()
+    later = p10.SpanIndex.open(spark.newSession(), folder)
+    later.add(df.where("doc_id >= 20"), "doc_id", "text")
+    assert {(r.id_a, r.id_b) for r in later.matches(df, "doc_id", "text").collect()} == brute(texts, 40)
+    later.close()
+    assert len(p10.SpanIndex.open(spark, folder).shared) == 2
+
+
+def test_holders_meet_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(p10, "SLICE", 2)
+    monkeypatch.setattr(p10, "HOT", 3)
+    texts = corpus(6)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r.id_a, r.id_b) for r in p10.span_matches(df, "doc_id", "text", None, 40, 25).collect()} == brute(texts, 40)
 
 
 def test_hot_hashes_are_refined(spark, monkeypatch):
@@ -69,7 +111,7 @@ def test_defined_results(spark):
     df = spark.createDataFrame([(1, "x" * 700, 1), (1, "x" * 700, 2), (2, None, 3)], "doc_id long, text string, hash int")
     assert p10.span_matches(df, "doc_id", "text").count() == 0
     assert p10.span_matches(df.limit(0), "doc_id", "text").count() == 0
-    assert {(r.item_id, r.share) for r in p10.shares(p10.span_matches(df, "doc_id", "text"), df, "doc_id", "text").collect()} == {(1, 0.0), (2, 0.0)}
+    assert {(r.item_id, r.share) for r in p10.shares(p10.indexed(df, "doc_id", "text").covered(df, "doc_id", "text"), df, "doc_id", "text").collect()} == {(1, 0.0), (2, 0.0)}
 
 
 def test_winnow_keeps_the_least_of_every_stretch():
