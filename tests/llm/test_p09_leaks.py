@@ -54,12 +54,14 @@ def test_exact_matches_are_complete(spark):
     assert want and {(r.item_id, r.doc_id) for r in got} == want
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    docs, items = setting(2, 0)
+def test_many_items_give_the_same(spark, monkeypatch):
+    docs, items = setting(2, 1)
     d, q = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "question_id long, text string")
-    monkeypatch.setattr(p9, "BLOCK_WINDOWS", 500)
-    got = p9.leaks(d, "doc_id", "text", q, "question_id", "text", edits=0).collect()
-    assert {(r.item_id, r.doc_id) for r in got} == brute(docs, items, 0)
+    small = {tuple(r) for r in p9.leaks(d, "doc_id", "text", q, "question_id", "text").collect()}
+    monkeypatch.setattr(p9, "BLOCK_WINDOWS", 100)
+    large = {tuple(r) for r in p9.leaks(d, "doc_id", "text", q, "question_id", "text").collect()}
+    assert small and large == small
+    assert {(i, d) for i, d, far, _ in large if far == 0} == brute(docs, items, 0)
 
 
 def test_recall_of_edited_passages():
@@ -72,6 +74,38 @@ def test_recall_of_edited_passages():
     assert len(got) >= 0.9 * len(want)
 
 
+def test_recall_of_single_windows_by_edits():
+    """Items of exactly one window, so that each case has the fewest chances."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    for edits in (1, 2):
+        items, texts = {}, []
+        while len(items) < 1200:
+            item = [rng.choice(vocabulary) for _ in range(p9.WORDS)]
+            around = [rng.choice(vocabulary) for _ in range(8)]
+            text = around[:4] + edited(rng, item, edits) + around[4:]
+            if any(p9.edit_distance(text[k : k + p9.WORDS], item, p9.EDITS) <= p9.EDITS for k in range(len(text) - p9.WORDS + 1)):
+                items[len(items)] = " ".join(item)
+                texts.append(" ".join(text))
+        block = p9.ItemBlock(sorted(items.items()))
+        found = block.matches(texts, p9.EDITS)
+        assert sum((i, i) in found for i in items) >= 0.9 * len(items)
+
+
+def test_windows_that_are_not_embedded_are_no_match():
+    docs, items = setting(5, 2, 80)
+    block = p9.ItemBlock(sorted(items.items()))
+    known = p9.bit_map(block.known)
+    texts = list(docs.values())
+    found, owner = p9.symbols(texts)
+    kept = set(p9.survivors(found, owner, p9.WORDS, p9.EDITS, known).tolist())
+    words = [w for t in texts for w in WORD.findall(t.lower())]
+    own = [w[k : k + p9.WORDS] for _, w in block.lists for k in range(len(w) - p9.WORDS + 1)]
+    for at in p9._starts(owner, p9.WORDS).tolist():
+        if at not in kept:
+            assert all(p9.edit_distance(words[at : at + p9.WORDS], w, p9.EDITS) > p9.EDITS for w in own)
+
+
 def test_defined_results(spark):
     d = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "a b c", 5), (3, "a b c", 5)], "doc_id long, text string, item_id int")
     q = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (4, "x " * 20)], "question_id long, text string")
