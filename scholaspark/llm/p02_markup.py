@@ -22,7 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,6 +36,8 @@ from scholaspark.llm.common import table
 KINDS = ("html", "markdown", "wiki", "latex")
 SEED = 5
 PAGES = 1200
+#: Markup in markup in markup, to this depth, is taken away by p2_clean.
+NESTED = 60
 
 #: A text without any of these has no span.
 TRIGGER = r"[<&*_`#|\[{\\$>~]|''|==|--|!\["
@@ -55,43 +57,115 @@ class Span:
     groups: tuple
 
 
-def _rules() -> list[tuple[str, str, str, re.Pattern]]:
-    """(first sign, kind, construct, pattern)."""
+class Found:
+    """A construct found by its two ends, in the form of a match."""
+
+    def __init__(self, text: str, begin: int, end: int, *groups: str):
+        self.text, self.begin, self.to, self.parts = text, begin, end, groups
+
+    def start(self) -> int:
+        return self.begin
+
+    def end(self) -> int:
+        return self.to
+
+    def groups(self) -> tuple:
+        return self.parts
+
+    def group(self) -> str:
+        return self.text[self.begin : self.to]
+
+
+def _between(opening: str, closing: str):
+    """Finds what stands between two signs, in time linear in the text: where
+    no closing sign follows, none does for any later opening one."""
+
+    def find(text: str) -> Iterator[Found]:
+        at = text.find(opening)
+        while at >= 0:
+            end = text.find(closing, at + len(opening))
+            if end < 0:
+                return
+            yield Found(text, at, end + len(closing), opening, text[at + len(opening) : end])
+            at = text.find(opening, end + len(closing))
+
+    return find
+
+
+_BRACKET = re.compile(r"\\([\[\]()])|\n[ \t]*\n")
+
+
+def _bracketed(text: str) -> Iterator[Found]:
+    """Formulas in \\[ \\] and \\( \\): an opening sign with the next closing one of
+    its kind, if no blank line lies between."""
+    opened: re.Match | None = None
+    for m in _BRACKET.finditer(text):
+        sign = m.group(1)
+        if sign in ("[", "("):
+            opened = m
+        elif opened and sign and sign == {"[": "]", "(": ")"}[opened.group(1)]:
+            if m.start() > opened.end():
+                yield Found(text, opened.start(), m.end(), opened.group(1), text[opened.end() : m.start()])
+            opened = None
+        elif not sign:
+            opened = None
+
+
+_ENDS = re.compile(r"\\(begin|end)\{(" + _MATH_ENV + r")(\*?)\}")
+
+
+def _environments(text: str) -> Iterator[Found]:
+    """Formulas between the begin and the end of an environment; inner ones
+    belong to the outer."""
+    opened: re.Match | None = None
+    for m in _ENDS.finditer(text):
+        if m.group(1) == "begin":
+            opened = opened or m
+        elif opened and m.groups()[1:] == opened.groups()[1:]:
+            yield Found(text, opened.start(), m.end(), opened.group(2), text[opened.end() : m.start()])
+            opened = None
+
+
+def _rules() -> list[tuple[str, str, str, Callable[[str], Iterator]]]:
+    """(first sign, kind, construct, finder). A pattern's open parts stop at the
+    construct's own signs or the line's end, so none looks far in vain."""
+    p = lambda x, flags=0: re.compile(x, flags).finditer
     m, s = re.M, re.S
     return [
-        ("<", "html", "comment", re.compile(r"<!--.*?-->", s)),
-        ("<", "html", "tag", re.compile(r"</?([a-zA-Z][a-zA-Z0-9]{0,11})((?:\s[^<>]{0,300})?)/?>")),
-        ("&", "html", "entity", re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,24});")),
-        ("`", "markdown", "fence", re.compile(r"^(```|~~~)[^\n`]*\n(.*?)(?:^\1[ \t]*$|\Z)", m | s)),
-        ("`", "markdown", "code", re.compile(r"(?<!`)`([^`\n]{1,200})`(?!`)")),
-        ("#", "markdown", "heading", re.compile(r"^(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*$", m)),
-        ("=", "markdown", "underlined", re.compile(r"^(?![=\-|{*#>\s])([^\n]{1,120})\n(={3,}|-{4,})[ \t]*$", m)),
-        ("[", "markdown", "link", re.compile(r"(!?)\[([^\[\]\n]{0,300})\]\((\S{1,500}?)(?:\s\"[^\"\n]*\")?\)")),
-        ("[", "markdown", "task", re.compile(r"^[ \t]*[-*+] \[([ xX])\] +(\S[^\n]*)$", m)),
-        ("*", "markdown", "strong", re.compile(r"(?<![*\w])\*\*(?=\S)([^*\n]{1,300}?)(?<=\S)\*\*(?![*\w])")),
-        ("_", "markdown", "strong", re.compile(r"(?<![_\w])__(?=\S)([^_\n]{1,300}?)(?<=\S)__(?![_\w])")),
-        ("*", "markdown", "emphasis", re.compile(r"(?<![*\w])\*(?=[^\s*])([^*\n]{1,200}?)(?<=[^\s*])\*(?![*\w])")),
-        ("_", "markdown", "emphasis", re.compile(r"(?<![_\w\\{}^])_(?=[^\s_{}\\])([^_\n{}\\]{1,200}?)(?<=[^\s_])_(?![_\w{])")),
-        (">", "markdown", "quote", re.compile(r"^>+ ?(\S[^\n]*)$", m)),
-        ("|", "markdown", "rule", re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$", m)),
-        ("|", "markdown", "row", re.compile(r"^[ \t]*\|([^\n{}|!+-][^\n]*)\|[ \t]*$", m)),
-        ("*", "markdown", "bullet", re.compile(r"^[ \t]*[*+-] (?![\[*])(\S[^\n]*)$", m)),
-        ("*", "wiki", "bullet", re.compile(r"^\*{1,4} ?(\[\[\S[^\n]*)$", m)),
-        ("[", "wiki", "link", re.compile(r"\[\[([^\[\]\n|]{1,200})(?:\|([^\[\]\n]{0,200}))?\]\]")),
-        ("{", "wiki", "template", re.compile(r"\{\{([^{}\n]{1,300})\}\}")),
-        ("'", "wiki", "strong", re.compile(r"'''(?!')([^\n]{1,200}?)'''(?!')")),
-        ("'", "wiki", "emphasis", re.compile(r"(?<!')''(?!')([^'\n]{1,200}?)''(?!')")),
-        ("=", "wiki", "heading", re.compile(r"^(={2,6})[ \t]*([^=\n]{1,200}?)[ \t]*\1[ \t]*$", m)),
-        ("{", "wiki", "table", re.compile(r"^\{\|[^\n]*$", m)),
-        ("|", "wiki", "table", re.compile(r"^\|(?:\}|-)[^\n|]*$", m)),
-        ("!", "wiki", "cells", re.compile(r"^!([^\n]*!![^\n]*)$", m)),
-        ("|", "wiki", "cells", re.compile(r"^\| ?([^\n]*\|\|[^\n]*)$", m)),
-        ("\\", "latex", "formula", re.compile(r"\\begin\{(" + _MATH_ENV + r")\*?\}(.*?)\\end\{\1\*?\}", s)),
-        ("\\", "latex", "formula", re.compile(r"\\([\[(])(.{1,1000}?)\\[\])]", s)),
-        ("\\", "latex", "block", re.compile(r"\\(begin|end)\{([a-zA-Z]+\*?)\}(?:\[[^\]\n]*\])?")),
-        ("\\", "latex", "command", re.compile(r"\\([a-zA-Z]+)\*?(?:\[[^\]\n]{0,80}\])?\{([^{}\n]{0,300})\}")),
-        ("\\", "latex", "word", re.compile(r"(?<!\\)\\([a-zA-Z]+)\*?(?![a-zA-Z{])")),
-        ("$", "latex", "math", re.compile(r"(?<![\\$\w])\$\$?([^$\n]{1,300}?)\$\$?(?!\d)")),
+        ("<", "html", "comment", _between("<!--", "-->")),
+        ("<", "html", "tag", p(r"</?([a-zA-Z][a-zA-Z0-9-]*)((?:\s[^<>]*)?)/?>")),
+        ("&", "html", "entity", p(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,40});")),
+        ("`", "markdown", "fence", p(r"^(```|~~~)[^\n`]*\n(.*?)(?:^\1[ \t]*$|\Z)", m | s)),
+        ("`", "markdown", "code", p(r"(?<!`)`([^`\n]+)`(?!`)")),
+        ("#", "markdown", "heading", p(r"^(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*$", m)),
+        ("=", "markdown", "underlined", p(r"^(?![=\-|{*#>\s])([^\n]+)\n(={3,}|-{4,})[ \t]*$", m)),
+        ("[", "markdown", "link", p(r"(!?)\[([^\[\]\n]*)\]\(([^\s()]+(?:\([^\s()]*\)[^\s()]*)*)(?:\s\"[^\"\n]*\")?\)")),
+        ("[", "markdown", "task", p(r"^[ \t]*[-*+] \[([ xX])\] +(\S[^\n]*)$", m)),
+        ("*", "markdown", "strong", p(r"(?<![*\w])\*\*(?=\S)([^*\n]+)(?<=\S)\*\*(?![*\w])")),
+        ("_", "markdown", "strong", p(r"(?<![_\w])__(?=\S)([^_\n]+)(?<=\S)__(?![_\w])")),
+        ("*", "markdown", "emphasis", p(r"(?<![*\w])\*(?=[^\s*])([^*\n]+)(?<=[^\s*])\*(?![*\w])")),
+        ("_", "markdown", "emphasis", p(r"(?<![_\w\\{}^])_(?=[^\s_{}\\])([^_\n{}\\]+)(?<=[^\s_])_(?![_\w{])")),
+        (">", "markdown", "quote", p(r"^>+ ?(\S[^\n]*)$", m)),
+        ("|", "markdown", "rule", p(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$", m)),
+        ("|", "markdown", "row", p(r"^[ \t]*\|([^\n{}|!+-][^\n]*)\|[ \t]*$", m)),
+        ("*", "markdown", "bullet", p(r"^[ \t]*[*+-] (?![\[*])(\S[^\n]*)$", m)),
+        ("*", "wiki", "bullet", p(r"^\*{1,4} ?(\[\[\S[^\n]*)$", m)),
+        ("[", "wiki", "link", p(r"\[\[([^\[\]\n|]+)(?:\|([^\[\]\n]*))?\]\]")),
+        ("{", "wiki", "template", p(r"\{\{([^{}]+)\}\}")),
+        ("'", "wiki", "strong", p(r"'''(?!')([^\n]+?)'''(?!')")),
+        ("'", "wiki", "emphasis", p(r"(?<!')''(?!')([^'\n]+)''(?!')")),
+        ("=", "wiki", "heading", p(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*\1[ \t]*$", m)),
+        ("{", "wiki", "table", p(r"^\{\|[^\n]*$", m)),
+        ("|", "wiki", "table", p(r"^\|(?:\}|-)[^\n|]*$", m)),
+        ("!", "wiki", "cells", p(r"^!([^\n]*!![^\n]*)$", m)),
+        ("|", "wiki", "cells", p(r"^\| ?([^\n]*\|\|[^\n]*)$", m)),
+        ("\\", "latex", "formula", _environments),
+        ("\\", "latex", "formula", _bracketed),
+        ("\\", "latex", "block", p(r"\\(begin|end)\{([a-zA-Z]+\*?)\}(?:\[[^\]\n]*\])?")),
+        ("\\", "latex", "command", p(r"\\([a-zA-Z]+)\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}")),
+        ("\\", "latex", "word", p(r"(?<!\\)\\([a-zA-Z]+)\*?(?![a-zA-Z{])")),
+        ("$", "latex", "display", p(r"(?<![\\$\w])\$\$((?:[^$\n]|\n(?![ \t]*\n))+)\$\$(?![$\d])")),
+        ("$", "latex", "math", p(r"(?<![\\$\w])\$([^$\n]+)\$(?![$\d])")),
     ]
 
 
@@ -129,6 +203,10 @@ def _form(kind: str, what: str, m: re.Match, text: str) -> str:
         return f"{what}_{known}{place}"
     if what == "rule":
         return "rule_table" if "|" in m.group() else "rule_plain"
+    if what == "display":
+        body = g[0]
+        sure = any(x in COMMANDS for x in re.findall(r"\\([a-zA-Z]+)", body)) or re.search(r"[a-zA-Z)}\]] ?[_^](?:\{|\w)|[a-zA-Z)][^\w\s]? ?[=<>+−-] ?[-\w(]", body)
+        return "display_formula" if sure and not re.search(r"[a-z]{4,} [a-z]{2,} [a-z]{2,}", body) else "display_other"
     if what == "math":
         body = g[0]
         if re.search(r"[a-z]{4,} [a-z]{2,}", body):
@@ -148,17 +226,19 @@ def _form(kind: str, what: str, m: re.Match, text: str) -> str:
 def spans(text: str) -> list[Span]:
     """Candidate spans; of overlapping ones of one kind the first and longest."""
     found: list[Span] = []
-    for sign, kind, what, pattern in rules():
+    for sign, kind, what, find in rules():
         if sign in text or (what == "underlined" and "--" in text) or (what == "bullet" and ("- " in text or "+ " in text)) or (what == "rule" and "---" in text) or (what == "task" and "[" in text):
-            found.extend(Span(kind, _form(kind, what, m, text), m.start(), m.end(), (what, *m.groups())) for m in pattern.finditer(text))
+            found.extend(Span(kind, _form(kind, what, m, text), m.start(), m.end(), (what, *m.groups())) for m in find(text))
     found.sort(key=lambda s: (s.begin, -s.end))
-    # Code and formulas hide what is in them.
-    opaque = [(s.begin, s.end) for s in found if s.form in ("fence", "formula", "code_plain", "code_signs", "math_command", "math_script", "comment") and s.end - s.begin > 2]
     kept = []
     last: dict[str, int] = {}
+    # Code and formulas hide what is in them.
+    hidden = (-1, -1)
     for s in found:
-        if any(a <= s.begin and s.end <= b and (a, b) != (s.begin, s.end) for a, b in opaque):
+        if s.end <= hidden[1] and (s.begin, s.end) != hidden:
             continue
+        if s.form in _OPAQUE and s.end - s.begin > 2 and s.end > hidden[1]:
+            hidden = s.begin, s.end
         if s.begin >= last.get(s.kind, 0) or s.form.startswith(("tag", "entity")):
             kept.append(s)
             # A line's construct may hold others; an inline one may not.
@@ -167,6 +247,9 @@ def spans(text: str) -> list[Span]:
     return kept
 
 
+_OPAQUE = {"fence", "formula", "code_plain", "code_signs", "math_command", "math_script", "display_formula", "comment"}
+
+
 def blocks(text: str) -> list[int]:
     """Begins of the blocks: after each run of blank lines."""
     return [0] + [m.end() for m in re.finditer(r"\n[ \t]*\n\s*", text)]
@@ -280,13 +363,15 @@ def _page(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         "latex": (
             lambda: f"\\section{{{w()} {w()}}}\n{sentence()}", lambda: f"The \\emph{{{w()}}} of \\textbf{{{w()} {w()}}} is small.", lambda: f"where ${c()}_i \\le {n()}^{{k}}$ bounds the {w()}.", lambda: f"\\[ \\sum_{{i=1}}^{{n}} {c()}_i = {n()} \\]\nfor each {w()}.", lambda: f"\\begin{{equation}}\n{c()}_{{t+1}} = \\alpha {c()}_t\n\\end{{equation}}",
             lambda: f"\\begin{{itemize}}\n\\item {w()} {w()}\n\\item {w()}\n\\end{{itemize}}", lambda: f"{sentence()[:-1]} \\cite{{{w()}{n()}}}.", lambda: f"As in Section~\\ref{{sec:{c()}}}, {sentence()}", lambda: f"The {w()} has $\\hat{{{c()}}} \\approx 0.{n()}$ on average.", lambda: f"The value ${c()}$ is $ {c()} = {n()} $.",
+            lambda: f"{sentence()}\n$$\n{c()}^{n()} + {c()}^2\n$$", lambda: f"$${c()} = {n()} {c()}$$\nholds for the {w()}.", lambda: f"$$\n\\sum_{{i=1}}^{{n}} {c()}_i \\leq {n()}\n$$",
         ),
     }
     plain = (
         lambda: f"It costs between ${n()} and ${n()} per {w()}.", lambda: f"The price rose from $ {n()} to ${n()}, and the {w()} fell.", lambda: f"The file is in data\\raw\\{w()} and ~{n()}% of it is used.", lambda: f"See C:\\{w()}\\{w()}\\x{n()}.txt.", lambda: f"With R^2 = 0.{n()} and x_1 fixed, it is {n()} * {n()}.",
         lambda: f"It holds for p < 0.0{n()} and for q > {n()} alike.", lambda: f"We store it as run_{w()}_{n()} and call f(x)*g(x) once.", lambda: f"The R&D group used C++ and {{a, b}} as its two states.", lambda: f"As noted in [{n()}], the {w()} is item #{n()} on the list.", lambda: f"Two points:\n• {w()} {w()}\n• {w()}",
         lambda: "".join(rng.choice("%&/()=?#+*~<>|^ !;:._-[]{}$") for _ in range(rng.randint(40, 300))), lambda: "\n".join("".join(rng.choice("%&/()=?#+*~<>|^ !;:._-[]{}$\\'") for _ in range(60)) for _ in range(5)), lambda: f"{w()};{n()};{w()}\n{w()};{n()};{w()}", lambda: f"- {w()} {w()}\n- {w()}\n- {w()} of the {w()}", lambda: f"{n()}. {w()} {w()}\n{n()}. {w()}",
-        lambda: " | ".join(["Home", "Menu", "Skip to content"] * 3), lambda: "(cid:12) (cid:44) (cid:7)", lambda: f"{w().title()} .............. {n()}", lambda: "-" * rng.randint(10, 50) + f"\n{sentence()}", lambda: f"* {w()} {w()}\n* {w()}", lambda: f"{w()}  {n()}.3 ± 0.{n()}  {n()}", lambda: f"The {w()} said 'no' and ''yes' twice.",
+        lambda: " | ".join(["Home", "Menu", "Skip to content"] * 3), lambda: "(cid:12) (cid:44) (cid:7)", lambda: f"{w().title()} .............. {n()}", lambda: "-" * rng.randint(10, 50) + f"\n{sentence()}", lambda: f"* {w()} {w()}\n* {w()}", lambda: f"{w()}  {n()}.3 ± 0.{n()}  {n()}", lambda: f"The {w()} said 'no' and ''yes' twice.", lambda: f"The {w()} costs $$ and the {w()} of the {w()} costs $$ here.", lambda: f"$$ {rng.choice('%&/()')} {n()} $$",
+        lambda: "\n".join(rng.choice("|!=*>#{") + "".join(rng.choice("%&/()=?#+*~<>|^ !;:.@") for _ in range(60)) + rng.choice(["||", "!!", "==", "*"]) + "".join(rng.choice("%&/()=?#+*~<>|^ !;:.@") for _ in range(60)) for _ in range(2)),
     )
     kinds = rng.sample(KINDS, rng.choice([0, 0, 0, 1, 1, 1, 2, 3]))
     parts: list[tuple[str, str | None]] = [(sentence(), None) for _ in range(rng.randint(0, 5))]
@@ -371,8 +456,10 @@ def _plain(span: Span, inner) -> str:
     if what in ("row", "cells"):
         cells = [x.strip() for x in re.split(r"\|\||!!|\|", g[0])]
         return _ROW + "".join("\x01T" + inner(x) for x in cells) + _END
-    if what in ("formula", "math"):
-        return f"{_FORMULA}{g[-1].strip()}{_END}" if what == "formula" else g[0].strip()
+    if what in ("formula", "display"):
+        return f"{_FORMULA}{g[-1].strip()}{_END}"
+    if what == "math":
+        return g[0].strip()
     if what == "block":
         return ""
     if what == "command":
@@ -392,7 +479,7 @@ def _converted(text: str, model: MarkupModel, kinds: list[str] | None, depth: in
     if kinds is None:
         kinds = [k for k in KINDS if roots.get(k, 0.0) >= 0.5]
     out, at = [], 0
-    inner = lambda part: _converted(part, model, kinds, depth + 1)[0] if depth < 3 else part
+    inner = lambda part: _converted(part, model, kinds, depth + 1)[0] if depth < NESTED else part
     for s, p in sorted(zip(found, each), key=lambda x: (x[0].begin, -x[0].end)):
         if s.begin < at or s.kind not in kinds or (p < 0.5 and depth == 0):
             continue

@@ -72,3 +72,40 @@ def test_defined_results(spark):
     assert sorted((r.record_key or "", r.markup) for r in p2.markup(df, "chunk", "k", "text").distinct().collect()) == [("", "markdown"), ("c", "html")]
     assert p2.cleaned(df, "chunk", "k", "text").count() == 5
     assert p2.markup(df.limit(0), "chunk", "k", "text").count() == 0
+
+
+def test_long_constructs_are_found(model):
+    word = "word " * 70
+    cases = [
+        (f'A map: <img alt="x" src="data:{"a" * 400}"> of it.', ["html"], "A map: of it."),
+        ("So \\[ " + "x_i + y_i + " * 130 + "z \\] holds.", ["latex"], None),
+        ("Let $" + "x_i + " * 80 + "z$ be.", ["latex"], None),
+        (f"The **{word}end** is.", ["markdown"], f"The {word}end is."),
+        ("Then\n$$\nx^2 + y^2\n$$\nso.", ["latex"], "Then\n\nx^2 + y^2\n\nso."),
+        (f"See [it](http://x.example/{'y' * 600}).", ["markdown"], "See it."),
+        (f"The '''{word}end''' of ''{word}it''.", ["wiki"], f"The {word}end of {word}it."),
+        (f"A note.\\footnote{{{word}end}}", ["latex"], None),
+        ("{{Infobox town\n| name = Old town\n| size = 7\n}}\nThe town.", ["wiki"], "The town."),
+    ]
+    for text, kinds, plain in cases:
+        found = p2.clean(text, model)
+        assert p2.kinds_of(text, model) == kinds == found[0], text[:40]
+        assert plain is None or found[1] == plain
+        assert not any(sign in found[1] for sign in ("<img", "\\[", "$", "**", "](", "''", "{{", "\\footnote"))
+
+
+def test_openings_without_end_take_linear_time(model):
+    import time
+
+    for sign in ("\\(", "<!--", "[a](", "'''a", "$a ", "\\begin{align}", "> - ", "{{a", "**a "):
+        took = []
+        for n in (4_000, 16_000):
+            began = time.process_time()
+            p2.kinds_of(sign * n, model)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5
+
+
+def test_prices_and_signs_are_no_formulas(model):
+    for text in ("It costs $5 and $7 per unit, at " + "a fair " * 60 + "$9.", "It costs $$ and the others $$ too.", "$$ %% ## $$"):
+        assert p2.kinds_of(text, model) == []
