@@ -8,14 +8,30 @@ from pyspark.sql import functions as F
 from scholaspark.functions import text as T
 
 
+#: Places (as a power of two) of the bit map of keys that come again.
+MAP_BITS = 25
+
+
 def first_loads(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order.
 
     Rows of a null key are one key. The order should be total; rows that tie in
-    it are alike for the caller.
+    it are alike for the caller. Few keys come again, so only the hashes of the
+    keys are shuffled first: those met twice mark a bit map of fixed size (at most
+    8 MB, whatever the data's size), and only the rows on marked places, the
+    repeated ones and a few others, are ranked; all others go through as they lie.
+    ``df`` is read three times, once for its keys only, so it should be a table
+    and not the result of much work.
     """
+    slot = lambda h: h.bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    again = df.select(F.xxhash64(*keys).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    marked = again.select(F.shiftright(slot(F.col("h")), 6).alias("_place"), bit.alias("bits")).groupBy("_place").agg(F.expr("bit_or(bits)").alias("_bits"))
+    placed = df.withColumn("_hash", F.xxhash64(*keys)).withColumn("_place", F.shiftright(slot(F.col("_hash")), 6)).join(F.broadcast(marked), "_place", "left")
+    hit = F.expr("coalesce(_bits & shiftleft(1L, cast(_hash & 63 as int)), 0L) <> 0L")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    ranked = placed.where(hit).withColumn("_rank", rank).where("_rank = 1")
+    return placed.where(~hit).select(*df.columns).unionByName(ranked.select(*df.columns))
 
 
 def records_from_text(raw: DataFrame) -> DataFrame:

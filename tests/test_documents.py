@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from scholaspark.operators import chunking as C
@@ -68,3 +70,18 @@ def test_hashed_embedding(spark):
     df = spark.createDataFrame([(1, "Red red wine"), (2, "wine RED red"), (3, None), (4, "")], "i int, t string")
     got = {r.i: list(r.v) for r in df.select("i", V.hashed_embedding(F.col("t"), 16).alias("v")).collect()}
     assert got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-5 and set(got[3]) == set(got[4]) == {0.0}
+
+
+def test_first_loads_with_shared_places(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *(f"k{i}" for i in range(200))]), rng.choice([None, *range(5)]), n) for n in range(400)]
+    df = spark.createDataFrame(rows, "k string, at int, n int")
+    want = {}
+    for k, at, n in rows:
+        place = (-1 if at is None else at, n)
+        want[k] = min(want.get(k, place), place)
+    for bits in (6, 25):
+        monkeypatch.setattr(D, "MAP_BITS", bits)
+        got = D.first_loads(df, ["k"], [F.col("at"), F.col("n")]).collect()
+        assert len(got) == len(want) and {r.k: (-1 if r.at is None else r.at, r.n) for r in got} == want
+    assert D.first_loads(df.limit(0), ["k"], [F.col("n")]).count() == 0
