@@ -2,20 +2,27 @@
 
 One pass over the texts finds, per field of a record, the page furniture (lines
 that are page numbers, lines that come again as running headers), the words
-divided at line ends, and, in texts with broken lines, the words that are rare
-in the pass's partition. The same pass counts in how many records each word
-stands, per block, so what is shuffled is a vocabulary and the rare words,
-never the texts.
-
-A rare word is held against the vocabulary: a trie of the frequent words is
-intersected with the word's Levenshtein automaton, in which confusions of the
-scanner (one letter for another, or two letters for one) cost 1 and any other
-edit costs ``EDIT``; all words within ``BUDGET`` are found. The vocabulary is
-cut into blocks of bounded size, each with its own trie, and the words into
-slices. A word is misread if a much more frequent word is reached by confusions
-only. For the repair, the candidates are ranked by their context: by the words
-of the record itself, then by cost, then by frequency. Furniture is removed,
-divided words are joined and paragraphs reflowed.
+divided at line ends, and the field's distinct words with their counts. It is
+written once; all else is counted on it, so the texts themselves are never
+shuffled. In how many records each word stands gives the vocabulary.
+
+A word may be a misreading only if a word in ``TIMES`` as many records exists, so
+all but the words that no word exceeds so far are held against the vocabulary: a
+trie of the frequent words is intersected with the word's Levenshtein automaton,
+in which confusions of the scanner (one letter for another, or two letters for
+one) cost 1 and any other edit costs ``EDIT``; all words within ``BUDGET`` are
+found. The vocabulary is cut into bins by its words' beginnings and ends, each
+with its own trie, and a word visits the bins that one of its originals can lie
+in: an edit leaves the beginning or the end as it was, and confusions change a
+beginning into few others.
+
+An original reached by confusions alone makes its word surely misread. A word of
+two or three letters, or an original reached by another edit inside a long word,
+counts only in a field that has a surely misread word, and only beside a far more
+frequent original (``FAR_TIMES``); edits at a word's ends are endings of the
+language, not of the scanner. For the repair, the candidates are ranked by their
+context: by the words of the record itself, then by cost, then by frequency.
+Furniture is removed, divided words are joined and paragraphs reflowed.
 
 Defined results: null, empty and blank texts have no noise and stay as they
 are; a repeated load of a record counts once; a field's sections count together.
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,19 +41,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholaspark.llm.common import table, written
+from scholaspark.llm.common import BROADCAST_LIMIT, table, written
+from scholaspark.operators.documents import first_loads
 
 BUDGET = 2
 EDIT = 2
-#: Words of one trie, and rare words held against it in one task.
-BLOCK_WORDS = 50_000
+#: Words of one trie, and words held against it in one task.
+BIN_WORDS = 50_000
 SLICE_WORDS = 20_000
-#: A word in more than this share of a block's records is no rare word, and how
-#: many records of a partition make a block at most (what a task holds at once).
-RARE_SHARE = 0.02
-BLOCK_RECORDS = 5_000
 #: A misread word's original stands in so many records, and so many times more.
-LEAST, TIMES = 3, 10
+LEAST, TIMES, FAR_TIMES = 3, 10, 50
+#: Letters of a word that is sure by itself, and of one with another edit inside.
+SURE_LETTERS, LONG_LETTERS = 4, 7
 #: From how many cases a field counts as noisy.
 AT_LEAST = {"hyphenation": 2, "misread": 3, "header": 2, "page_number": 2}
 
@@ -56,6 +63,11 @@ CONFUSIONS = (
     ("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("w", "vv"), ("vv", "w"), ("h", "li"), ("li", "h"), ("m", "in"), ("in", "m"), ("m", "nn"), ("m", "ni"), ("ni", "m"), ("n", "ri"), ("ri", "n"), ("u", "ii"), ("n", "ii"), ("ll", "H"), ("k", "lc"), ("lc", "k"), ("b", "lo"), ("p", "lo"), ("h", "ln"), ("fi", "n"), ("tt", "H"),
 )
 
+#: By the first sign read: (printed, read).
+_SWAPS: dict[str, list[tuple[str, str]]] = {}
+for _printed, _read in dict.fromkeys((x.lower(), y.lower()) for x, y in CONFUSIONS):
+    _SWAPS.setdefault(_read[0], []).append((_printed, _read))
+
 _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _PAGE = re.compile(r"^\s*(?:\[?\(?(\d{1,4})\)?\]?|[pP](?:age|\.|g\.)? ?(\d{1,4})(?: ?(?:of|/) ?\d{1,4})?|[–—-]{1,2} ?(\d{1,4}|[ivxlc]{1,7}) ?[–—-]{1,2}|(?=[ivxlc])(x{0,3}(?:ix|iv|v?i{0,3}))|Seite (\d{1,4})|\d{1,4} ?/ ?\d{1,4})\s*$")
 _BESIDE = re.compile(r"^(\S.*?\S)(?:\s{2,}|\s*\|\s*)(\d{1,4}|[ivxlc]{1,6})\s*$|^(\d{1,4}|[ivxlc]{1,6})(?:\s{2,}|\s*\|\s*)(\S.*?\S)\s*$")
@@ -119,13 +131,19 @@ class Layout:
                     beside.add(i)
         groups: list[tuple[str, list[int]]] = []
         exact: dict[str, int] = {}
+        ends: dict[tuple[str, str], list[int]] = {}
         for i, k in keys.items():
             at = exact.get(k)
             if at is None:
-                at = next((j for j, (other, _) in enumerate(groups) if _near(k, other)), None)
+                # Lines that are near each other begin or end alike.
+                marks = ("begin", k[:4]), ("end", k[-4:])
+                near = sorted({j for x in marks for j in ends.get(x, ())})
+                at = next((j for j in near if _near(k, groups[j][0])), None)
                 if at is None:
                     at = len(groups)
                     groups.append((k, []))
+                    for x in marks:
+                        ends.setdefault(x, []).append(at)
                 exact[k] = at
             groups[at][1].append(i)
         heads = [_key(x) for x in (lines[first] if lines else "", title or "") if x]
@@ -203,7 +221,7 @@ def words_of(layout: Layout) -> Counter:
             parts.append(line[:-1])
         else:
             parts.append(line + "\n")
-    return Counter(w for w in _WORD.findall("".join(parts).lower()) if len(w) >= 4)
+    return Counter(w for w in _WORD.findall("".join(parts).lower()) if len(w) >= 2)
 
 
 class Trie:
@@ -216,11 +234,6 @@ class Trie:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = n
-        self.swap: dict[str, list[tuple[str, str]]] = {}
-        for printed, seen in CONFUSIONS:
-            pair = printed.lower(), seen.lower()
-            if pair not in self.swap.setdefault(pair[1][0], []):
-                self.swap[pair[1][0]].append(pair)
 
     def candidates(self, word: str, budget: int = BUDGET, edit: int = EDIT) -> dict[str, tuple[int, bool, int]]:
         """{original: (cost, by confusions only, records)} within the budget."""
@@ -246,7 +259,7 @@ class Trie:
                 if child is not None:
                     stack.append((child, at + 1, cost, pure, made + c))
             if cost < budget and at < size:
-                for printed, read in self.swap.get(word[at], ()):
+                for printed, read in _SWAPS.get(word[at], ()):
                     if word.startswith(read, at):
                         child = node
                         for p in printed:
@@ -272,129 +285,178 @@ def fields_of(full_text: str | None, sections: list | None) -> list[tuple[str, s
     return found + ([("sections", "\n\n".join(texts))] if texts else [])
 
 
-_PASS = "record_key string, field string, what string, word string, other string, n long"
+_FIELD = "struct<field string, noise array<string>, divided array<struct<word string, other string, n int>>, words array<string>, counts array<int>>"
+_KINDS = pa.list_(
+    pa.struct(
+        [
+            ("field", pa.string()),
+            ("noise", pa.list_(pa.string())),
+            ("divided", pa.list_(pa.struct([("word", pa.string()), ("other", pa.string()), ("n", pa.int32())]))),
+            ("words", pa.list_(pa.string())),
+            ("counts", pa.list_(pa.int32())),
+        ]
+    )
+)
 
 
 def passed(papers: DataFrame) -> DataFrame:
-    """The one pass: rows of noise of the layout (n), divided words (h), rare
-    words (r) and the vocabulary's counts (v), told apart by ``what``."""
+    """(load, record_key, fields): the one pass. A row for each load of a
+    record; of each field with text its noise of the layout, the divided words
+    (also as they would be written with a hyphen) and all words with counts."""
     source = papers.select(F.col("doc_id").cast("string").alias("k"), F.col("title").alias("t"), "full_text", "sections")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records: Counter = Counter()
-        held: list[tuple[str, str, Counter]] = []
-        number = 0
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if i == 5 else pa.string()) for i, c in enumerate(columns)], ["record_key", "field", "what", "word", "other", "n"])
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            """The rare words and the counts of the block."""
-            limit = max(LEAST, int(RARE_SHARE * number))
-            rows = []
-            for k, field, words in held:
-                rows += [(k, field, "r", w, None, n) for w, n in words.items() if records[w] <= limit and any(map(str.isalpha, w))]
-                if len(rows) > 50_000:
-                    yield out(rows)
-                    rows = []
-            rows += [(None, None, "v", w, None, n) for w, n in records.items()]
-            for first in range(0, len(rows), 50_000):
-                yield out(rows[first : first + 50_000])
-
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 rows = []
-                for k, t, full, sections in zip(*(part.column(i).to_pylist() for i in range(4))):
-                    every: set[str] = set()
+                for t, full, sections in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                    fields = []
                     for field, text in fields_of(full, sections):
                         layout = Layout(text, t)
-                        rows += [(k, field, "n", what, None, n) for what, n in layout.counts().items() if n >= AT_LEAST[what]]
                         divided = Counter(((a + b).lower(), f"{a}-{b}".lower()) for _, _, a, b in layout.breaks)
-                        rows += [(k, field, "h", word, other, n) for (word, other), n in divided.items()]
                         words = words_of(layout)
-                        every |= words.keys()
-                        if layout.wrapped:
-                            held.append((k, field, words))
-                    if every:
-                        number += 1
-                        records.update(every)
-                yield out(rows)
-                if number >= BLOCK_RECORDS:
-                    yield from closed()
-                    records, held, number = Counter(), [], 0
-        yield from closed()
-
-    return source.mapInArrow(run, _PASS)
-
-
-def candidates(rare: DataFrame, vocabulary: DataFrame, block_words: int = BLOCK_WORDS, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """(word, original, cost, pure, records) of the distinct rare words."""
+                        noise = [what for what, n in layout.counts().items() if n >= AT_LEAST[what]]
+                        fields.append({"field": field, "noise": noise, "divided": [{"word": w, "other": o, "n": n} for (w, o), n in divided.items()], "words": list(words), "counts": list(words.values())})
+                    rows.append(fields)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, _KINDS)], ["record_key", "fields"])
+
+    return source.mapInArrow(run, f"record_key string, fields array<{_FIELD}>").select(F.monotonically_increasing_id().alias("load"), "record_key", "fields")
+
+
+def vocabulary_of(rows: DataFrame) -> DataFrame:
+    """(word, records) of all words of the passed rows."""
+    each = rows.select(F.explode(F.array_distinct(F.flatten(F.transform("fields", lambda f: f["words"])))).alias("word"))
+    return each.groupBy("word").agg(F.count("*").alias("records"))
+
+
+def beginnings(word: str, letters: int = 2, budget: int = BUDGET) -> set[str]:
+    """The beginnings of the words that confusions can have made this word of."""
+    found, seen, stack = set(), set(), [("", 0, 0)]
+    while stack:
+        made, at, cost = stack.pop()
+        if len(made) >= letters or at == len(word):
+            found.add(made[:letters])
+            continue
+        if (made, at, cost) in seen:
+            continue
+        seen.add((made, at, cost))
+        stack.append((made + word[at], at + 1, cost))
+        if cost < budget:
+            stack += [(made + printed, at + len(read), cost + 1) for printed, read in _SWAPS.get(word[at], ()) if word.startswith(read, at)]
+    return found
+
+
+def bins_of(word: str, asked: bool, number: int) -> list[int]:
+    """The bins of a word of the vocabulary, and those an asked one visits."""
+    routes = {f"<{x}" for x in (beginnings(word) if asked else {word[:2]})} | {f">{word[-2:]}", f"<{word[:2]}"}
+    return sorted({zlib.crc32(x.encode()) % number for x in routes})
+
+
+def candidates(rare: DataFrame, vocabulary: DataFrame, bin_words: int = BIN_WORDS, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """(word, original, cost, pure, records): the frequent words within the
+    budget of each asked word."""
     frequent = written(vocabulary.where(F.col("records") >= LEAST))
-    blocks = max(1, -(-frequent.count() // block_words))
+    number = max(1, -(-2 * frequent.count() // bin_words))
     rare = written(rare.select("word").distinct())
-    slices = max(1, -(-rare.count() // slice_words))
-    spread = lambda df, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    v = frequent.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int")).withColumn("slice", spread(frequent, slices))
-    u = rare.withColumn("slice", F.pmod(F.xxhash64("word"), F.lit(slices)).cast("int")).withColumn("block", spread(rare, blocks))
+    slices = max(1, -(-rare.count() // (number * slice_words)))
+
+    def routed(asked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [bins_of(w, asked, number) for w in batch.column(0).to_pylist()]
+                at = pa.array([i for i, x in enumerate(own) for _ in x], pa.int32())
+                part = batch.take(at)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for xs in own for x in xs], pa.int32())], [*batch.schema.names, "bin"])
+
+        return run
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    v = frequent.select("word", "records").mapInArrow(routed(False), "word string, records long, bin int").withColumn("slice", every)
+    u = rare.mapInArrow(routed(True), "word string, bin int").withColumn("slice", F.pmod(F.xxhash64("word"), F.lit(slices)).cast("int"))
 
     def intersect(words: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         trie = Trie(list(zip(words["word"], words["records"])))
         rows = [(w, o, c, p, n) for w in asked["word"] for o, (c, p, n) in trie.candidates(w).items()]
         return pd.DataFrame(rows, columns=["word", "original", "cost", "pure", "records"])
 
-    both = v.groupBy("block", "slice").cogroup(u.groupBy("block", "slice"))
-    return both.applyInPandas(intersect, "word string, original string, cost int, pure boolean, records long")
+    both = v.groupBy("bin", "slice").cogroup(u.groupBy("bin", "slice"))
+    found = both.applyInPandas(intersect, "word string, original string, cost int, pure boolean, records long")
+    # A word may meet an original in several bins.
+    return found.distinct()
+
+
+def misreadings(vocabulary: DataFrame) -> DataFrame:
+    """(word, original, cost, records, sure): what each misread word may be."""
+    most = vocabulary.agg(F.max("records")).first()[0] or 0
+    asked = vocabulary.where((F.col("records") * TIMES <= F.lit(most)) & F.col("word").rlike(r"\p{L}"))
+    found = candidates(asked, vocabulary).join(asked.select("word", F.col("records").alias("own")), "word")
+    n, sure_size = F.length("word"), (F.length("word") >= SURE_LETTERS) | F.col("word").rlike(r"\d")
+    long = (n >= LONG_LETTERS) & (F.length("original") >= LONG_LETTERS)
+    inside = (F.left("word", F.lit(2)) == F.left("original", F.lit(2))) & (F.right("word", F.lit(2)) == F.right("original", F.lit(2)))
+    far = F.col("records") >= F.col("own") * FAR_TIMES
+    sure = F.col("pure") & sure_size
+    likely = far & ((F.col("pure") & ~sure_size) | (~F.col("pure") & long & inside))
+    kept = found.where((F.col("records") >= F.col("own") * TIMES) & (sure | likely))
+    return kept.select("word", "original", "cost", "records", sure.alias("sure"))
+
+
+def _small(df: DataFrame, bytes_a_row: int = 64) -> bool:
+    return df.count() * bytes_a_row <= BROADCAST_LIMIT
 
 
-def _known(rows: DataFrame) -> DataFrame:
-    return written(rows.where("what = 'v'").groupBy("word").agg(F.sum("n").alias("records")))
+def _field_words(rows: DataFrame) -> DataFrame:
+    fields = rows.select("load", "record_key", F.explode("fields").alias("f")).select("load", "record_key", "f.field", F.explode(F.arrays_zip("f.words", "f.counts")).alias("w"))
+    return fields.select("load", "record_key", "field", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
 
 
-def _misread(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(record_key, field, word, n, original, cost, records): misread words."""
-    rare = rows.where("what = 'r'").select("record_key", "field", "word", "n").join(vocabulary.withColumnRenamed("records", "own"), "word")
-    found = candidates(rare, vocabulary).where("pure")
-    enough = F.col("records") >= F.col("own") * TIMES
-    return rare.join(found, "word").where(enough)
+def _misread(rows: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(load, record_key, field, n): the number of misread words, which is that
+    of the surely misread ones and, if there are any, of the likely ones."""
+    known = fixes.groupBy("word").agg(F.max("sure").alias("sure"))
+    known = F.broadcast(known) if _small(fixes) else known
+    sums = _field_words(rows).join(known, "word").groupBy("load", "record_key", "field").agg(F.sum("n").alias("n"), F.max("sure").alias("any"))
+    return sums.where("any").drop("any")
 
 
 def noise(papers: DataFrame) -> DataFrame:
     """(record_key, field, noise)."""
     rows = written(passed(papers))
-    vocabulary = _known(rows)
-    layout = rows.where("what = 'n'").select("record_key", "field", F.col("word").alias("noise"))
-    divided = rows.where("what = 'h'")
+    vocabulary = written(vocabulary_of(rows))
+    fields = rows.select("load", "record_key", F.explode("fields").alias("f"))
+    layout = fields.select("record_key", "f.field", F.explode("f.noise").alias("noise"))
+    divided = fields.select("load", "record_key", "f.field", F.explode("f.divided").alias("d")).select("load", "record_key", "field", "d.*")
     joined = vocabulary.select("word", F.col("records").alias("whole"))
     hyphened = vocabulary.select(F.col("word").alias("other"), F.col("records").alias("compound"))
     # A compound that is written with a hyphen elsewhere isn't divided.
     kept = divided.join(joined, "word", "left").join(hyphened, "other", "left").where("compound is null or whole >= compound")
-    cut = kept.groupBy("record_key", "field", "word", "other").agg(F.max("n").alias("n")).groupBy("record_key", "field").agg(F.sum("n").alias("n"))
-    misread = _misread(rows, vocabulary).select("record_key", "field", "word", "n").distinct().groupBy("record_key", "field").agg(F.sum("n").alias("n"))
+    cut = kept.groupBy("load", "record_key", "field").agg(F.sum("n").alias("n"))
+    misread = _misread(rows, written(misreadings(vocabulary)))
     wide = lambda df, what: df.where(F.col("n") >= AT_LEAST[what]).select("record_key", "field", F.lit(what).alias("noise"))
     return layout.unionByName(wide(cut, "hyphenation")).unionByName(wide(misread, "misread")).distinct()
 
 
-def repair(text: str, fixes: dict[str, list[tuple[str, int, int]]], title: str | None = None) -> str:
+def repair(text: str, fixes: dict[str, list[tuple[str, int, int, bool]]], title: str | None = None) -> str:
     """The text without furniture, reflowed, its misread words replaced.
 
-    ``fixes`` has (original, cost, records) by misread word; of several the one
-    the record itself uses most comes first, then the cheapest, then the most
-    frequent, then the first in order.
+    ``fixes`` has (original, cost, records, sure) by misread word; of several the
+    one the record itself uses most comes first, then the cheapest, then the most
+    frequent, then the first in order. Without any sure one nothing is replaced.
     """
     layout = Layout(text, title)
-    noisy = any(layout.furniture) or layout.breaks or layout.wrapped or fixes
-    if not noisy:
+    own = {w: fixes[w] for w in words_of(layout) if w in fixes}
+    if not any(o[3] for x in own.values() for o in x):
+        own = {}
+    if not (any(layout.furniture) or layout.breaks or layout.wrapped or own):
         return text
     plain = layout.text()
-    if not fixes:
+    if not own:
         return plain
     context = Counter(_WORD.findall(plain.lower()))
 
     def fix(m: re.Match) -> str:
         word = m.group()
-        options = fixes.get(word.lower())
+        options = own.get(word.lower())
         if not options:
             return word
         best = min(options, key=lambda o: (-context[o[0]], o[1], -o[2], o[0]))[0]
@@ -404,23 +466,36 @@ def repair(text: str, fixes: dict[str, list[tuple[str, int, int]]], title: str |
 
 
 def repaired(papers: DataFrame) -> DataFrame:
-    """(doc_id, full_text, sections): the texts as continuous paragraphs."""
+    """(doc_id, full_text, sections): the texts as continuous paragraphs. The
+    misreadings go to every task if they are few; else each record gets its own."""
     rows = written(passed(papers))
-    misread = _misread(rows, _known(rows))
-    fixes = misread.groupBy("record_key").agg(F.collect_set(F.struct("field", "word", "original", "cost", "records")).alias("fixes"))
-    source = papers.select("doc_id", "title", "full_text", "sections").dropDuplicates(["doc_id"]).join(fixes.withColumnRenamed("record_key", "doc_id"), "doc_id", "left")
+    fixes = written(misreadings(written(vocabulary_of(rows))))
+    source = first_loads(papers.select("doc_id", "title", "full_text", "sections"), ["doc_id"], [F.xxhash64("title", "full_text")])
     section = pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())]))
+    few = _small(fixes)
+    by: dict[str, list] = {}
+    for r in fixes.collect() if few else ():
+        by.setdefault(r.word, []).append((r.original, r.cost, r.records, r.sure))
+    sent = papers.sparkSession.sparkContext.broadcast(by)
+    none = F.array().cast("array<struct<word string, original string, cost int, records long, sure boolean>>")
+    if few:
+        source = source.withColumn("fixes", none)
+    else:
+        own = _field_words(rows).select("record_key", "word").distinct().join(fixes, "word").groupBy(F.col("record_key").alias("doc_id")).agg(F.collect_list(F.struct("word", "original", "cost", "records", "sure")).alias("fixes"))
+        source = source.join(own, "doc_id", "left").withColumn("fixes", F.coalesce("fixes", none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.to_pydict()
             full, parts = [], []
             for t, text, sections, own in zip(c["title"], c["full_text"], c["sections"], c["fixes"]):
-                by: dict[str, dict[str, list]] = {"full_text": {}, "sections": {}}
-                for f in own or ():
-                    by[f["field"]].setdefault(f["word"], []).append((f["original"], f["cost"], f["records"]))
-                full.append(text if not text else repair(text, by["full_text"], t))
-                parts.append(None if sections is None else [None if s is None else {"heading": s["heading"], "text": s["text"] and repair(s["text"], by["sections"], t)} for s in sections])
+                fix = sent.value
+                if own:
+                    fix = {}
+                    for f in own:
+                        fix.setdefault(f["word"], []).append((f["original"], f["cost"], f["records"], f["sure"]))
+                full.append(text if not text else repair(text, fix, t))
+                parts.append(None if sections is None else [None if s is None else {"heading": s["heading"], "text": s["text"] and repair(s["text"], fix, t)} for s in sections])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(full, pa.string()), pa.array(parts, section)], ["doc_id", "full_text", "sections"])
 
     return source.mapInArrow(run, "doc_id string, full_text string, sections array<struct<heading string, text string>>")

@@ -52,7 +52,7 @@ def test_layout():
     layout = p5.Layout(PAGE)
     assert layout.counts() == {"header": 3, "page_number": 2} and layout.wrapped
     assert [(a, b) for _, _, a, b in layout.breaks] == [("remem", "bered"), ("water", "ways")]
-    fixed = p5.repair(PAGE, {"mi1l": [("mill", 1, 50), ("mil", 2, 90)]})
+    fixed = p5.repair(PAGE, {"mi1l": [("mill", 1, 50, True), ("mil", 2, 90, True)]})
     assert fixed.split("\n\n") == [
         "The old mill", "Abstract", "The mill stood at the river for a long time, and no one remembered who had built it. The stones of the mill were taken from the hills near the river.",
         "1 History", "The first mention of the mill is found in a letter of the abbot, which tells of a dispute over the waterways. It was settled.",
@@ -85,3 +85,48 @@ def test_a_word_divided_twice_counts_twice(spark):
     rows = [("d", None, text, None), ("d", None, text, None), ("e", None, text.split("\nand")[0], None), ("e", None, text.split("\nand")[0], None)]
     df = spark.createDataFrame(rows, "doc_id string, title string, full_text string, sections array<struct<heading string, text string>>")
     assert {tuple(r) for r in p5.noise(df).collect()} == {("d", "full_text", "hyphenation")}
+
+
+FIELDS = "doc_id string, title string, full_text string, sections array<struct<heading string, text string>>"
+
+
+def noisy(spark, texts, clean, times):
+    rows = [(f"c{i}", None, clean, None) for i in range(times)] + [(k, None, t, None) for k, t in texts.items()]
+    df = spark.createDataFrame(rows, FIELDS)
+    found = {r.record_key for r in p5.noise(df).collect() if r.noise == "misread"}
+    fixed = {r.doc_id: r.full_text for r in p5.repaired(df).collect()}
+    return found, fixed
+
+
+def test_short_words_and_other_edits_count_beside_a_sure_one(spark, monkeypatch):
+    clean = "the measurement of the modern climate for the window was low"
+    texts = {"a": "tbe measuremant of modem", "b": "a measureent for tbe c1imate", "d": "mersurement l0w cllmate", "e": "tbe measuremant for", "f": "measurements tbe modem", "g": "an old measuremant"}
+    for limit in (p5.BROADCAST_LIMIT, 0):
+        monkeypatch.setattr(p5, "BROADCAST_LIMIT", limit)
+        found, fixed = noisy(spark, texts, clean, 200)
+        # Without a sure word nothing counts; an ending is no misreading.
+        assert found == {"a", "b", "d"}
+        assert fixed["a"] == "the measurement of modern" and fixed["b"] == "a measurement for the climate" and fixed["d"] == "measurement low climate"
+        assert fixed["e"] == texts["e"] and fixed["g"] == texts["g"] and fixed["f"] == "measurements the modern"
+
+
+def test_a_steady_misreading_is_found_wherever_it_stands(spark):
+    clean = "modern climate examples of the window within the calendar"
+    texts = {f"s{i}": "modem cllmate exarnples of the wlndow" for i in range(6)}
+    for parts in (1, 7):
+        rows = [(f"c{i}", None, clean, None) for i in range(70)] + [(k, None, t, None) for k, t in texts.items()]
+        df = spark.createDataFrame(rows, FIELDS).repartition(parts, "doc_id")
+        assert {r.record_key for r in p5.noise(df).collect()} == set(texts)
+
+
+def test_a_word_visits_the_bins_of_its_originals():
+    rng = random.Random(2)
+    trie = p5.Trie([(w, 9) for w in VOCABULARY])
+    for word in ("modem", "bumning", "examp1es", "cllmate", "wlthln", "betvveen", "rninimal", "duphcate", "ca1enclar", "lietween", "vvindovv"):
+        for number in (1, 7, 500):
+            own = set(p5.bins_of(word, True, number))
+            for original, (_, pure, _) in trie.candidates(word).items():
+                assert not pure or own & set(p5.bins_of(original, False, number))
+    for w in VOCABULARY:
+        at = rng.randrange(2, len(w) - 2)
+        assert set(p5.bins_of(w[:at] + "x" + w[at + 1 :], True, 500)) & set(p5.bins_of(w, False, 500))
