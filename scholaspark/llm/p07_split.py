@@ -2,9 +2,9 @@
 
 Dynamic programming over boundary positions. The candidate cuts of a text are
 its paragraph ends, line ends, sentence ends and clause ends; between two of
-them that lie more than ``COARSE`` characters apart, also the word gaps, and
-where even these are too far apart, every ``COARSE``-th character. Each kind
-has a penalty. A piece runs from its cut, moved back by the overlap, to the
+them that lie more than a step apart, also the word gaps, and where even these
+are too far apart, every step-th character. A step is ``COARSE`` characters, or
+what a piece may gain on the one before if that is less. Each kind has a penalty. A piece runs from its cut, moved back by the overlap, to the
 next cut and has at most ``limit`` characters. The cuts chosen minimise the
 sum of the penalties and of the squared departures of the pieces' sizes from
 the mean size of the least number of pieces. The overlap is the last
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholaspark.llm.common import table
+from scholaspark.operators.documents import first_loads
 
 LIMIT = 2000
 OVERLAP = 200
@@ -39,16 +40,17 @@ _GAP = re.compile(r"\s+")
 _PENALTY = {"p": PARAGRAPH, "l": LINE, "s": SENTENCE, "c": CLAUSE}
 
 
-def candidates(text: str) -> tuple[list[int], list[float]]:
-    """Positions where a piece may end, with penalties; the last is the end."""
+def candidates(text: str, coarse: int = COARSE) -> tuple[list[int], list[float]]:
+    """Positions where a piece may end, with penalties; the last is the end.
+    Neighbours are at most ``coarse`` characters apart."""
     at, cost = [0], [0.0]
 
     def fill(end: int) -> None:
         begin = at[-1]
-        if end - begin <= COARSE:
+        if end - begin <= coarse:
             return
         for m in _GAP.finditer(text, begin + 1, end):
-            if m.end() - at[-1] > COARSE:
+            if m.end() - at[-1] > coarse:
                 hard(m.end())
             if at[-1] < m.end() < end:
                 at.append(m.end())
@@ -56,8 +58,8 @@ def candidates(text: str) -> tuple[list[int], list[float]]:
         hard(end)
 
     def hard(end: int) -> None:
-        while end - at[-1] > COARSE:
-            at.append(at[-1] + COARSE)
+        while end - at[-1] > coarse:
+            at.append(at[-1] + coarse)
             cost.append(ANYWHERE)
 
     for m in _STRONG.finditer(text):
@@ -88,11 +90,11 @@ def begin_of(text: str, cut: int, overlap: int) -> int:
 
 def split(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """(begin, end) of the pieces; none for texts within the limit."""
-    if not 0 <= overlap < limit - COARSE:
-        raise ValueError("the overlap must leave more than the coarse step")
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be at least 0 and below the limit")
     if text is None or len(text) <= limit:
         return []
-    at, cost = candidates(text)
+    at, cost = candidates(text, min(COARSE, limit - overlap))
     begins = [0] + [begin_of(text, c, overlap) for c in at[1:-1]]
     size = len(text)
     # The number of pieces whose mean size, overlap counted, is within the limit.
@@ -148,25 +150,56 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
     return source.mapInArrow(run, "item_key string, index int, begin int, end int, piece string")
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = split_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    chunks = split_texts(table(spark, sf_dir, "chunks"), "chunk_id", "text")
+def _pieces(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    documents, chunks = split_texts(documents, "doc_id", "text"), split_texts(chunks, "chunk_id", "text")
     named = lambda df, name: df.select(F.lit(name).alias("table_name"), "*")
     return named(documents, "documents").unionByName(named(chunks, "chunks"))
 
 
+def rebuilt(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, digest, pieces, longest, overlap) of split texts: the MD5 of the
+    text that the pieces give when each is freed of what it repeats, their number,
+    and the greatest size and overlap. What index to what index is checked too: a
+    gap among the indexes or between the pieces leaves the digest null."""
+    parts = F.array_sort(F.collect_list(F.struct("index", "begin", "end", "piece")))
+    before = lambda i: F.get(F.col("parts"), i - 1)["end"]
+    fresh = F.transform("parts", lambda p, i: F.when((p["index"] == i) & (F.coalesce(before(i), F.lit(0)) >= p["begin"]), F.substr(p["piece"], F.coalesce(before(i), F.lit(0)) - p["begin"] + 1)))
+    whole = F.when(F.forall(fresh, lambda x: x.isNotNull()), F.md5(F.array_join(fresh, "")))
+    overlaps = F.transform("parts", lambda p, i: F.coalesce(before(i), F.lit(0)) - p["begin"])
+    rows = pieces.groupBy(*keys).agg(parts.alias("parts"))
+    return rows.select(*keys, whole.alias("digest"), F.size("parts").alias("pieces"), F.array_max(F.transform("parts", lambda p: F.length(p["piece"]))).alias("longest"), F.array_max(overlaps).alias("overlap"))
+
+
+def _once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = (("documents", "doc_id"), ("chunks", "chunk_id"))
+    rows = (first_loads(table(spark, sf_dir, t).select(k, "text", "ingested_at"), [k], [F.col("ingested_at"), F.xxhash64("text")]) for t, k in named)
+    return _pieces(*rows)
+
+
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece; those of a repeated load once, as its text is the same."""
-    return _pieces(spark, sf_dir).dropDuplicates(["table_name", "item_key", "index"])
+    """Every piece; of repeated loads those of the first."""
+    return _once(spark, sf_dir)
+
+
+def p7_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every split text, whether its pieces keep what is asked of them."""
+    rows = rebuilt(_once(spark, sf_dir), ["table_name", "item_key"])
+    return rows.select("table_name", "item_key", "digest", (F.col("longest") <= LIMIT).alias("within"), F.col("overlap").between(0, OVERLAP).alias("overlaps"), (F.col("pieces") > 1).alias("several"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys of the texts that were cut. Each is the key of a second piece."""
-    return _pieces(spark, sf_dir).where(F.col("index") == 1).select("table_name", "item_key").distinct()
+    pieces = _pieces(*(table(spark, sf_dir, t) for t in ("documents", "chunks")))
+    return pieces.where(F.col("index") == 1).select("table_name", "item_key").distinct()
 
 
-QUERIES = {"p7_pieces": p7_pieces, "p7_found": p7_found}
+QUERIES = {"p7_pieces": p7_pieces, "p7_rebuilt": p7_rebuilt, "p7_found": p7_found}
 SQL = {
+    "p7_rebuilt": """
+SELECT 'documents' AS table_name, CAST(doc_id AS VARCHAR) AS item_key, md5(text) AS digest, TRUE AS within, TRUE AS overlaps, TRUE AS several FROM documents WHERE length(text) > 2000
+UNION
+SELECT 'chunks', chunk_id, md5(text), TRUE, TRUE, TRUE FROM chunks WHERE length(text) > 2000
+""",
     "p7_found": """
 SELECT DISTINCT 'documents' AS table_name, CAST(doc_id AS VARCHAR) AS item_key FROM documents WHERE length(text) > 2000
 UNION

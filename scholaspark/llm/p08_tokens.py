@@ -1,13 +1,14 @@
 """Problem 8: the corpus as ids of a public byte-level BPE vocabulary.
 
 A text longer than ``CHUNK`` characters is cut into chunks that overlap by
-``OVERLAP`` characters. All chunks are pre-tokenised on their own, as one flat
-list of an Arrow batch. Neighbours are stitched at the first position of the
-overlap where both start a pre-token and the character before is no white
-space (there the tokenisation no longer depends on what came before or after);
-where a pre-token spans a whole overlap, the two chunks are joined and
-pre-tokenised again. The pieces between the stitches are then encoded. Shorter
-texts are one piece. There is no shuffle: every row stays in its task.
+``OVERLAP`` characters, and each is pre-tokenised on its own. Neighbours are
+stitched at the first position of the overlap where both start a pre-token and
+the character before is no white space (there the tokenisation no longer depends
+on what came before or after). Where a pre-token spans a whole overlap, the next
+chunk goes on from the last certain boundary; the pre-token itself is looked
+through once more for each doubling of its length only. The pieces between the
+stitches are then encoded. Shorter texts are one piece. There is no shuffle:
+every row stays in its task.
 
 Defined results: null and empty texts give the empty list; a string that looks
 like a special token is plain text; repeated rows give repeated rows.
@@ -15,39 +16,31 @@ like a special token is plain text; repeated rows give repeated rows.
 
 from __future__ import annotations
 
-import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from scholaspark.llm.common import table
+from scholaspark.operators import chunking
 
 #: Folder of the vocabulary files, and the vocabulary's file.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK = 8192
 OVERLAP = 512
-#: Fixed value: the vocabulary's pre-token pattern, as published with it.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-
-@lru_cache(maxsize=4)
 def encoding(directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY):
-    import tiktoken
-
-    lines = Path(directory, vocabulary).read_bytes().splitlines()
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return chunking.encoding(directory, vocabulary)
 
 
 @lru_cache(maxsize=1)
 def _pretoken():
     import regex
 
-    return regex.compile(PATTERN)
+    return regex.compile(chunking.PATTERN)
 
 
 def _starts(text: str, begin: int, end: int) -> list[int]:
@@ -63,15 +56,21 @@ def pieces(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     starts = [[b + s for s in _starts(text, b, min(size, b + chunk + overlap))] for b in begins]
     cuts = [0]
     current = starts[0]
+    open_until = 0
     for number in range(1, len(begins)):
         begin, after = begins[number], starts[number]
+        if begin < open_until:
+            # Still inside the part that was looked through again.
+            continue
         mine = {s for s in current if begin < s and not text[s - 1].isspace()}
         at = next((s for s in after if s < begin + overlap and s in mine), None)
         if at is None:
-            # No resynchronisation: go on from the last certain boundary.
+            # No resynchronisation: go on from the last certain boundary, twice
+            # as far as before.
             last = current[-1] if current else cuts[-1]
-            end = min(size, begin + chunk + overlap)
+            end = min(size, max(begin + chunk, last + 2 * (begin + overlap - last)) + overlap)
             current = [s for s in current if s < last] + [last + s for s in _starts(text, last, end)]
+            open_until = end - chunk - overlap
         else:
             cuts.append(at)
             current = [s for s in after if s >= at]
@@ -91,10 +90,15 @@ def encode_texts(texts: list[str | None], directory: str, vocabulary: str, chunk
     return found
 
 
-def decode_ids(ids: list[int], directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> str:
-    """The text of the ids: their raw bytes joined, then read as UTF-8."""
+def raw_bytes(ids: list[int], directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> bytes:
+    """The raw bytes of the ids, joined."""
     single = encoding(directory, vocabulary).decode_single_token_bytes
-    return b"".join(map(single, ids)).decode("utf-8")
+    return b"".join(map(single, ids))
+
+
+def decode_ids(ids: list[int], directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> str:
+    """The text of the ids: their raw bytes read as UTF-8."""
+    return raw_bytes(ids, directory, vocabulary).decode("utf-8")
 
 
 def encode(df: DataFrame, key: str, text: str, directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -117,9 +121,21 @@ def encode(df: DataFrame, key: str, text: str, directory: str = TOKENIZER_DIR, v
     return source.mapInArrow(run, f"item_key {kind}, ids array<int>").withColumnRenamed("item_key", key)
 
 
+def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, digest, n_bytes): of the texts that the ids give when decoded."""
+    source = encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [raw_bytes(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(r).hexdigest() for r in raw], pa.string()), pa.array([len(r) for r in raw], pa.int64())], ["doc_id", "digest", "n_bytes"])
+
+    return source.mapInArrow(run, "doc_id long, digest string, n_bytes long")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p8_ids": p8_ids}
-SQL: dict[str, str] = {}
+QUERIES = {"p8_ids": p8_ids, "p8_texts": p8_texts}
+SQL = {"p8_texts": "SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents"}

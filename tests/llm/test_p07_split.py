@@ -1,3 +1,4 @@
+import hashlib
 import random
 from itertools import pairwise
 
@@ -61,3 +62,24 @@ def test_defined_results(spark):
     assert {r.item_key for r in found.collect()} == {"d", "e"}
     assert found.where("item_key = 'd'").count() == 4
     assert p7.split_texts(df.limit(0), "k", "text").count() == 0
+
+
+@pytest.mark.parametrize(("limit", "overlap"), [(200, 0), (1, 0), (2, 1), (50, 49), (240, 0), (300, 200), (700, 690)])
+def test_any_limit_and_overlap(limit, overlap):
+    rng = random.Random(limit + overlap)
+    text = "".join(rng.choice(["alpha", "be", ". ", ", ", "\n\n", "\n", " ", "x" * rng.randint(1, 400), "中。"]) for _ in range(60))
+    cuts = p7.split(text, limit, overlap)
+    assert cuts[0][0] == 0 and cuts[-1][1] == len(text) and all(0 < b - a <= limit for a, b in cuts)
+    for (_, b), (c, d) in pairwise(cuts):
+        assert b - overlap <= c <= b < d
+    with pytest.raises(ValueError):
+        p7.split(text, limit, limit)
+
+
+def test_pieces_give_the_text_again(spark):
+    rng = random.Random(1)
+    rows = [(str(i), "".join(rng.choice(["alpha ", "be. ", "\n", "中。", "\U0001f600"]) for _ in range(n))) for i, n in enumerate((0, 10, 900, 5000, 1500))] + [("n", None)]
+    df = spark.createDataFrame(rows, "k string, text string")
+    got = {r.item_key: r for r in p7.rebuilt(p7.split_texts(df, "k", "text"), ["item_key"]).collect()}
+    want = {k: hashlib.md5(t.encode()).hexdigest() for k, t in rows if t and len(t) > p7.LIMIT}
+    assert {k: r.digest for k, r in got.items()} == want and all(r.longest <= p7.LIMIT and r.overlap <= p7.OVERLAP for r in got.values())

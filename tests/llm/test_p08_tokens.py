@@ -26,3 +26,13 @@ def test_defined_results(spark):
     rows = sorted((r.doc_id, list(r.ids)) for r in p8.encode(df, "doc_id", "text").collect())
     assert rows == [(1, []), (2, []), (3, [64, 275]), (3, [64, 275])]
     assert p8.encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_long_pretokens_among_others(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["word ", "x" * rng.randint(1, 900), " " * rng.randint(1, 400), "12", "\n\n", "é"]) for _ in range(40))
+    whole = p8.encoding().encode_ordinary(text)
+    for chunk, overlap in ((100, 10), (64, 8), (300, 40)):
+        parts = p8.pieces(text, chunk, overlap)
+        assert "".join(parts) == text and [i for x in parts for i in p8.encoding().encode_ordinary(x)] == whole
