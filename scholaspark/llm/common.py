@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scholaspark.lineage import shared_folder
 
@@ -33,13 +34,14 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
-    """The rows of a table that is small by its definition; fails beyond
-    ``limit`` rows instead of flooding the driver."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} rows")
-    return rows
+def bounded_rows(df: DataFrame, what: str, limit: int = BROADCAST_LIMIT) -> list:
+    """The rows of a table that is small by its definition (words of a language,
+    short forms of names); fails beyond ``limit`` bytes of text instead of
+    flooding the driver."""
+    size = df.agg(F.sum(sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(16)))).first()[0] or 0
+    if size > limit:
+        raise ValueError(f"{what} has more than {limit} bytes")
+    return df.collect()
 
 
 WORD = re.compile(r"[^\W_]+")
@@ -54,8 +56,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     chain. Each round is written to the shared folder; only a count of changes
     comes to the driver.
     """
-    from pyspark.sql import functions as F
-
     one = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node is not null and other is not null and node <> other")
     both = written(one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))

@@ -445,7 +445,7 @@ def common_words(rows: list) -> dict[str, tuple[str, ...]]:
 
 def defects(records: DataFrame, key: str, question: str, answer: str, words: DataFrame) -> DataFrame:
     """(record_id, defect, clauses): every record; defect null if sound."""
-    common = common_words(bounded_rows(words.where("word is not null and lang is not null"), 5000, "the table of common words"))
+    common = common_words(bounded_rows(words.select("lang", "word").where("word is not null and lang is not null"), "the table of common words"))
     sent = records.sparkSession.sparkContext.broadcast((train(common), common))
     source = records.select(records[key].cast("long").alias("record_id"), records[question].alias("q"), records[answer].alias("a"))
     kind = pa.list_(pa.struct([("text", pa.string()), ("tag", pa.string())]))

@@ -233,9 +233,9 @@ def divergence(p: np.ndarray, profiles: np.ndarray) -> np.ndarray:
 class Profiles:
     """The profiles of the kinds."""
 
-    def __init__(self, labelled: list[tuple[str, str]], common: dict[str, tuple[int, ...]], join: float = JOIN):
+    def __init__(self, labelled: list[tuple[str, str]], common: dict[str, tuple[int, ...]], join: float = JOIN, described: list[tuple[str, np.ndarray]] | None = None):
         self.common = common
-        rows = [(k, normalised(describe(t, common)[1])) for k, t in labelled if k in KINDS and t and not t.isspace()]
+        rows = [(k, normalised(describe(t, common)[1])) for k, t in labelled if k in KINDS and t and not t.isspace()] + (described or [])
         rows += [(k, normalised(describe(t, common)[1])) for k, ts in EXAMPLES.items() for t in ts]
         sums: list[np.ndarray] = []
         sizes: list[int] = []
@@ -302,11 +302,22 @@ def common_words(rows: list) -> dict[str, tuple[int, ...]]:
 
 
 def profiles_of(chunks: DataFrame, labels: DataFrame, words: DataFrame, labelled: int = LABELLED) -> Profiles:
-    """Profiles from a bounded sample of the labelled chunks."""
-    sample = labels.where("kind is not null").distinct().orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(labelled)
-    texts = chunks.select("chunk_id", "text").where("text is not null").join(F.broadcast(sample), "chunk_id").dropDuplicates(["chunk_id"])
-    rows = sorted((r.chunk_id, r.kind, r.text) for r in bounded_rows(texts, labelled, "the labelled sample"))
-    return Profiles([(k, t) for _, k, t in rows], common_words(bounded_rows(words, 5000, "the table of common words")))
+    """Profiles from a bounded sample of the labelled chunks. Its texts are
+    described where they are; only their distributions come to the driver."""
+    common = common_words(bounded_rows(words.select("lang", "word").where("lang is not null and word is not null"), "the table of common words"))
+    sample = labels.select("chunk_id", "kind").where(F.col("kind").isin(*KINDS)).distinct().orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(labelled)
+    texts = chunks.select("chunk_id", "text").where("text is not null").join(F.broadcast(sample), "chunk_id")
+    sent = chunks.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.to_pydict()
+            full = [i for i, t in enumerate(c["text"]) if not t.isspace() and t]
+            rows = [normalised(describe(c["text"][i], sent.value)[1]).tolist() for i in full]
+            yield pa.RecordBatch.from_arrays([pa.array([c[n][i] for i in full], pa.string()) for n in ("chunk_id", "kind")] + [pa.array(rows, pa.list_(pa.float64()))], ["chunk_id", "kind", "p"])
+
+    rows = texts.mapInArrow(run, "chunk_id string, kind string, p array<double>").dropDuplicates(["chunk_id", "kind"]).collect()
+    return Profiles([], common, described=[(k, np.array(p)) for _, k, p in sorted((r.chunk_id, r.kind, r.p) for r in rows)])
 
 
 def statistics(df: DataFrame, key: str, text: str, profiles: Profiles) -> DataFrame:
@@ -345,10 +356,32 @@ def p3_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _statistics(spark, sf_dir).dropDuplicates(["chunk_id"])
 
 
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those figures of every chunk that SQL can say too."""
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    return p3_stats(spark, sf_dir).select("chunk_id", whole("n_chars"), whole("n_words"), whole("n_lines"), F.round("mean_word_length", 6).alias("mean_word_length"), F.round("distinct_words", 6).alias("distinct_words"), F.round("repeated_lines", 6).alias("repeated_lines"), F.round("punctuated_lines", 6).alias("punctuated_lines"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that are a list, a table or junk."""
     return _statistics(spark, sf_dir).where("kind <> 'prose'").select("chunk_id", "kind").distinct()
 
 
-QUERIES = {"p3_stats": p3_stats, "p3_found": p3_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p3_stats": p3_stats, "p3_counts": p3_counts, "p3_found": p3_found}
+_BLANK = r"[\s\x0b\pZ\x1c-\x1f\x85]"
+SQL = {
+    "p3_counts": rf"""
+WITH c AS (SELECT chunk_id, coalesce(any_value(text), '') AS t FROM chunks GROUP BY chunk_id),
+d AS (
+  SELECT chunk_id, t, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS w,
+         list_filter(list_transform(regexp_split_to_array(t, '[\n\r\x0b\x0c\x1c-\x1e\x85\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda x: x <> '') AS l
+  FROM c
+)
+SELECT chunk_id, CASE WHEN len(w) = 0 THEN 0 ELSE length(t) END AS n_chars, CAST(len(w) AS BIGINT) AS n_words, CAST(len(l) AS BIGINT) AS n_lines,
+       round(CASE WHEN len(w) = 0 THEN 0.0 ELSE CAST(list_sum(list_transform(w, lambda x: length(x))) AS DOUBLE) / len(w) END, 6) AS mean_word_length,
+       round(CASE WHEN len(w) = 0 THEN 0.0 ELSE CAST(len(list_distinct(w)) AS DOUBLE) / len(w) END, 6) AS distinct_words,
+       round(CASE WHEN len(w) = 0 THEN 0.0 ELSE 1 - CAST(len(list_distinct(l)) AS DOUBLE) / len(l) END, 6) AS repeated_lines,
+       round(CASE WHEN len(w) = 0 THEN 0.0 ELSE CAST(len(list_filter(l, lambda x: contains('.!?。！？', right(x, 1)))) AS DOUBLE) / len(l) END, 6) AS punctuated_lines
+FROM d
+"""
+}

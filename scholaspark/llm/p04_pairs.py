@@ -1,19 +1,20 @@
 """Problem 4: items that appear together, and how far above chance.
 
 A blocked Gram matrix. The distinct (record, item) entries form a binary sparse
-matrix, cut into blocks of records (by hash of the record) and of items (by
-hash of the item). For each record block and pair of item blocks one task
-multiplies the transposed block of the one with that of the other; the sparse
-products are summed over the record blocks and held against the counts that
-independence would give.
+matrix, cut into blocks of records of about ``BLOCK_PAIRS`` products each. Within
+a record, the items are one block, or, if they are more than ``PART_ITEMS``, as
+many as needed (by hash of the item), and each pair of its item blocks goes to a
+record block of its own. One task multiplies the transposed item blocks of a
+record block with one another; the sparse products are summed over the record
+blocks and held against the counts that independence would give.
 
 Two exact bounds cut the work first. An item of a counted pair has at least
 ``min_together`` records. And since n(a,b) <= min(n(a), n(b)), a pair that
 reaches ``lift`` has n(x) <= N / lift for both its items, so an item in more
 records (a hot one) can't be in any and leaves before pairs are made.
 
-A basket of very many items is spread over all pairs of item blocks, so no
-task holds the square of a whole basket.
+So no task holds the square of a large basket, and only the entries of large
+baskets are copied.
 
 Defined results: null and empty arrays, null names and blank names are no
 items; an item counts once in a record; a record of one item counts towards N.
@@ -32,9 +33,9 @@ from scholaspark.llm.common import table, written
 
 MIN_TOGETHER = 5
 LIFT = 8
-#: Entries that one record block is to have, and items of one item block.
-BLOCK_ENTRIES = 200_000
-BLOCK_ITEMS = 50_000
+#: Products that one record block is to have, and items of one item block.
+BLOCK_PAIRS = 5_000_000
+PART_ITEMS = 2_000
 
 
 def folded(name: Column) -> Column:
@@ -50,13 +51,15 @@ def entries(extractions: DataFrame) -> DataFrame:
     return each.where("item <> '' and record is not null").distinct()
 
 
-def _codes(left: np.ndarray, right: np.ndarray, width: int, same: bool) -> Iterator[np.ndarray]:
-    """Codes a * width + b of the entries of the product of two sparse blocks.
+def _codes(left: np.ndarray, right: np.ndarray, width: int, same: np.ndarray) -> Iterator[np.ndarray]:
+    """Codes a * width + b, a < b, of the entries of the product of two sparse
+    blocks.
 
-    ``left`` and ``right`` are (record, item) sorted by record; a bounded part
-    of the products is held at a time.
+    ``left`` and ``right`` are (unit, item) sorted by unit; ``same`` tells of
+    each unit whether its sides are one block, whose pairs come twice. A bounded
+    part of the products is held at a time.
     """
-    counts = np.bincount(right[:, 0], minlength=int(left[:, 0].max()) + 1 if len(left) else 1)
+    counts = np.bincount(right[:, 0], minlength=len(same))
     first = np.concatenate([[0], np.cumsum(counts)])
     per = counts[left[:, 0]]
     ends = np.cumsum(per)
@@ -65,30 +68,32 @@ def _codes(left: np.ndarray, right: np.ndarray, width: int, same: bool) -> Itera
         base = ends[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, base + 2_000_000, "right")))
         n = per[begin:end]
-        a = np.repeat(left[begin:end, 1], n)
+        a, unit = np.repeat(left[begin:end, 1], n), np.repeat(left[begin:end, 0], n)
         offset = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
         b = right[np.repeat(first[left[begin:end, 0]], n) + offset, 1]
-        yield (a * width + b)[a < b] if same else np.minimum(a, b) * width + np.maximum(a, b)
+        kept = (a < b) | ~same[unit]
+        yield np.minimum(a, b)[kept] * width + np.maximum(a, b)[kept]
         begin = end
 
 
-def block_product(pdf: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
-    """(a, b, n) with a < b: the product of item blocks i and j in the block."""
-    record, _ = pd.factorize(pdf["record"])
-    item, names = pd.factorize(pdf["item_no"])
-    both = np.column_stack([record, item])[np.argsort(record, kind="stable")]
-    block = pdf["item_block"].to_numpy()[np.argsort(record, kind="stable")]
-    left, right = both[block == i], both[block == j]
+def block_product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, n) with a < b: the products of one record block, summed."""
+    unit = pdf.groupby(["record", "p", "q"], sort=False, dropna=False).ngroup().to_numpy()
+    item, names = pd.factorize(pdf["item_no"], sort=True)
+    order = np.argsort(unit, kind="stable")
+    both, p, q, part = np.column_stack([unit, item])[order], *(pdf[c].to_numpy()[order] for c in ("p", "q", "part"))
+    same = np.zeros(unit.max() + 1 if len(unit) else 0, bool)
+    same[both[p == q, 0]] = True
     found: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for codes in _codes(left, right, len(names), i == j):
+    for codes in _codes(both[part == p], both[part == q], len(names), same):
         u, n = np.unique(codes, return_counts=True)
         merged, inverse = np.unique(np.concatenate([found[0], u]), return_inverse=True)
         found = merged, np.bincount(inverse, np.concatenate([found[1], n]), len(merged)).astype(np.int64)
-    a, b = names[found[0] // max(len(names), 1)], names[found[0] % max(len(names), 1)]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": found[1]})
+    width = max(len(names), 1)
+    return pd.DataFrame({"a": names[found[0] // width], "b": names[found[0] % width], "n": found[1]})
 
 
-def together(cells: DataFrame, min_together: int = MIN_TOGETHER, lift: int = LIFT, block_entries: int = BLOCK_ENTRIES, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def together(cells: DataFrame, min_together: int = MIN_TOGETHER, lift: int = LIFT, block_pairs: int = BLOCK_PAIRS, part_items: int = PART_ITEMS) -> DataFrame:
     """(item_a, item_b, n_a, n_b, n_ab, n_records): the pairs of items with at
     least ``min_together`` common records and at least ``lift`` times as many
     as chance would give. ``cells`` has the distinct (record, item)."""
@@ -97,18 +102,14 @@ def together(cells: DataFrame, min_together: int = MIN_TOGETHER, lift: int = LIF
     items = written(
         cells.groupBy("item").agg(F.count("*").alias("n")).where((F.col("n") >= min_together) & (F.col("n") * lift <= total)).withColumn("item_no", F.monotonically_increasing_id())
     )
-    blocks = max(1, -(-items.count() // block_items))
-    kept = cells.join(items.select("item", "item_no"), "item").select("record", "item_no", F.pmod(F.xxhash64("item_no"), F.lit(blocks)).cast("int").alias("item_block"))
-    kept = written(kept)
-    groups = max(1, -(-kept.count() // block_entries))
-    pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
-    of_block = F.array(*(F.array(*(F.lit(k) for k, p in enumerate(pairs) if x in p)) for x in range(blocks)))
-    spread = kept.select("*", F.pmod(F.xxhash64("record"), F.lit(groups)).cast("int").alias("record_block"), F.explode(F.get(of_block, F.col("item_block"))).alias("pair"))
-
-    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return block_product(pdf, *pairs[key[1]])
-
-    products = spread.groupBy("record_block", "pair").applyInPandas(multiply, "a long, b long, n long")
+    kept = cells.join(items.select("item", "item_no"), "item").select("record", "item_no")
+    sizes = kept.groupBy("record").agg(F.count("*").alias("k")).where("k > 1")
+    kept = written(kept.join(sizes, "record").select("record", "item_no", F.ceil(F.col("k") / part_items).cast("int").alias("parts"), "k"))
+    # Each entry of a record of k meets k others, half of them once.
+    groups = max(1, int((kept.agg(F.sum("k")).first()[0] or 0) // (2 * block_pairs)) + 1)
+    cut = kept.withColumn("part", F.pmod(F.xxhash64("item_no"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    units = cut.select("record", "item_no", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    products = units.groupBy(F.pmod(F.xxhash64("record", "p", "q"), F.lit(groups)).alias("block")).applyInPandas(block_product, "a long, b long, n long")
     sums = products.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).where(F.col("n_ab") >= min_together)
     left = items.select(F.col("item_no").alias("a"), F.col("item").alias("name_a"), F.col("n").alias("n_a"))
     right = items.select(F.col("item_no").alias("b"), F.col("item").alias("name_b"), F.col("n").alias("n_b"))

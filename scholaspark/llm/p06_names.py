@@ -427,7 +427,7 @@ def clusters(parsed: DataFrame, found: DataFrame) -> DataFrame:
 def linked(papers: DataFrame, extractions: DataFrame, nicknames: DataFrame) -> DataFrame:
     """(name, kind, label): every linked spelling with its class."""
     formal: dict[str, set] = {}
-    for r in bounded_rows(nicknames.where("given is not null and nick is not null"), 100_000, "the table of nicknames"):
+    for r in bounded_rows(nicknames.select("given", "nick").where("given is not null and nick is not null"), "the table of nicknames"):
         given, nick = folded(r.given).lower(), folded(r.nick).lower()
         formal.setdefault(nick, {nick}).add(given)
         formal.setdefault(given, {given})

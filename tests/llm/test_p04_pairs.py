@@ -36,7 +36,7 @@ def brute(data, least, lift):
 def test_against_brute_force(spark):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA)
-    for entries, items in ((10**6, 10**6), (200, 10), (200, 25)):
+    for entries, items in ((10**6, 10**6), (200, 10), (200, 25), (50, 3), (10, 1)):
         for lift in (1, 2):
             got = p4.together(p4.entries(df), 3, lift, entries, items).collect()
             assert {(r.item_a, r.item_b, r.n_a, r.n_b, r.n_ab) for r in got} == brute(data, 3, lift)
@@ -46,3 +46,11 @@ def test_defined_results(spark):
     df = spark.createDataFrame([("a", None, None, 1), (None, [("x",)], [], 1)], SCHEMA)
     assert p4.together(p4.entries(df)).count() == 0
     assert p4.together(p4.entries(df.limit(0))).count() == 0
+
+
+def test_a_large_basket_is_shared_out(spark):
+    data = [(f"c{i}", [(f"item {j}",) for j in range(600 if i < 6 else 3)], [], 1) for i in range(60)]
+    df = spark.createDataFrame(data, SCHEMA)
+    entries = p4.entries(df)
+    got = p4.together(entries, 5, 8, 20_000, 100).collect()
+    assert len(got) == 597 * 596 // 2 and all(r.n_ab == 6 for r in got)
