@@ -67,49 +67,94 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
 
 
-#: How lines begin that can't be a title.
+#: How lines begin that can't be a title, how a heading is numbered,
+#: what stands between names, and what ends an abstract.
 NO_TITLE = r"(?i)^(arXiv|preprint|submitted|published|copyright)"
+NUMBER = r"^(?:\d+|[IVX]+)\.?"
+NUMBERED = rf"{NUMBER}\s+"
+TITLED = r"[A-Z].{2,60}"
+NAMES = r",\s*|\s+and\s+"
+AFTER_ABSTRACT = r"(?i)^(?:1[.\s]|I[.\s]|Introduction|Keywords)"
+#: The first lines looked at, a title's least size and its lines, the
+#: sizes of a name and the number of names of a line of authors, most characters of
+#: an abstract and of a section's text, and those in which a year is looked for.
+TOP, LEAST_TITLE, TITLE_LINES, NAME, AUTHORS, ABSTRACT, SECTION, YEAR_WITHIN = 5, 5, 2, (3, 49), 20, 2000, 5000, 500
 
 
 def title_of(text: Column) -> Column:
-    """The first two lines, of the first five, that may be a title."""
-    fit = F.filter(F.slice(lines(F.coalesce(text, F.lit(""))), 1, 5), lambda x: ~x.rlike(NO_TITLE) & (F.length(x) >= 5))
-    return strip(F.array_join(F.slice(fit, 1, 2), " "))
+    """The first lines near the top that can be a title, joined."""
+    able = lambda x: (F.length(x) >= LEAST_TITLE) & ~x.rlike(NO_TITLE)
+    return F.array_join(F.slice(F.filter(F.slice(lines(_there(text)), 1, TOP), able), 1, TITLE_LINES), " ")
+
+
+def authors_of(text: Column) -> Column:
+    """The names of the first line below the top one that lists names: it has a
+    comma, no long number, and a bounded number of parts of a name's size."""
+    named = lambda line: F.filter(F.transform(F.split(line, NAMES), strip), lambda n: F.length(n).between(*NAME))
+    below = F.filter(F.slice(lines(_there(text)), 2, TOP), lambda x: x.rlike(r"^(?!.*\d{4}).*,"))
+    lists = F.filter(F.transform(below, named), lambda n: F.size(n).between(1, AUTHORS))
+    return F.coalesce(F.get(lists, F.lit(0)), F.array().cast("array<string>"))
 
 
 def abstract_of(text: Column) -> Column:
-    """What stands between the word Abstract and the first heading."""
-    found = F.regexp_extract(text, r"(?is)(?:^|\n)\s*Abstract[:\s]*\n?(.*?)(?:\n\s*(?:1[.\s]|I[.\s]|Introduction|Keywords))", 1)
-    return F.substring(F.regexp_replace(strip(F.coalesce(found, F.lit(""))), r"\s*\n\s*", " "), 1, 2000)
+    """The lines from the one that begins with Abstract to the first heading
+    after its first words, as one line; empty if no heading follows."""
 
+    def said(rows: Column) -> Column:
+        until = lambda end: F.when(end > 0, F.array_join(F.slice(rows, 1, end), " "))
+        return _let(_first(F.slice(rows, 2, F.size(rows)), AFTER_ABSTRACT), until)
 
-def authors_of(text: Column) -> Column:
-    """The names of the first of lines two to six that lists names."""
-    listed = F.filter(F.slice(lines(F.coalesce(text, F.lit(""))), 2, 5), lambda x: x.contains(",") & ~x.rlike(r"\d{4,}"))
-    names = F.transform(listed, lambda x: F.filter(F.transform(F.split(x, r",\s*|\s+and\s+"), strip), lambda n: (F.length(n) > 2) & (F.length(n) < 50)))
-    fit = F.filter(names, lambda n: (F.size(n) >= 1) & (F.size(n) <= 20))
-    return F.coalesce(F.try_element_at(fit, F.lit(1)), F.array().cast("array<string>"))
+    def of_lines(rows: Column, first: Column) -> Column:
+        opening = F.regexp_replace(F.get(rows, first - 1), r"(?i)^abstract[:\s]*", "")
+        return _let(F.filter(F.concat(F.array(opening), F.slice(rows, first + 1, F.size(rows))), lambda x: x != ""), said)
+
+    found = _let(lines(_there(text)), lambda rows: _let(_first(rows, r"(?i)^abstract"), lambda first: F.when(first > 0, of_lines(rows, first))))
+    return F.coalesce(F.left(found, F.lit(ABSTRACT)), F.lit(""))
 
 
 def year_of(doc_id: Column, text: Column) -> Column:
-    """The year of a dated id (yymm.number), else the first 201x or 202x."""
-    yy = F.regexp_extract(doc_id, r"^(\d{2})\d{2}\.", 1)
-    first = F.regexp_extract(F.substring(text, 1, 500), r"(20[12]\d)", 1)
-    dated = F.when(yy.cast("int") < 50, yy.cast("int") + 2000).otherwise(yy.cast("int") + 1900)
-    return F.when(yy != "", dated).when(first != "", first.cast("int"))
+    """The year of a dated id (yymm.number), else the first 201x or 202x near
+    the top of the text."""
+    dated = F.nullif(F.regexp_extract(doc_id, r"^(\d{2})\d{2}\.", 1), F.lit("")).cast("int")
+    said = F.nullif(F.regexp_extract(F.left(text, F.lit(YEAR_WITHIN)), r"20[12]\d", 0), F.lit("")).cast("int")
+    return F.coalesce(dated + F.when(dated < 50, 2000).otherwise(1900), said)
+
 
+def sections_of(text: Column) -> Column:
+    """Array of (heading, text): a line that begins with a capital and with a
+    number, on the same line or the one before, is a heading, and what follows it
+    up to the next is its text. Neither the first nor the last line is one."""
 
-_HEADING = r"\n\s*(?:\d+\.?\s+|[IVX]+\.?\s+)([A-Z][^\n]{2,60})\n"
+    def between(rows: Column, at: Column) -> Column:
+        after = lambda k: F.coalesce(F.get(at, k + 1)["begin"], F.size(rows))
+        body = lambda h, k: strip(F.array_join(F.slice(rows, h["line"] + 2, after(k) - h["line"] - 1), "\n"))
+        return F.transform(at, lambda h, k: F.struct(F.regexp_replace(h["said"], NUMBERED, "").alias("heading"), F.left(body(h, k), F.lit(SECTION)).alias("text")))
 
+    def headings(full: Column, size: Column) -> Column:
+        heading = lambda begin, at: F.when((begin["i"] > 0) & (at["i"] < size - 1), F.struct(begin["i"].alias("begin"), at["i"].alias("line"), at["x"].alias("said")))
+        one = lambda x: x["x"].rlike(rf"{NUMBERED}{TITLED}$")
+        two = lambda x, k: x["x"].rlike(rf"{NUMBER}$") & F.coalesce(F.get(full, k + 1)["x"].rlike(rf"^{TITLED}$"), F.lit(False))
+        return F.array_compact(F.transform(full, lambda x, k: F.when(one(x), heading(x, x)).when(two(x, k), heading(x, F.get(full, k + 1)))))
 
-def sections_of(text: Column) -> Column:
-    """Array of (heading, text): what follows each numbered heading."""
-    heads = F.transform(F.regexp_extract_all(text, F.lit(_HEADING), F.lit(1)), strip)
-    # Cutting at the headings gives one part more than there are headings.
-    parts = F.slice(F.split(text, r"\n\s*(?:\d+\.?\s+|[IVX]+\.?\s+)(?=[A-Z])[^\n]{3,61}\n"), 2, 1_000_000)
-    both = F.arrays_zip(heads.alias("heading"), parts.alias("text"))
-    named = F.transform(both, lambda x: F.struct(x["heading"].alias("heading"), F.substring(strip(x["text"]), 1, 5000).alias("text")))
-    return F.coalesce(F.filter(named, lambda x: x["heading"].isNotNull()), F.array().cast("array<struct<heading:string,text:string>>"))
+    def of_rows(rows: Column) -> Column:
+        full = F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("i"), strip(x).alias("x"))), lambda r: r["x"] != "")
+        return _let(full, lambda f: _let(headings(f, F.size(rows)), lambda at: between(rows, at)))
+
+    return _let(F.split(_there(text), "\n"), of_rows)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _there(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
+
+def _first(rows: Column, pattern: str) -> Column:
+    """The place, from 1, of the first row that fits the pattern, or 0."""
+    return F.array_position(F.transform(rows, lambda x: x.rlike(pattern)), True).cast("int")
 
 
 def chunk_id(doc_id: Column, index: Column) -> Column:
