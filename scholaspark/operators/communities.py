@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholaspark.functions.text import strip
 from scholaspark.lineage import cut
+from scholaspark.lineage import numbered as in_order
 
 
 def undirected(edge_table: DataFrame) -> DataFrame:
@@ -14,43 +15,59 @@ def undirected(edge_table: DataFrame) -> DataFrame:
     return edge_table.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("w", F.lit(1.0))
 
 
-def connected_components(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """(node_id, component): the least node_id that can be reached.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label) of the nodes of the edges: the least node that can be
+    reached. Null ends and loops are no edges.
 
-    Least labels spread over the edges and jump to their own label, so the
-    rounds grow with the logarithm of the longest path.
+    Every node takes the least label around it, then the label of its label,
+    until nothing changes, so the rounds grow with the logarithm of the longest
+    path. Only whether anything changed comes to the driver.
     """
-    pair = undirected(edge_table).where("a <> b")
-    both = cut(pair.select("a", "b").unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(node_table.select("node_id", F.col("node_id").alias("component")))
+    one = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node is not null and other is not null and node <> other")
+    both = cut(one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
     while True:
-        near = both.join(labels.toDF("b", "label"), "b").groupBy(F.col("a").alias("node_id")).agg(F.min("label").alias("near"))
-        jump = labels.toDF("component", "further")
+        near = both.join(labels.toDF("other", "theirs"), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        jump = labels.toDF("label", "further")
         new = cut(
-            labels.join(near, "node_id", "left").join(jump, "component", "left").select("node_id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component"), F.coalesce("further", "component")).alias("component"))
+            labels.join(near, "node", "left")
+            .join(jump, "label", "left")
+            .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("theirs", "label"), F.coalesce("further", "label")).alias("label"))
         )
-        labels = new.select("node_id", "component")
-        if new.where("old <> component").limit(1).count() == 0:
+        labels = new.select("node", "label")
+        if new.where("old <> label").limit(1).count() == 0:
             return labels
 
 
-def detect(node_table: DataFrame, edge_table: DataFrame, rounds: int = 4, levels: int = 4, resolution: float = 1.0) -> DataFrame:
+def connected_components(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """(node_id, component): the least node_id that can be reached; a node
+    without edges is one of its own."""
+    found = components(edge_table, "src", "dst").toDF("node_id", "component")
+    return node_table.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+
+
+#: Least gain of modularity of two half rounds for which the moves go on.
+TOLERANCE = 1e-4
+
+
+def detect(node_table: DataFrame, edge_table: DataFrame, resolution: float = 1.0, tolerance: float = TOLERANCE) -> DataFrame:
     """(node_id, community): communities by local moves of greatest gain.
 
     In each round every node weighs its neighbours' communities by the gain of
     modularity that moving there brings; half of the nodes (by a hash of node
-    and round, so no pair keeps swapping) take the best. When no node moves, or
-    after ``rounds``, each community becomes one node of a smaller graph, and
-    the moves go on there, for at most ``levels`` graphs. Deterministic; a
-    community is named by a number from 0, larger ones first, ties by their
-    least node.
+    and round, so no pair keeps swapping) take the best. When the modularity no
+    longer rises, its best labels stand, each community becomes one node of a
+    smaller graph, and the moves go on there, until a graph brings no gain.
+    Every graph raises the modularity by more than ``tolerance``, so this ends.
+    Deterministic; a community is named by a number from 0, larger ones first,
+    ties by their least node.
     """
     pair = undirected(edge_table).where("a <> b")
     both = cut(pair.select("a", "b", "w").unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     total = both.agg(F.sum("w")).first()[0] or 0.0
     members = cut(node_table.select("node_id", F.col("node_id").alias("c")))
-    for _ in range(levels if total else 0):
-        moved = _moves(both, total, rounds, resolution)
+    while total:
+        moved = _moves(both, total, resolution, tolerance)
         if moved is None:
             break
         members = cut(members.join(moved.toDF("c", "to"), "c", "left").select("node_id", F.coalesce("to", "c").alias("c")))
@@ -59,38 +76,43 @@ def detect(node_table: DataFrame, edge_table: DataFrame, rounds: int = 4, levels
     return numbered(members)
 
 
-def _moves(both: DataFrame, total: float, rounds: int, resolution: float) -> DataFrame | None:
+def _moves(both: DataFrame, total: float, resolution: float, tolerance: float) -> DataFrame | None:
     """(node, c) after the local moves on one graph, given as symmetric weights
-    (a, b, w) with loops; None if no node moved."""
-    weight = cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
+    (a, b, w) with loops; None if they bring no gain."""
+    weight = cut(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("loop")))
+    loops = weight.agg(F.sum("loop")).first()[0] or 0.0
     labels = weight.select("node", F.col("node").alias("c"))
-    any_moved = still = 0
-    for number in range(rounds):
-        sizes = labels.join(weight, "node").groupBy("c").agg(F.sum("k").alias("tot"))
+    best, most, number, stale = None, None, 0, 0
+    while True:
         links = both.where("a <> b").join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("inside"))
-        own = labels.join(weight, "node").select("node", F.col("c").alias("own"), "k")
+        sizes = labels.join(weight, "node").groupBy("c").agg(F.sum("k").alias("tot"))
+        own = labels.join(weight, "node").select("node", F.col("c").alias("own"), "k").join(sizes.toDF("own", "own_tot"), "own")
+        # The sums of both sides of the modularity come with the moves.
         scored = links.join(own, "node").join(sizes, "c").withColumn("gain", F.col("inside") - F.lit(resolution) * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(total))
+        is_own = F.col("c") == F.col("own")
+        chosen = scored.groupBy("node").agg(F.max(F.struct("gain", "c")).alias("best"), F.max(F.when(is_own, F.col("gain"))).alias("stay"), F.sum(F.when(is_own, F.col("inside")).otherwise(0.0)).alias("inside"))
         # A node without links to its own community would stay there alone.
-        alone = own.join(sizes.withColumnRenamed("c", "own"), "own").select("node", (-F.lit(resolution) * F.col("k") * (F.col("tot") - F.col("k")) / F.lit(total)).alias("stay_alone"))
-        best = scored.groupBy("node").agg(F.max(F.struct("gain", "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        alone = -F.lit(resolution) * F.col("k") * (F.col("own_tot") - F.col("k")) / F.lit(total)
         turn = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(2)) == 0
-        moves = best.join(alone, "node").where(turn & (F.col("best.gain") > F.coalesce("stay", "stay_alone") + 1e-12)).select("node", F.col("best.c").alias("to"))
-        new = cut(labels.join(moves, "node", "left").select("node", F.col("c").alias("old"), F.coalesce("to", "c").alias("c")))
-        moved = new.where("old <> c").limit(1).count()
+        goes = turn & (F.col("best.gain") > F.coalesce("stay", alone) + 1e-12)
+        new = cut(own.join(chosen, "node", "left").select("node", F.col("own").alias("old"), F.when(goes, F.col("best.c")).otherwise(F.col("own")).alias("c"), F.coalesce("inside", F.lit(0.0)).alias("inside"), (F.col("k") * F.col("own_tot")).alias("expected")))
+        sums = new.agg(F.sum("inside").alias("i"), F.sum("expected").alias("e")).first()
+        reached = (sums.i + loops) / total - resolution * sums.e / total**2
+        if most is None or reached > most + tolerance:
+            best, most, stale = (None if most is None else labels), reached, 0
+        else:
+            stale += 1
+            if stale == 2:
+                return best
         labels = new.select("node", "c")
-        any_moved += moved
-        still = 0 if moved else still + 1
-        if still == 2:
-            break
-    return labels if any_moved else None
+        number += 1
 
 
 def numbered(labels: DataFrame) -> DataFrame:
     """Communities (node_id, c) with numbers in place of names."""
     sizes = labels.groupBy("c").agg(F.count("*").alias("n"), F.min("node_id").alias("least"))
-    # One row per community is ordered, not one per node.
-    numbers = sizes.select("c", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).cast("int").alias("community"))
-    return labels.join(numbers, "c").select("node_id", "community")
+    numbers = in_order(sizes, [F.desc("n"), F.col("least")], "number")
+    return labels.join(numbers.select("c", F.col("number").cast("int").alias("community")), "c").select("node_id", "community")
 
 
 def modularity(membership: DataFrame, edge_table: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -145,7 +167,3 @@ def community_table(membership: DataFrame, summaries: DataFrame | None = None, l
 
 def has_summaries(communities: DataFrame) -> bool:
     return communities.where(strip(F.coalesce("summary", F.lit(""))) != "").limit(1).count() > 0
-
-
-def empty_membership(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "node_id string, community int")

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholaspark.lineage import numbered as in_order
 from scholaspark.operators.communities import connected_components, numbered
 from scholaspark.operators.graph import degrees
 
@@ -35,12 +36,12 @@ def artifacts(node_table: DataFrame, edge_table: DataFrame) -> dict[str, DataFra
     spark = node_table.sparkSession
     none = F.lit("[]")
     label = F.when(F.coalesce("label", F.lit("")) == "", F.col("node_id")).otherwise(F.col("label"))
-    entities = _numbered(node_table, ["node_id"]).select(
+    entities = in_order(node_table, ["node_id"], "human_readable_id", 1).select(
         F.col("node_id").alias("id"), "human_readable_id", label.alias("title"), F.coalesce(F.nullif("entity_type", F.lit("")), F.lit("UNKNOWN")).alias("type"), F.coalesce("description", F.lit("")).alias("description"), label.alias("name"),
         *(none.alias(c) for c in ("text_unit_ids", "description_embedding", "graph_embedding", "community_ids")),
     )
     degree = degrees(node_table, edge_table).select("node_id", "degree")
-    relations = _numbered(edge_table, ["src", "dst"]).join(degree.toDF("src", "source_degree"), "src", "left").join(degree.toDF("dst", "target_degree"), "dst", "left")
+    relations = in_order(edge_table, ["src", "dst"], "human_readable_id", 1).join(degree.toDF("src", "source_degree"), "src", "left").join(degree.toDF("dst", "target_degree"), "dst", "left")
     relationships = relations.select(
         F.concat(F.lit("relationship-"), F.col("human_readable_id").cast("string")).alias("id"), "human_readable_id", F.col("src").alias("source"), F.col("dst").alias("target"), F.coalesce("source_degree", F.lit(0)).alias("source_degree"), F.coalesce("target_degree", F.lit(0)).alias("target_degree"),
         "weight", F.col("weight").alias("rank"), F.coalesce("description", F.lit("")).alias("description"), F.to_json("chunk_ids").alias("text_unit_ids"), F.coalesce(F.nullif("relation_type", F.lit("")), F.lit("related_to")).alias("type"),
@@ -61,16 +62,6 @@ def artifacts(node_table: DataFrame, edge_table: DataFrame) -> dict[str, DataFra
     }
 
 
-def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """human_readable_id, from 1 in the order of the keys: ranks within ranges
-    of the sorted keys, plus the sizes of the ranges before; no task holds all."""
-    ranged = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return ranged.withColumn("_local", local).join(F.broadcast(before), "_part").withColumn("human_readable_id", (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_before")
-
-
 def write_artifacts(node_table: DataFrame, edge_table: DataFrame, folder: str, prefix: bool = False) -> list[str]:
     """Writes the tables as parquet; returns their paths."""
     paths = []

@@ -40,11 +40,15 @@ def _order() -> list:
 
 def _extractions(spark: SparkSession, d: str) -> DataFrame:
     """Extraction results; a repeated load of the same result counts once."""
-    return table(spark, d, "extractions").dropDuplicates(["chunk_id", "extracted_at", "status"])
+    return D.first_loads(table(spark, d, "extractions"), ["chunk_id", "extracted_at", "status"], [F.col("ingested_at")])
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "eval_records").dropDuplicates(["record_id"])
+    return D.first_loads(table(spark, d, "eval_records"), ["record_id"], [F.col("loaded_at")])
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return D.first_loads(table(spark, d, "chunks"), ["chunk_id"], [F.col("ingested_at")])
 
 
 def _papers(spark: SparkSession, d: str) -> DataFrame:
@@ -94,10 +98,53 @@ def metadata_search(spark, d):
     return D.search_by_metadata(_papers(spark, d), 2044, "CS.", "ma").select("doc_id", "year")
 
 
-@query()
+def _bare(c: str) -> str:
+    return f"regexp_replace({c}, {_STRIP}, '', 'g')"
+
+
+_CHUNKS = "first_chunks AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at) = 1)"
+_LINES = f"raw AS (SELECT doc_id, coalesce(full_text, '') AS t, string_split(coalesce(full_text, ''), chr(10)) AS r FROM first_papers), lined AS (SELECT *, list_filter(list_transform(r, lambda x: {_bare('x')}), lambda x: x <> '') AS l FROM raw)"
+_NAMED = f"list_filter(list_transform(list_filter(l[2:6], lambda x: contains(x, ',') AND NOT regexp_matches(x, '\\d{{4}}')), lambda x: list_filter(list_transform(regexp_split_to_array(x, '{T.NAMES}'), lambda n: {_bare('n')}), lambda n: length(n) BETWEEN 3 AND 49)), lambda n: len(n) BETWEEN 1 AND 20)"
+
+
+@query(rf"""
+WITH {_PAPERS}, {_LINES},
+opened AS (SELECT doc_id, list_position(list_transform(l, lambda x: regexp_matches(x, '(?i)^abstract')), TRUE) AS f, l FROM lined),
+body AS (SELECT doc_id, list_filter(list_concat([regexp_replace(l[f], '(?i)^abstract[:\s]*', '')], l[f + 1 :]), lambda x: x <> '') AS w FROM opened WHERE f > 0),
+ended AS (SELECT doc_id, w, list_position(list_transform(w[2:], lambda x: regexp_matches(x, '{T.AFTER_ABSTRACT}')), TRUE) AS e FROM body),
+abstracts AS (SELECT doc_id, left(array_to_string(w[1:e], ' '), {T.ABSTRACT}) AS abstract FROM ended WHERE e > 0)
+SELECT lined.doc_id, array_to_string(list_filter(l[1:5], lambda x: length(x) >= 5 AND NOT regexp_matches(x, '{T.NO_TITLE}'))[1:2], ' ') AS title, coalesce(array_to_string(({_NAMED})[1], '; '), '') AS authors, coalesce(abstract, '') AS abstract,
+       CASE WHEN regexp_matches(lined.doc_id, '^\d{{4}}\.') THEN CAST(left(lined.doc_id, 2) AS INTEGER) + CASE WHEN left(lined.doc_id, 2) < '50' THEN 2000 ELSE 1900 END ELSE CAST(nullif(regexp_extract(left(t, 500), '20[12]\d'), '') AS INTEGER) END AS year
+FROM lined LEFT JOIN abstracts USING (doc_id)
+""")
 def records_from_text(spark, d):
+    """The guessed parts of the papers' texts, but for their sections."""
     raw = _papers(spark, d).select("doc_id", F.col("full_text").alias("text"), "source_file")
-    return D.records_from_text(raw)
+    return D.records_from_text(raw).select("doc_id", "title", F.array_join("authors", "; ").alias("authors"), "abstract", "year")
+
+
+@query(rf"""
+WITH {_PAPERS}, {_LINES},
+rows AS (SELECT doc_id, i, r[i] AS raw, {_bare('r[i]')} AS x, len(r) AS n FROM (SELECT doc_id, r, unnest(range(1, len(r) + 1)) AS i FROM lined)),
+full_rows AS (SELECT *, lead(x) OVER w AS nx, lead(i) OVER w AS ni FROM rows WHERE x <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+heads AS (
+  SELECT doc_id, n, i AS starts, i AS line, x AS said FROM full_rows WHERE regexp_matches(x, '{T.NUMBERED}{T.TITLED}$')
+  UNION ALL SELECT doc_id, n, i, ni, nx FROM full_rows WHERE NOT regexp_matches(x, '{T.NUMBERED}{T.TITLED}$') AND regexp_matches(x, '{T.NUMBER}$') AND regexp_matches(coalesce(nx, ''), '^{T.TITLED}$')
+),
+placed AS (SELECT *, coalesce(lead(starts) OVER (PARTITION BY doc_id ORDER BY starts), n + 1) AS until FROM heads WHERE starts > 1 AND line < n)
+SELECT p.doc_id, CAST(row_number() OVER (PARTITION BY p.doc_id ORDER BY starts) - 1 AS INTEGER) AS place, regexp_replace(said, '{T.NUMBERED}', '') AS heading, md5(left({_bare("coalesce(array_to_string(r[line + 1 : until - 1], chr(10)), '')")}, {T.SECTION})) AS digest
+FROM placed p JOIN lined USING (doc_id)
+""")
+def sections_from_text(spark, d):
+    """The sections found in the papers' texts."""
+    raw = _papers(spark, d).select("doc_id", F.col("full_text").alias("text"), "source_file")
+    return D.records_from_text(raw).select("doc_id", F.posexplode("sections").alias("place", "s")).select("doc_id", "place", "s.heading", F.md5("s.text").alias("digest"))
+
+
+@query(rf"WITH {_CHUNKS}, c AS (SELECT chunk_id, nfc_normalize(regexp_replace(text, '[^\PC\n\t]', '', 'g')) AS t FROM first_chunks) SELECT chunk_id, md5({_bare("regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g')")}) AS digest FROM c")
+def prepared_texts(spark, d):
+    """The cleaning that comes before chunking."""
+    return _chunks(spark, d).select("chunk_id", F.md5(T.prepared(F.col("text"))).alias("digest"))
 
 
 @query(r"WITH " + _PAPERS + r", t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(full_text, ''), chr(12), chr(10), 'g'), '-\n([\pL\pN\pM_])', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM first_papers) SELECT doc_id, md5(regexp_replace(t, " + _STRIP + r", '', 'g')) AS digest FROM t")
@@ -111,15 +158,16 @@ def chunk_documents(spark, d):
     return ids.select("chunk_id", T.doc_of_chunk(F.col("chunk_id")).alias("doc_first"), T.doc_of_chunk_last(F.col("chunk_id")).alias("doc_last"))
 
 
-@query("SELECT DISTINCT p.doc_id FROM papers p WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id = p.doc_id)")
+@query("SELECT DISTINCT p.doc_id FROM papers p WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id = p.doc_id AND c.index >= 2)")
 def papers_not_chunked(spark, d):
-    manifest = D.manifest_of(table(spark, d, "chunks"))
+    """The manifest here names the papers with a third chunk."""
+    manifest = D.manifest_of(table(spark, d, "chunks").where("index >= 2"))
     return D.not_indexed(table(spark, d, "papers").select("doc_id").distinct(), manifest)
 
 
 @query("SELECT doc_id, count(*) AS n_chunks, min(index) AS first_index, max(index) AS last_index, sum(length(coalesce(text, ''))) AS n_chars FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at) = 1) GROUP BY doc_id")
 def chunks_per_document(spark, d):
-    rows = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    rows = _chunks(spark, d)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.min("index").alias("first_index"), F.max("index").alias("last_index"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"))
 
 
@@ -133,12 +181,12 @@ def token_chunks(spark, d):
 
 @query()
 def chunk_token_counts(spark, d):
-    return C.token_counts(table(spark, d, "chunks"), "chunk_id", "text").dropDuplicates(["chunk_id"])
+    return C.token_counts(_chunks(spark, d), "chunk_id", "text")
 
 
 @query()
 def chunk_embeddings(spark, d):
-    return R.embedded(table(spark, d, "chunks").dropDuplicates(["chunk_id"]), "chunk_id", "text", "chunk_id")
+    return R.embedded(_chunks(spark, d), "chunk_id", "text", "chunk_id")
 
 
 @query("""
@@ -197,14 +245,32 @@ def chunks_not_extracted(spark, d):
     return not_extracted(table(spark, d, "chunks").select("chunk_id").distinct(), table(spark, d, "extractions"))
 
 
-@query()
+_SPACE = r"[\s\x0b\pZ\x1c-\x1f\x85]"
+_LETTERS = r"[\pL\pM\p{Nd}\p{Pc}\x{200c}\x{200d}]"
+_SHARE = r"CAST(length(regexp_replace({0}, '[^\pL]', '', 'g')) AS DOUBLE) / greatest(length({0}), 1)"
+
+
+def _greedy(pattern: str) -> str:
+    """A pattern without what only the JVM knows."""
+    return pattern.replace("++", "+").replace("*+", "*").replace("'", "''")
+
+
+@query(rf"""
+WITH {_CHUNKS},
+a AS (SELECT chunk_id, regexp_replace(regexp_replace(coalesce(text, ''), '{_greedy(X._FORMULAS)}', ' ', 'g'), '{_greedy(X._command(3))}', ' ', 'g') AS t FROM first_chunks),
+b AS (SELECT chunk_id, array_to_string(list_transform(regexp_extract_all(t, '{_LETTERS}+\[[^\]]{{1,20}}\]|{_LETTERS}+|[\s\S]'), lambda x: CASE WHEN NOT regexp_matches(x, '^{_LETTERS}+\[') THEN x WHEN length(regexp_replace(split_part(x, '[', 1), '[^\pL]', '', 'g')) >= 2 THEN split_part(x, '[', 1) ELSE '' END), '') AS t FROM a),
+c AS (SELECT chunk_id, list_filter(regexp_extract_all(t, '[^\s\x0b]+|[\s\x0b]+'), lambda w: NOT (regexp_matches(w, '[{X.MATH_SIGNS}]') AND {_SHARE.format('w')} < {X.FORMULA_LETTERS})) AS w FROM b),
+w AS (SELECT chunk_id, list_filter(regexp_split_to_array(array_to_string(w, ''), '{_SPACE}+'), lambda x: x <> '') AS w FROM c),
+n AS (SELECT chunk_id, len(list_filter(w, lambda x: {_SHARE.format('x')} >= {X.WORD_SHARE})) AS n_words, CAST(len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}'))) AS DOUBLE) / greatest(len(w), 1) AS capitals, len(w) AS n FROM w)
+SELECT chunk_id, CAST(n_words AS INTEGER) AS n_words, round(capitals, 6) AS capitals, CASE WHEN n_words < {X.LEAST_WORDS} THEN 'skipped_math' WHEN n + {X._OVERHEAD} > {int(2048 * X._SAFE) - X._RESERVE} AND n >= {X.LEAST_CUT} THEN 'split' ELSE 'call' END AS plan FROM n
+""")
 def extraction_plan(spark, d):
-    return X.planned(table(spark, d, "chunks")).select("chunk_id", "n_words", F.round("capitals", 6).alias("capitals"), "plan").dropDuplicates(["chunk_id"])
+    return X.planned(_chunks(spark, d)).select("chunk_id", "n_words", F.round("capitals", 6).alias("capitals"), "plan")
 
 
 @query()
 def extracted_entities(spark, d):
-    return X.extract(table(spark, d, "chunks").dropDuplicates(["chunk_id"]))
+    return X.extract(_chunks(spark, d))
 
 
 # --- the graph -------------------------------------------------------------------
@@ -221,14 +287,27 @@ def graph_nodes(spark, d):
     return G.nodes(_extractions(spark, d), _order()).select("node_id", F.col("description").isNotNull().alias("is_entity"))
 
 
-@query()
+_AT = "ingested_at NULLS FIRST, chunk_id NULLS FIRST, extracted_at NULLS FIRST, status NULLS FIRST, pos"
+_FULL = f"""{_EXTRACTIONS},
+entity_row AS (SELECT ingested_at, chunk_id, extracted_at, status, pos, {_safe('entities[pos].name')} AS label, {_safe('entities[pos].entity_type')} AS entity_type, {_safe('entities[pos].description')} AS description FROM (SELECT *, unnest(range(1, len(entities) + 1)) AS pos FROM extractions_once)),
+relation_row AS (SELECT ingested_at, chunk_id, extracted_at, status, pos, {_safe('relations[pos].source')} AS source, {_safe('relations[pos].target')} AS target, {_safe('relations[pos].relation_type')} AS relation_type, {_safe('relations[pos].description')} AS description, {_safe('relations[pos].chunk_id')} AS chunk FROM (SELECT *, unnest(range(1, len(relations) + 1)) AS pos FROM extractions_once)),
+mention AS (
+  SELECT 0 AS kind, 0 AS side, label, entity_type, description, ingested_at, chunk_id, extracted_at, status, pos FROM entity_row WHERE label <> ''
+  UNION ALL SELECT 1, 0, source, 'UNKNOWN', NULL, ingested_at, chunk_id, extracted_at, status, pos FROM relation_row WHERE source <> '' AND target <> ''
+  UNION ALL SELECT 1, 1, target, 'UNKNOWN', NULL, ingested_at, chunk_id, extracted_at, status, pos FROM relation_row WHERE source <> '' AND target <> ''
+),
+nodes AS (SELECT lower(label) AS node_id, label, entity_type, description FROM mention QUALIFY row_number() OVER (PARTITION BY lower(label) ORDER BY kind, {_AT}, side) = 1),
+edges AS (SELECT lower(source) AS src, lower(target) AS dst, arg_min(relation_type, n) AS relation_type, arg_min(description, n) AS description, count(*) AS weight, list(chunk ORDER BY n) FILTER (WHERE chunk <> '') AS chunk_ids FROM (SELECT *, row_number() OVER (ORDER BY {_AT}) AS n FROM relation_row WHERE source <> '' AND target <> '') GROUP BY ALL)"""
+
+
+@query(f"WITH {_FULL} SELECT * FROM nodes")
 def graph_node_attributes(spark, d):
     return G.nodes(_extractions(spark, d), _order())
 
 
-@query()
+@query(f"WITH {_FULL} SELECT src, dst, relation_type, description, weight, coalesce(array_to_string(chunk_ids, ' '), '') AS chunk_ids FROM edges")
 def graph_edge_attributes(spark, d):
-    return G.edges(_extractions(spark, d), _order())
+    return G.edges(_extractions(spark, d), _order()).withColumn("chunk_ids", F.array_join("chunk_ids", " "))
 
 
 @query(f"{_GRAPH.replace('FROM extractions QUALIFY', 'FROM extractions WHERE coalesce(status, ' + repr('ok') + ') IN (' + repr('ok') + ', ' + repr('fallback_success') + ') QUALIFY')} SELECT * FROM edge")
@@ -261,48 +340,113 @@ def graph_chunk_entities(spark, d):
     return G.chunk_entities(_extractions(spark, d), _order())
 
 
-@query()
+_PARTS = f"""WITH RECURSIVE {_FULL},
+link AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+reach AS (SELECT node_id, node_id AS other FROM nodes UNION SELECT reach.node_id, link.b FROM reach JOIN link ON link.a = reach.other),
+component AS (SELECT node_id, min(other) AS component FROM reach GROUP BY node_id),
+part AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS community, count(*) AS size FROM component GROUP BY component),
+member AS (SELECT node_id, CAST(community AS INTEGER) AS community, size FROM component JOIN part USING (component)),
+degree AS (SELECT node_id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree, coalesce(i, 0) + coalesce(o, 0) AS degree FROM nodes LEFT JOIN (SELECT dst AS node_id, count(*) AS i FROM edges GROUP BY dst) USING (node_id) LEFT JOIN (SELECT src AS node_id, count(*) AS o FROM edges GROUP BY src) USING (node_id))"""
+
+
+def _parts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph, and its connected parts as communities."""
+    nodes, edges = _graph(spark, d)
+    return nodes, edges, cut(CO.numbered(CO.connected_components(nodes, edges).withColumnRenamed("component", "c")))
+
+
+@query(f"{_PARTS} SELECT * FROM component")
 def graph_components(spark, d):
     return CO.connected_components(*_graph(spark, d))
 
 
-@query()
-def graph_communities(spark, d):
-    return CO.detect(*_graph(spark, d))
+@query(f"{_PARTS} SELECT node_id, community FROM member")
+def component_numbers(spark, d):
+    """The connected parts as communities: larger ones first."""
+    return _parts(spark, d)[2].select("node_id", "community")
 
 
-@query()
-def community_quality(spark, d):
-    nodes, edges = _graph(spark, d)
-    return CO.modularity(cut(CO.detect(nodes, edges)), edges)
+@query(f"""{_PARTS}, pair AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges),
+inside AS (SELECT x.community AS ca, y.community AS cb FROM pair JOIN member x ON x.node_id = a JOIN member y ON y.node_id = b),
+ends AS (SELECT community, count(*) AS k FROM (SELECT ca AS community FROM inside UNION ALL SELECT cb FROM inside) GROUP BY community),
+within AS (SELECT ca AS community, count(*) AS l FROM inside WHERE ca = cb GROUP BY ca)
+SELECT round(sum(coalesce(l, 0) / m - (k / (2.0 * m)) * (k / (2.0 * m))), 9) AS modularity FROM ends LEFT JOIN within USING (community) CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS m FROM pair)""")
+def component_quality(spark, d):
+    """The modularity of the connected parts."""
+    _, edges, members = _parts(spark, d)
+    return CO.modularity(members, edges).select(F.round("modularity", 9).alias("modularity"))
 
 
-@query()
-def community_summaries(spark, d):
-    nodes, edges = _graph(spark, d)
-    return CO.summarise(cut(CO.detect(nodes, edges)), nodes, edges)
+@query(f"""{_PARTS}, named AS (SELECT * FROM member JOIN nodes USING (node_id))
+SELECT community, 'entity' AS kind, 'Entity: ' || label || ' (type: ' || coalesce(entity_type, '') || ')' AS line FROM named
+UNION ALL SELECT x.community, 'relation', 'Relation: ' || x.label || ' --[' || coalesce(relation_type, 'related_to') || ']--> ' || y.label FROM edges JOIN named x ON x.node_id = src JOIN named y ON y.node_id = dst""")
+def component_facts(spark, d):
+    """What summaries of the connected parts are written from."""
+    nodes, edges, members = _parts(spark, d)
+    return CO.facts(members, nodes, edges)
+
+
+@query(f"""{_PARTS}, top AS (SELECT community, size, label, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node_id) AS rank FROM member JOIN degree USING (node_id) JOIN nodes USING (node_id))
+SELECT community, size, 'A community of ' || size || ' entities around ' || string_agg(label, ', ' ORDER BY rank) || '.' AS summary FROM top WHERE rank <= 5 GROUP BY community, size""")
+def component_summaries(spark, d):
+    """The default summaries of the connected parts."""
+    nodes, edges, members = _parts(spark, d)
+    return CO.summarise(members, nodes, edges)
+
+
+@query(f"""{_PARTS}, turned AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node_id) AS turn FROM member JOIN degree USING (node_id))
+SELECT node_id, community, degree, CAST(row_number() OVER (ORDER BY turn, size DESC, community, degree DESC, node_id) AS INTEGER) AS place FROM turned QUALIFY place <= 200""")
+def component_sample(spark, d):
+    """A sample of the graph for drawing, in turn from its connected parts."""
+    nodes, edges, members = _parts(spark, d)
+    return VI.sample(nodes, edges, members, 200)
+
+
+@query(f"{_PARTS} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM nodes) AS n_members, TRUE AS numbered_from_0, TRUE AS larger_first, TRUE AS within_components, TRUE AS better_than_components")
+def community_checks(spark, d):
+    """What must hold of any communities: all nodes have one, the numbers are 0
+    and up in order of size, none joins two connected parts, and the modularity
+    is at least that of the connected parts."""
+    nodes, edges, parts = _parts(spark, d)
+    members = cut(CO.detect(nodes, edges))
+    sizes = members.groupBy("community").agg(F.count("*").alias("n"))
+    one = sizes.agg(F.sum("n").alias("n_members"), (F.max("community") + 1 == F.count("*")).alias("numbered_from_0"), F.array_sort(F.collect_list(F.struct("community", "n")))["n"].alias("ns"))
+    spread = members.join(parts.withColumnRenamed("community", "part"), "node_id").groupBy("community").agg(F.countDistinct("part").alias("p")).agg((F.max("p") == 1).alias("within_components"))
+    better = CO.modularity(members, edges).withColumnRenamed("modularity", "m").crossJoin(CO.modularity(parts, edges)).select((F.col("m") >= F.col("modularity")).alias("better_than_components"))
+    ordered = F.col("ns") == F.sort_array("ns", False)
+    return one.crossJoin(spread).crossJoin(better).crossJoin(nodes.agg(F.count("*").alias("n_nodes"))).select("n_nodes", "n_members", "numbered_from_0", ordered.alias("larger_first"), "within_components", "better_than_components")
 
 
 @query()
-def community_facts(spark, d):
-    nodes, edges = _graph(spark, d)
-    return CO.facts(cut(CO.detect(nodes, edges)), nodes, edges)
+def graph_communities(spark, d):
+    return CO.detect(*_graph(spark, d))
 
 
 @query()
-def visual_sample(spark, d):
+def community_quality(spark, d):
     nodes, edges = _graph(spark, d)
-    return VI.sample(nodes, edges, cut(CO.detect(nodes, edges)), 200)
+    return CO.modularity(cut(CO.detect(nodes, edges)), edges)
 
 
-@query()
+@query(f"""WITH {_FULL} SELECT node_id AS id, row_number() OVER (ORDER BY node_id) AS human_readable_id, CASE WHEN coalesce(label, '') = '' THEN node_id ELSE label END AS title, coalesce(nullif(entity_type, ''), 'UNKNOWN') AS type, coalesce(description, '') AS description FROM nodes""")
+def artifact_entities(spark, d):
+    return VI.artifacts(*_graph(spark, d))["entities"].select("id", "human_readable_id", "title", "type", "description")
+
+
+@query(f"""{_PARTS}, n AS (SELECT *, row_number() OVER (ORDER BY src, dst) AS no FROM edges)
+SELECT 'relationship-' || no AS id, no AS human_readable_id, src AS source, dst AS target, x.degree AS source_degree, y.degree AS target_degree, weight, weight AS rank, coalesce(description, '') AS description, '[' || coalesce(array_to_string(list_transform(chunk_ids, lambda c: '"' || c || '"'), ','), '') || ']' AS text_unit_ids, coalesce(nullif(relation_type, ''), 'related_to') AS type
+FROM n JOIN degree x ON x.node_id = src JOIN degree y ON y.node_id = dst""")
 def artifact_relationships(spark, d):
     return VI.artifacts(*_graph(spark, d))["relationships"]
 
 
-@query()
+@query(f"""{_PARTS}, p AS (SELECT CAST(community + 1 AS INTEGER) AS community, CAST(any_value(size) AS INTEGER) AS size, md5(string_agg(node_id, chr(10) ORDER BY node_id)) AS members FROM member GROUP BY community)
+SELECT 'community-' || community AS id, community AS human_readable_id, 1 AS level, 'Community ' || community AS title, size AS rank, size, members FROM p""")
 def artifact_communities(spark, d):
-    return VI.artifacts(*_graph(spark, d))["communities"]
+    """The communities' table, its list of members as a digest."""
+    rows = VI.artifacts(*_graph(spark, d))["communities"]
+    members = F.md5(F.array_join(F.from_json("entity_ids", "array<string>"), "\n"))
+    return rows.select("id", "human_readable_id", "level", "title", "rank", "size", members.alias("members"))
 
 
 # --- retrieval ---------------------------------------------------------------------
@@ -313,7 +457,7 @@ def _questions(spark, d) -> DataFrame:
 
 
 def _vectors(spark, d) -> DataFrame:
-    return R.embedded(table(spark, d, "chunks").where("text is not null").dropDuplicates(["chunk_id"]), "chunk_id", "text", "chunk_id")
+    return R.embedded(_chunks(spark, d).where("text is not null"), "chunk_id", "text", "chunk_id")
 
 
 @query()
@@ -325,7 +469,7 @@ def search_vector(spark, d):
 def search_local(spark, d):
     nodes, edges = _graph(spark, d)
     found = R.local_search(_questions(spark, d), _vectors(spark, d), G.chunk_entities(_extractions(spark, d), _order()), nodes, edges)
-    return R.contexts(_questions(spark, d), table(spark, d, "chunks").dropDuplicates(["chunk_id"]), found)
+    return R.contexts(_questions(spark, d), _chunks(spark, d), found)
 
 
 @query()
@@ -348,7 +492,7 @@ def search_global(spark, d):
 def search_hybrid(spark, d):
     nodes, edges = _graph(spark, d)
     found = R.hybrid_search(_questions(spark, d), _vectors(spark, d), G.chunk_entities(_extractions(spark, d), _order()), nodes, edges, _communities(nodes, edges))
-    asked = R.contexts(_questions(spark, d), table(spark, d, "chunks").dropDuplicates(["chunk_id"]), found)
+    asked = R.contexts(_questions(spark, d), _chunks(spark, d), found)
     return R.extractive_answers(cut(asked))
 
 
@@ -427,7 +571,11 @@ def records_validated(spark, d):
     return _records(spark, d).withColumns(M.validated()).select("record_id", *M.UNIT_METRICS, "question_scope", "top_k", "has_relevant_hit_at_k")
 
 
-@query()
+_TIERS = {"judges": B.QUALITY, "efficiency": ("latency_s", "context_char_count"), "retrieval": ("precision_5", "recall_5", "mrr")}
+_TIER_SQL = " UNION ALL ".join(f"SELECT '{t}' AS tier, concat_ws(', ', {', '.join(f'CASE WHEN max(coalesce({c}, 0)) > 0 THEN {chr(39)}{c}{chr(39)} END' for c in cs)}) AS active FROM records" for t, cs in _TIERS.items())
+
+
+@query(f"WITH {_RECORDS} SELECT tier, active <> '' AS available, active FROM ({_TIER_SQL})")
 def benchmark_tiers(spark, d):
     return B.tiers(_records(spark, d))
 
@@ -437,9 +585,13 @@ def benchmark_extremes(spark, d):
     return B.extremes(_records(spark, d))
 
 
-@query()
+_LEADING = {"highest_fallback": ("fallback_rate", "DESC"), "lowest_latency": ("latency_s", ""), "largest_context": ("context_char_count", "DESC"), "best_rouge1": ("rouge1", "DESC"), "best_faithfulness": ("faithfulness", "DESC")}
+_LEAD_SQL = " UNION ALL ".join(f"(SELECT '{n}' AS what, pipeline, round({c}, 6) AS value FROM s ORDER BY {c} {o}, pipeline {o} LIMIT 1)" for n, (c, o) in _LEADING.items())
+
+
+@query(f"WITH {_RECORDS}, s AS (SELECT pipeline, {_AVERAGES.replace('round(', '(').replace(', 6)', ')')}, {_RATES.replace('round(', '(').replace(', 6)', ')')} FROM records GROUP BY pipeline) {_LEAD_SQL}")
 def benchmark_leaders(spark, d):
-    return B.leaders(B.aggregates(_records(spark, d), "pipeline"))
+    return _rounded(B.leaders(B.aggregates(_records(spark, d), "pipeline")))
 
 
 @query(f"WITH {_RECORDS}, e AS (SELECT trim(question) AS q, pipeline, avg(coalesce(rouge1, 0)) AS v FROM records GROUP BY ALL), b AS (SELECT q, v AS b FROM e WHERE pipeline = 'rag') SELECT pipeline, sum(CASE WHEN v - b > 1e-9 THEN 1 ELSE 0 END) AS wins, sum(CASE WHEN v - b < -1e-9 THEN 1 ELSE 0 END) AS losses, sum(CASE WHEN abs(v - b) <= 1e-9 THEN 1 ELSE 0 END) AS ties FROM e JOIN b USING (q) WHERE pipeline <> 'rag' GROUP BY pipeline")
@@ -452,9 +604,14 @@ def benchmark_judge_notes(spark, d):
     return _records(spark, d).select("record_id", B.judge_notes(F.col("faithfulness"), F.col("relevant_hits_at_k")).alias("notes"))
 
 
-@query()
+_NOTES = "concat_ws(' ', CASE WHEN coalesce(faithfulness, 0) < 0.5 AND coalesce(relevant_hits_at_k, 0) = 0 THEN 'Low faithfulness aligns with no relevant retrieval hit in top-k.' END, CASE WHEN coalesce(relevant_hits_at_k, 0) > 0 AND coalesce(faithfulness, 0) < 0.4 THEN 'Potential contradiction: relevant hit exists but faithfulness is low.' END)"
+
+
+@query(f"""WITH {_RECORDS}, r AS (SELECT *, CAST(retrieved_chunk_ids AS VARCHAR[])[1:5] AS ids FROM records)
+SELECT coalesce(question_scope, 'local') AS question_scope, question, pipeline, search_mode, answer, coalesce(array_to_string(list_transform(ids, lambda x, i: i || '. ' || x), chr(10)), '') AS top_k_chunks, retrieved_count, relevant_hits_at_k,
+       {', '.join(f'round(coalesce({c}, 0.0), 6) AS {c}' for c in ('precision_5', 'recall_5', 'mrr', *B.QUALITY, 'latency_s'))}, {_NOTES} AS judge_validation_notes FROM r""")
 def benchmark_review(spark, d):
-    return B.review(_records(spark, d))
+    return _rounded(B.review(_records(spark, d)))
 
 
 @query("WITH q AS (SELECT question_id, trim(question) AS question, trim(coalesce(reference_answer, '')) AS reference_answer, CASE WHEN trim(lower(question_scope)) IN ('local', 'global') THEN trim(lower(question_scope)) ELSE 'local' END AS question_scope, len(list_filter(coalesce(relevant_doc_ids, []), lambda x: trim(x) <> '')) AS n_relevant FROM eval_questions WHERE trim(coalesce(question, '')) <> '') SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lower(question) ORDER BY question_id) = 1")
