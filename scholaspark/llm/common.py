@@ -3,37 +3,20 @@
 from __future__ import annotations
 
 import re
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholaspark.lineage import shared_folder
+from scholaspark.lineage import cut as written
+from scholaspark.operators.communities import components
+from scholaspark.tables import table
+
+__all__ = ["BROADCAST_LIMIT", "WORD", "bounded_rows", "components", "table", "written"]
 
 #: Largest serialised size, in bytes, of anything that is sent to every task.
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` of the directory ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts the
-    lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Removes the tables that ``written`` left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bounded_rows(df: DataFrame, what: str, limit: int = BROADCAST_LIMIT) -> list:
     """The rows of a table that is small by its definition (words of a language,
     short forms of names); fails beyond ``limit`` bytes of text instead of
@@ -45,28 +28,3 @@ def bounded_rows(df: DataFrame, what: str, limit: int = BROADCAST_LIMIT) -> list
 
 
 WORD = re.compile(r"[^\W_]+")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): connected components of the edges (a, b); the label is
-    the least node of the component.
-
-    Every node takes the least label around it, then the label of its label,
-    until nothing changes, so the rounds grow with the logarithm of the longest
-    chain. Each round is written to the shared folder; only a count of changes
-    comes to the driver.
-    """
-    one = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node is not null and other is not null and node <> other")
-    both = written(one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = written(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = written(
-            labels.join(near, "node", "left")
-            .join(jump, "label", "left")
-            .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("theirs", "label"), F.coalesce("further", "label")).alias("label"))
-        )
-        if new.where("old <> label").limit(1).count() == 0:
-            return new.select("node", "label")
-        labels = new.select("node", "label")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scholaspark.lineage import shared_folder
+from scholaspark.lineage import step_path
 from scholaspark.llm.common import BROADCAST_LIMIT, table, written
 
 MIN_SPAN = 600
@@ -155,7 +155,7 @@ class SpanIndex:
         self.spark, self.min_span, self.window = spark, min_span, window
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.lasting = folder is not None
-        self.folder = folder or f"{shared_folder(spark)}/steps/spans_{uuid.uuid4().hex}"
+        self.folder = folder or step_path(spark)
         self.runs: list[tuple[str, int]] = []
         self.shared: list[str] = []
         self.version = 0
