@@ -12,13 +12,14 @@ from functools import lru_cache
 
 @dataclass(frozen=True)
 class Settings:
+    #: Names that benchmark records carry; the models themselves are functions.
     llm_provider: str = "extractive"
     llm_model_name: str = "extractive"
     embedding_provider: str = "hashing"
     embedding_model_name: str = "hashing-256"
     embedding_dim: int = 256
-    vector_store_path: str = "data/embeddings/vectors.parquet"
-    graph_path: str = "data/graphs/knowledge_graph"
+    #: Folders that the command line uses where none is given.
+    workspace_dir: str = "data/workspace"
     raw_data_dir: str = "data/raw"
     processed_data_dir: str = "data/processed"
     results_dir: str = "results"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scholaspark.functions.text import strip
 from scholaspark.lineage import cut
 from scholaspark.lineage import numbered as in_order
+from scholaspark.operators.models import Model, replies
 
 
 def undirected(edge_table: DataFrame) -> DataFrame:
@@ -129,13 +130,16 @@ def modularity(membership: DataFrame, edge_table: DataFrame, resolution: float =
 
 
 def facts(membership: DataFrame, node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """(community, kind, line): what a summary is written from."""
-    named = membership.join(node_table, "node_id")
-    entity = named.select("community", F.lit("entity").alias("kind"), F.concat(F.lit("Entity: "), "label", F.lit(" (type: "), F.coalesce("entity_type", F.lit("")), F.lit(")")).alias("line"))
-    a = named.select(F.col("node_id").alias("src"), "community", F.col("label").alias("a"))
+    """(community, kind, line, degree): what a summary is written from; the
+    degree is that of the entity, or of a relation's source."""
+    from scholaspark.operators.graph import degrees
+
+    named = membership.join(node_table, "node_id").join(degrees(node_table, edge_table).select("node_id", "degree"), "node_id")
+    entity = named.select("community", F.lit("entity").alias("kind"), F.concat(F.lit("Entity: "), "label", F.lit(" (type: "), F.coalesce("entity_type", F.lit("")), F.lit(")")).alias("line"), "degree")
+    a = named.select(F.col("node_id").alias("src"), "community", F.col("label").alias("a"), "degree")
     b = named.select(F.col("node_id").alias("dst"), F.col("community").alias("other"), F.col("label").alias("b"))
     inside = edge_table.select("src", "dst", "relation_type").join(a, "src").join(b, "dst").where("community = other")
-    relation = inside.select("community", F.lit("relation").alias("kind"), F.concat(F.lit("Relation: "), "a", F.lit(" --["), F.coalesce("relation_type", F.lit("related_to")), F.lit("]--> "), "b").alias("line"))
+    relation = inside.select("community", F.lit("relation").alias("kind"), F.concat(F.lit("Relation: "), "a", F.lit(" --["), F.coalesce("relation_type", F.lit("related_to")), F.lit("]--> "), "b").alias("line"), "degree")
     return entity.unionByName(relation)
 
 
@@ -155,6 +159,25 @@ def summarise(membership: DataFrame, node_table: DataFrame, edge_table: DataFram
     return sizes.join(lists, "community").select("community", "size", F.concat(F.lit("A community of "), F.col("size").cast("string"), F.lit(" entities around "), "names", F.lit(".")).alias("summary"))
 
 
+#: Fixed value: how a model is asked for a summary.
+SUMMARY_PROMPT = "Summarise in two or three sentences what connects these entities of a knowledge graph.\n\n"
+#: Facts of one community that a model is shown at most, those of its best
+#: connected members first; no model's context holds more.
+SHOWN_FACTS = 200
+
+
+def summarise_by_model(membership: DataFrame, node_table: DataFrame, edge_table: DataFrame, model: Model, limit: int | None = None) -> DataFrame:
+    """(community, size, summary) as a model writes them from the facts; of the
+    ``limit`` largest communities if given. A failed call leaves the default."""
+    plain = summarise(membership, node_table, edge_table, limit=limit)
+    rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), "kind", "line"))
+    shown = facts(membership, node_table, edge_table).withColumn("place", rank).where(F.col("place") <= SHOWN_FACTS)
+    listed = shown.groupBy("community").agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", "line")))["line"], "\n").alias("lines"))
+    asked = plain.join(listed, "community").select("community", F.concat(F.lit(SUMMARY_PROMPT), "lines").alias("prompt"))
+    got = replies(asked, "community", "prompt", model)
+    return plain.join(got, "community", "left").select("community", "size", F.coalesce(F.nullif(strip(F.col("reply")), F.lit("")), F.col("summary")).alias("summary"))
+
+
 def community_table(membership: DataFrame, summaries: DataFrame | None = None, level: int = 0) -> DataFrame:
     """(community_id, nodes, summary, level, size): the sidecar's rows."""
     rows = membership.groupBy("community").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"), F.count("*").alias("size"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,9 +61,14 @@ def json_list(raw: Column) -> Column:
     return F.coalesce(F.from_json(raw, "array<string>"), _none())
 
 
+@lru_cache(maxsize=100_000)
+def _token(word: str) -> str:
+    return stem(word) if len(word) > 3 else word
+
+
 def rouge_tokens(text: str | None) -> list[str]:
-    words = re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).split()
-    return [stem(w) if len(w) > 3 else w for w in words]
+    """The stems of a text's words; each word is stemmed once in a process."""
+    return list(map(_token, re.sub(r"[^a-z0-9]+", " ", (text or "").lower()).split()))
 
 
 def _f1(common: int, a: int, b: int) -> float:

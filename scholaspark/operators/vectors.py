@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, FloatType
 
 from scholaspark.config import get_settings
+from scholaspark.lineage import cut
 
 
 def hashed_embedding(text: Column, dim: int | None = None) -> Column:
@@ -68,6 +69,7 @@ def search(vectors: DataFrame, queries: DataFrame, top_k: int = 5, id_column: st
             found = part if found is None else found.unionByName(part)
         block, size = [], 0
 
+    # One block's worth of queries is at the driver at a time.
     for row in asked.toLocalIterator():
         block.append((row.q, row.v))
         size += 8 * len(row.v) + 64
@@ -114,6 +116,100 @@ def _scorer(sent, top_k: int, kinds: tuple):
     return run
 
 
+class VectorIndex:
+    """Vectors by the cell of the nearest of some centres, for searches that look
+    only through the cells near a query.
+
+    The centres are fitted on a sample of bounded size (``SAMPLE`` rows, by hash
+    of the id); every vector is indexed. A cell of more than ``SLICE`` vectors is
+    searched in slices, and the queries of a cell are a table like the vectors,
+    so neither side passes through the driver. Null vectors and vectors of
+    another length than most of the sample are not indexed.
+    """
+
+    SAMPLE = 20_000
+    SLICE = 50_000
+
+    def __init__(self, cells: DataFrame, centres: np.ndarray, id_kind: str):
+        self.cells, self.centres, self.id_kind = cells, centres, id_kind
+
+    @classmethod
+    def build(cls, vectors: DataFrame, id_column: str = "id", vector_column: str = "embedding", cells: int | None = None, rounds: int = 10) -> VectorIndex:
+        rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<float>").alias("v")).where("id is not null and v is not null")
+        sample = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(cls.SAMPLE).select("v").collect()]
+        sizes = [len(v) for v in sample]
+        dim = max(set(sizes), key=lambda n: (sizes.count(n), n)) if sizes else 1
+        x = _unit(np.array([v for v in sample if len(v) == dim], np.float32).reshape(-1, dim))
+        # About the square root of the vectors, so cells and centres cost alike.
+        wanted = cells or max(1, min(len(x), int(rows.count() ** 0.5), get_settings().broadcast_bytes // (4 * dim)))
+        centres = x[np.unique(np.linspace(0, max(len(x) - 1, 0), wanted).astype(int))] if len(x) else np.zeros((1, dim), np.float32)
+        for _ in range(rounds if len(x) else 0):
+            own = _nearest(x, centres, 1)[:, 0]
+            sums = np.zeros_like(centres)
+            np.add.at(sums, own, x)
+            counts = np.bincount(own, minlength=len(centres))
+            centres = _unit(np.where(counts[:, None] > 0, sums, centres))
+        id_kind = dict(vectors.dtypes)[id_column]
+        return cls(cut(_celled(rows.where(F.size("v") == dim), centres, 1, id_kind)), centres, id_kind)
+
+    def search(self, queries: DataFrame, top_k: int = 5, probes: int = 8, query_column: str = "query_id") -> DataFrame:
+        """(query_id, id, score, rank): the top_k of each query by cosine among
+        the vectors of its ``probes`` nearest cells; ties go to the smaller id."""
+        kind = dict(queries.dtypes)[query_column]
+        asked = queries.select(F.col(query_column).alias("id"), F.col("embedding").cast("array<float>").alias("v")).where("id is not null and v is not null")
+        asked = _celled(asked.where(F.size("v") == self.centres.shape[1]), self.centres, probes, kind).withColumnRenamed("id", "q")
+        sizes = self.cells.groupBy("cell").agg(F.ceil(F.count("*") / self.SLICE).cast("int").alias("slices"))
+        sizes = F.broadcast(sizes)  # A row for each centre.
+        own = self.cells.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("id"), "slices").cast("int").alias("slice"), "id", "v")
+        spread = asked.join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "q", "v")
+
+        def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            ids = left["id"].to_numpy()
+            if len(left) and len(right):
+                x = _unit(np.stack(left["v"].to_numpy()).astype(np.float64))
+                for first in range(0, len(right), 256):
+                    some = right.iloc[first : first + 256]
+                    scores = _unit(np.stack(some["v"].to_numpy()).astype(np.float64)) @ x.T
+                    keep = min(top_k, len(left))
+                    for q, s in zip(some["q"], scores):
+                        near = np.flatnonzero(s >= np.partition(s, -keep)[-keep])
+                        rows += [(q, i, -v) for v, i in sorted((-float(s[j]), ids[j]) for j in near)[:top_k]]
+            return pd.DataFrame(rows, columns=["query_id", "id", "score"])
+
+        found = own.groupBy("cell", "slice").cogroup(spread.groupBy("cell", "slice")).applyInPandas(best, f"query_id {kind}, id {self.id_kind}, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest centres of each row, the nearest first."""
+    scores = x @ centres.T
+    return np.argsort(-scores, axis=1, kind="stable")[:, :n]
+
+
+def _celled(rows: DataFrame, centres: np.ndarray, n: int, kind: str) -> DataFrame:
+    """(id, v, cell): each vector with its n nearest cells."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2048):
+                part = batch.slice(first, 2048)
+                x = np.array(part.column(1).to_pylist(), np.float32).reshape(part.num_rows, -1)
+                own = _nearest(_unit(x), sent.value, n)
+                at = np.repeat(np.arange(part.num_rows, dtype=np.int32), own.shape[1])
+                taken = part.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(own.ravel().astype(np.int32))], ["id", "v", "cell"])
+
+    return rows.select("id", "v").mapInArrow(run, f"id {kind}, v array<float>, cell int")
+
+
 def cluster(vectors: DataFrame, k: int, id_column: str = "id", vector_column: str = "embedding", seed: int = 42) -> DataFrame:
     """(id, label): k-means clusters of the vectors; null vectors are left out."""
     from pyspark.ml.clustering import KMeans

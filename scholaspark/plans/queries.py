@@ -176,7 +176,7 @@ def chunks_per_document(spark, d):
 
 @query()
 def token_chunks(spark, d):
-    return C.prepare_and_chunk(D.documents_from_records(_papers(spark, d)), size=256, overlap=32)
+    return C.prepare_and_chunk(D.documents_from_records(_papers(spark, d)), size=256, overlap=32).drop("metadata")
 
 
 @query()
@@ -200,6 +200,16 @@ def nearest_vectors(spark, d):
     return V.search(vectors, asked, 5, id_column="vec_id").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("SELECT CAST(count(DISTINCT vec_id) AS BIGINT) AS n_queries, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_recall(spark, d):
+    """Whether the index finds at least 0.9 of what the exact search finds."""
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = V.VectorIndex.build(vectors, "vec_id").search(asked, 5).select("query_id", "id", F.lit(1).alias("hit"))
+    exact = V.search(vectors, asked, 5, id_column="vec_id").select("query_id", "id").join(near, ["query_id", "id"], "left")
+    return exact.agg(F.countDistinct("query_id").alias("n_queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"))
+
+
 @query("SELECT label, count(*) AS n, count(DISTINCT vec_id) AS n_ids FROM embeddings GROUP BY label")
 def vector_counts(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("n_ids"))
@@ -383,7 +393,7 @@ UNION ALL SELECT x.community, 'relation', 'Relation: ' || x.label || ' --[' || c
 def component_facts(spark, d):
     """What summaries of the connected parts are written from."""
     nodes, edges, members = _parts(spark, d)
-    return CO.facts(members, nodes, edges)
+    return CO.facts(members, nodes, edges).drop("degree")
 
 
 @query(f"""{_PARTS}, top AS (SELECT community, size, label, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node_id) AS rank FROM member JOIN degree USING (node_id) JOIN nodes USING (node_id))

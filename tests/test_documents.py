@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from scholaspark.operators import chunking as C
@@ -85,3 +86,27 @@ def test_first_loads_with_shared_places(spark, monkeypatch):
         got = D.first_loads(df, ["k"], [F.col("at"), F.col("n")]).collect()
         assert len(got) == len(want) and {r.k: (-1 if r.at is None else r.at, r.n) for r in got} == want
     assert D.first_loads(df.limit(0), ["k"], [F.col("n")]).count() == 0
+
+
+def test_vector_index_recall(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(30, 16))
+    rows = [(i, (middles[i % 30] + 0.4 * rng.normal(size=16)).tolist()) for i in range(1500)] + [(9000 + i, [1.0] * 16) for i in range(500)] + [(1, None), (9999, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = df.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.id) for r in V.search(df, asked, 5).collect()}
+    for slice_ in (50_000, 40):
+        monkeypatch.setattr(V.VectorIndex, "SLICE", slice_)
+        index = V.VectorIndex.build(df)
+        assert index.cells.count() == 2000
+        got = index.search(asked, 5)
+        assert got.groupBy("query_id").count().where("count > 5").count() == 0
+        assert len({(r.query_id, r.id) for r in got.collect()} & exact) >= 0.9 * len(exact)
+    assert V.VectorIndex.build(df.limit(0)).search(asked).count() == 0
+
+
+def test_metadata_of_chunks(spark):
+    rows = [("a", "some words", "Title", "f.txt", [("One", "x"), (None, "y")], {"title": "Own", "k": "v"}), ("b", "more words", None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, title string, source_file string, sections array<struct<heading string, text string>>, metadata map<string,string>")
+    got = {r.doc_id: r.metadata for r in C.chunk(df).collect()}
+    assert got == {"a": {"title": "Own", "doc_id": "a", "source_file": "f.txt", "sections": '["One",null]', "k": "v"}, "b": {"title": "", "doc_id": "b"}}
