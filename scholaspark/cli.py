@@ -9,10 +9,13 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from scholaspark.config import get_settings
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="scholaspark")
-    p.add_argument("--folder", default="data/workspace", help="folder of the tables")
+    s = get_settings()
+    p.add_argument("--folder", default=s.workspace_dir, help="folder of the tables")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, text: str, *arguments: tuple) -> None:
@@ -22,8 +25,9 @@ def parser() -> argparse.ArgumentParser:
 
     mode = (("--mode",), {"default": "vector", "choices": ["vector", "local", "global", "graph_only", "hybrid"]})
     top_k = (("--top-k",), {"type": int})
-    command("preprocess", "text files to paper records", (("source",), {}), (("target",), {}))
-    command("index", "chunk and embed a folder", (("source",), {}), (("--limit",), {"type": int}), (("--no-resume",), {"action": "store_true"}))
+    optional = lambda name, folder: ((name,), {"nargs": "?", "default": folder})
+    command("preprocess", "text files to paper records", optional("source", s.raw_data_dir), optional("target", s.processed_data_dir))
+    command("index", "chunk and embed a folder", optional("source", s.processed_data_dir), (("--limit",), {"type": int}), (("--no-resume",), {"action": "store_true"}))
     command("extract", "entities and relations of the chunks")
     command("build-graph", "graph and communities of all results", (("--summary-limit",), {"type": int}))
     command("build-topology", "graph of a checkpoint's good results", (("checkpoint",), {}), (("--summary-limit",), {"type": int}))
@@ -33,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     command("search-title", "documents by title", (("source",), {}), (("text",), {}), (("--top-n",), {"type": int, "default": 10}))
     command("questions-template", "a file of questions to begin with", (("target",), {}))
     command("preflight", "what a benchmark lacks", (("questions",), {}))
-    command("benchmark", "records, review and report of a questions file", (("questions",), {}), (("target",), {}), (("--mode",), {"action": "append", "choices": mode[1]["choices"]}), top_k)
+    command("benchmark", "records, review and report of a questions file", (("questions",), {}), optional("target", s.results_dir), (("--mode",), {"action": "append", "choices": mode[1]["choices"]}), top_k)
     command("artifacts", "tables for visualisers", (("target",), {}), (("--prefix",), {"action": "store_true"}))
     command("graphml", "the graph in GraphML", (("target",), {}))
     command("visualize", "a page with a sample of the graph", (("target",), {}), (("--max-nodes",), {"type": int, "default": 500}))
@@ -93,12 +97,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ob
         notes = B.preflight(questions, table("vectors"), table("graph/edges"), table("communities"))
         print("\n".join(notes))
         return notes
-    S.write_records(w.benchmark(questions, tuple(a.mode) if a.mode else ("vector", "local", "global", "graph_only", "hybrid"), a.top_k), f"{a.target}/records", "parquet")
+    run_id, at = str(uuid.uuid4()), datetime.datetime.now(datetime.UTC).isoformat()
+    modes = tuple(a.mode) if a.mode else ("vector", "local", "global", "graph_only", "hybrid")
+    S.write_records(w.benchmark(questions, modes, a.top_k, run_id, at), f"{a.target}/records", "parquet")
     records = spark.read.parquet(f"{a.target}/records")
-    S.write_records(records, f"{a.target}/log", "json")
-    S.write_records(B.review(records), f"{a.target}/review", "csv")
-    text = B.report(records, str(uuid.uuid4()), a.questions, datetime.datetime.now(datetime.UTC).isoformat(), a.top_k or 5)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.target}/report")
+    S.write_records(records, f"{a.target}/benchmark_runs/{run_id}", "json")
+    table = B.review(records)
+    S.write_records(table, f"{a.target}/review", "csv")
+    S.write_lines(B.review_markdown(table, run_id, at), f"{a.target}/review.md")
+    text = B.report(records, run_id, a.questions, at, a.top_k or get_settings().top_k)
+    S.write_lines(spark.createDataFrame([(text,)], "value string"), f"{a.target}/report.md")
     return text
 
 

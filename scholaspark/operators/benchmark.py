@@ -81,20 +81,52 @@ def judge_notes(faithfulness: Column, hits: Column) -> Column:
     return F.concat_ws(" ", low, odd)
 
 
+#: Fixed value: characters of a chunk's text that a review shows.
+SHOWN_TEXT = 1200
+PAYLOAD = "array<struct<rank:int,chunk_id:string,score:double,text:string,metadata:map<string,string>>>"
+
+
 def review(records: DataFrame, chunk_limit: int = 5) -> DataFrame:
-    """The table for reading by people, with the first chunks as lines."""
+    """The table for reading by people, with the first chunks as lines, and with
+    their texts and the judges' reasons where the records carry them."""
+    there = records.columns
     ids = F.slice(json_list(F.col("retrieved_chunk_ids")), 1, chunk_limit)
     lines = F.array_join(F.transform(ids, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    extra = []
+    if "retrieved_chunk_payload" in there:
+        shown = F.slice(F.from_json("retrieved_chunk_payload", PAYLOAD), 1, chunk_limit)
+        text = lambda c: F.replace(F.trim(F.coalesce(c["text"], F.lit(""))), F.lit("\n"), F.lit(" "))
+        cut = lambda t: F.when(F.length(t) > SHOWN_TEXT, F.concat(F.left(t, F.lit(SHOWN_TEXT)), F.lit("..."))).otherwise(t)
+        details = F.transform(shown, lambda c: F.concat(c["rank"].cast("string"), F.lit(". "), c["chunk_id"], F.lit(" (score "), F.format_number(c["score"], 4), F.lit("): "), cut(text(c)), F.coalesce(F.concat(F.lit(" | "), F.to_json(c["metadata"])), F.lit(""))))
+        extra.append(F.coalesce(F.array_join(details, "\n"), F.lit("")).alias("top_k_chunk_details"))
+    extra += [F.coalesce(f"{m}_rationale", F.lit("")).alias(f"{m}_rationale") for m in QUALITY if f"{m}_rationale" in there]
     return records.select(
         F.coalesce("question_scope", F.lit("local")).alias("question_scope"), "question", "pipeline", "search_mode", "answer", lines.alias("top_k_chunks"), "retrieved_count", "relevant_hits_at_k",
         *(zero(c).alias(c) for c in ("precision_5", "recall_5", "mrr", *QUALITY, "latency_s")),
-        judge_notes(F.col("faithfulness"), F.col("relevant_hits_at_k")).alias("judge_validation_notes"),
+        judge_notes(F.col("faithfulness"), F.col("relevant_hits_at_k")).alias("judge_validation_notes"), *extra,
     )
 
 
-def scope_comparison(records: DataFrame, metric: str) -> DataFrame:
-    """(question_scope, a column of averages per pipeline)."""
-    return records.groupBy("question_scope").pivot("pipeline").agg(F.avg(zero(metric)))
+def review_markdown(table: DataFrame, run_id: str, timestamp_utc: str) -> DataFrame:
+    """(value): the review as lines of Markdown, in order of scope, question and
+    pipeline. A section is made where its row is; only the order is shared."""
+    there = table.columns
+    text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(none)")) if c in there else F.lit("(none)")
+    number = lambda c: F.format_number(F.col(c), 3)
+    figures = {"P@k": "precision_5", "R@k": "recall_5", "MRR": "mrr", **{m.title(): m for m in QUALITY}, "Latency (s)": "latency_s"}
+    reasons = [m for m in QUALITY if f"{m}_rationale" in there]
+    asked = Window.partitionBy("question_scope", "question").orderBy("pipeline", "search_mode", "answer")
+    opened = F.when(F.row_number().over(asked) == 1, F.concat(F.lit("## "), F.initcap("question_scope"), F.lit(" question: "), F.coalesce("question", F.lit("")), F.lit("\n\n"))).otherwise("")
+    section = F.concat(
+        opened, F.lit("### "), "pipeline", F.lit(" ("), F.coalesce("search_mode", F.lit("")), F.lit(")\n\n**Answer**\n\n"), text("answer"),
+        F.lit("\n\n**Retrieved chunks**\n\n"), text("top_k_chunks"), F.lit("\n\n**Their texts**\n\n"), text("top_k_chunk_details"), F.lit("\n\n**Metrics** "),
+        F.concat_ws(", ", *(F.concat(F.lit(f"{n}: "), number(c)) for n, c in figures.items())),
+        *(F.concat(F.lit(f"\n- {m.title()}: "), text(f"{m}_rationale")) for m in reasons),
+        F.when(F.col("judge_validation_notes") != "", F.concat(F.lit("\n\n**Note** "), "judge_validation_notes")).otherwise(""), F.lit("\n"),
+    )
+    rows = table.select(F.when(F.col("question_scope") == "local", 1).otherwise(2).alias("part"), "question_scope", "question", "pipeline", "search_mode", section.alias("value"))
+    head = table.groupBy().count().select(F.lit(0).alias("part"), F.concat(F.lit(f"# Benchmark Human Review\n\n- run_id: {run_id}\n- timestamp_utc: {timestamp_utc}\n- rows: "), F.col("count").cast("string"), F.lit("\n")).alias("value"))
+    return rows.unionByName(head, allowMissingColumns=True).orderBy("part", "question_scope", "question", "pipeline", "search_mode", "value").select("value")
 
 
 def head_to_head(records: DataFrame, metric: str, one: str = "rag") -> DataFrame:

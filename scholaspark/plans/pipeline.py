@@ -1,16 +1,19 @@
 """Whole pipelines: index a folder, build the graph, ask questions, benchmark.
 
 All state is tables under one folder: chunks, vectors, extractions, graph/nodes,
-graph/edges, communities and the manifest of what is indexed.
+graph/edges, members, communities and the manifest of what is indexed.
 """
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholaspark.config import get_settings
-from scholaspark.lineage import cut
+from scholaspark.lineage import cut, scope
 from scholaspark.operators import benchmark as B
 from scholaspark.operators import chunking as C
 from scholaspark.operators import communities as CO
@@ -19,14 +22,31 @@ from scholaspark.operators import extraction as X
 from scholaspark.operators import graph as G
 from scholaspark.operators import metrics as M
 from scholaspark.operators import retrieval as R
+from scholaspark.operators.models import Model, judged
+from scholaspark.operators.vectors import VectorIndex
 from scholaspark.sources import files as S
 
 
+@dataclass(frozen=True)
+class Models:
+    """The models a workspace works with, each a function; None for the default
+    that needs none. ``names`` are what benchmark records tell of them."""
+
+    embed: R.Embedder = R.hashed_embedding
+    generate: Model | None = None
+    extract: X.Model = X.capitalised_names
+    repair: X.Model | None = None
+    fallback: X.Model | None = None
+    summarise: Model | None = None
+    judge: Model | None = None
+    names: dict[str, str] = field(default_factory=dict)
+
+
 class Workspace:
-    """The tables of one folder."""
+    """The tables of one folder, and the models they are made with."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, models: Models | None = None):
+        self.spark, self.folder, self.models = spark, folder.rstrip("/"), models or Models()
 
     def has(self, name: str) -> bool:
         return S._matches(self.spark, f"{self.folder}/{name}/*")
@@ -41,7 +61,12 @@ class Workspace:
         """Chunks and embeds the documents of a folder that aren't indexed yet;
         returns the number of vectors. The manifest is written last, so a run
         that broke off is done again."""
-        docs = S.read_documents(self.spark, source).dropDuplicates(["doc_id"])
+        with scope():
+            self._index(source, resume, limit)
+        return self.read("vectors").count()
+
+    def _index(self, source: str, resume: bool, limit: int | None) -> None:
+        docs = D.first_loads(S.read_documents(self.spark, source), ["doc_id"], [F.col("source_file"), F.xxhash64("text")])
         if resume and self.has("manifest"):
             docs = D.not_indexed(docs, self.read("manifest"))
         if limit is not None:
@@ -53,16 +78,17 @@ class Workspace:
             chunks = chunks.join(self.read("chunks").select("chunk_id"), "chunk_id", "left_anti")
         chunks = cut(chunks)
         self.write(chunks, "chunks", mode)
-        self.write(R.embedded(chunks, "chunk_id", "text", "chunk_id"), "vectors", mode)
+        self.write(R.embedded(chunks, "chunk_id", "text", "chunk_id", self.models.embed), "vectors", mode)
         self.write(docs.select("doc_id"), "manifest", mode)
-        return self.read("vectors").count()
 
-    def extract(self, model: X.Model = X.capitalised_names, **options) -> None:
+    def extract(self) -> None:
         """Extracts the chunks that have no result yet."""
+        m = self.models
         chunks = self.read("chunks")
         if self.has("extractions"):
             chunks = S.not_extracted(chunks, self.read("extractions"))
-        self.write(cut(X.extract(chunks, model, **options)), "extractions", "append")
+        with scope():
+            self.write(cut(X.extract(chunks, m.extract, m.repair, m.fallback)), "extractions", "append")
 
     def build_graph(self, extractions: DataFrame | None = None, good_only: bool = False, summaries: int | None = None) -> None:
         """Graph and communities of all results, or of the good ones."""
@@ -76,55 +102,99 @@ class Workspace:
     def refresh_communities(self, summaries: int | None = None) -> None:
         """Detects and summarises communities again; all, or the largest."""
         nodes, edges = S.read_graph(self.spark, f"{self.folder}/graph")
-        members = cut(CO.detect(nodes, edges))
-        self.write(cut(CO.community_table(members, CO.summarise(members, nodes, edges, limit=summaries))), "communities")
-
-    def search(self, questions: DataFrame, mode: str = "vector", top_k: int | None = None) -> dict[str, DataFrame]:
-        """Retrieval for (query_id, question) in one of the modes."""
-        k, hops = top_k or get_settings().top_k, get_settings().expansion_hops
+        with scope():
+            members = cut(CO.detect(nodes, edges))
+            told = CO.summarise(members, nodes, edges, limit=summaries) if self.models.summarise is None else CO.summarise_by_model(members, nodes, edges, self.models.summarise, summaries)
+            self.write(members, "members")
+            self.write(cut(CO.community_table(members, told)), "communities")
+
+    def search(self, questions: DataFrame, mode: str = "vector", top_k: int | None = None, index: VectorIndex | None = None) -> dict[str, DataFrame]:
+        """Retrieval for (query_id, question) in one of the modes; by an index of
+        the vectors if one is given, else by the exact search."""
+        k, hops, embed = top_k or get_settings().top_k, get_settings().expansion_hops, self.models.embed
         if mode == "vector":
-            return {"chunks": R.vector_search(questions, self.read("vectors"), k)}
+            return {"chunks": R.vector_search(questions, self.read("vectors"), k, embed, index)}
         if mode not in R.MODES:
             raise ValueError(f"unknown mode: {mode}")
         nodes, edges = S.read_graph(self.spark, f"{self.folder}/graph")
         if mode == "graph_only":
-            return R.graph_only_search(questions, nodes, edges, k, hops)
+            return R.graph_only_search(questions, nodes, edges, k, hops, embed)
         found: dict[str, DataFrame] = {}
         if mode in ("local", "hybrid"):
-            found |= R.local_search(questions, self.read("vectors"), self.read("chunk_entities"), nodes, edges, k, hops)
+            found |= R.local_search(questions, self.read("vectors"), self.read("chunk_entities"), nodes, edges, k, hops, embed, index)
         if mode in ("global", "hybrid"):
-            found |= R.global_search(questions, self.read("communities"), k)
+            found |= R.global_search(questions, self.read("communities"), k, embed)
         return found
 
+    def results(self, found: dict[str, DataFrame]) -> DataFrame:
+        """The found chunks with their texts and metadata."""
+        return R.results(found["chunks"], self.read("chunks"))
+
+    def index_vectors(self) -> VectorIndex:
+        """An index of the workspace's vectors, for searches beyond full scans."""
+        return VectorIndex.build(self.read("vectors"), "chunk_id")
+
     def answer(self, questions: DataFrame, mode: str = "vector", top_k: int | None = None) -> DataFrame:
-        """(query_id, question, context, answer) by the default generator."""
+        """(query_id, question, context, answer)."""
         asked = cut(R.contexts(questions, self.read("chunks"), self.search(questions, mode, top_k)))
-        return asked.join(R.extractive_answers(asked), "query_id")
+        return asked.join(R.answers(asked, self.models.generate), "query_id")
 
-    def benchmark(self, questions: DataFrame, modes: tuple[str, ...] = R.MODES, top_k: int | None = None) -> DataFrame:
+    def benchmark(self, questions: DataFrame, modes: tuple[str, ...] = R.MODES, top_k: int | None = None, run_id: str = "", timestamp_utc: str = "") -> DataFrame:
         """Benchmark records of questions (question_id, question,
         reference_answer, relevant_doc_ids, question_scope), one per mode.
-        Judges aren't run; their metrics are 0."""
+        Without a judge the judged metrics are 0. The latency of a record is its
+        share of the time that its mode took for all questions."""
         k = top_k or get_settings().top_k
         asked = cut(B.questions_of(questions).withColumnRenamed("question_id", "query_id"))
+        n = max(asked.count(), 1)
         every = None
         for number, mode in enumerate(modes):
+            began = time.monotonic()
             found = self.search(asked, mode, k)
-            answers = cut(R.contexts(asked, self.read("chunks"), found))
-            answers = answers.join(R.extractive_answers(answers), "query_id").drop("question")
             if "chunks" in found:
-                ids = found["chunks"].groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
-            else:
-                ids = asked.select("query_id", F.array().cast("array<string>").alias("ids"))
-            rows = asked.join(answers, "query_id").join(ids, "query_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
-            docs = M.as_documents(F.col("ids"))
-            rows = rows.withColumn("docs", docs).withColumn("rouge", M.rouge_scores("answer", "reference_answer"))
+                found["chunks"] = cut(found["chunks"])
+            context = cut(R.contexts(asked, self.read("chunks"), found))
+            answers = cut(context.join(R.answers(context, self.models.generate), "query_id"))
+            took = (time.monotonic() - began) / n
+            rows = self._judged(asked.join(answers.drop("question"), "query_id").join(self._payload(asked, found), "query_id"))
+            rows = rows.withColumn("docs", M.as_documents(F.col("ids"))).withColumn("rouge", M.rouge_scores("answer", "reference_answer"))
             relevant = F.col("relevant_doc_ids")
+            hits = M.hits_at_k(F.col("docs"), relevant, k)
             rows = rows.select(
-                (F.col("query_id") * len(modes) + number).alias("record_id"), "question", F.lit("rag" if mode == "vector" else f"graphrag_{mode}").alias("pipeline"), "question_scope", F.lit(mode).alias("search_mode"), F.lit(k).alias("top_k"), "answer", F.lit(0.0).alias("latency_s"),
+                (F.col("query_id") * len(modes) + number).alias("record_id"), "question", F.lit("rag" if mode == "vector" else f"graphrag_{mode}").alias("pipeline"), "question_scope", F.lit(run_id).alias("run_id"), F.lit(timestamp_utc).alias("timestamp_utc"), F.lit(mode).alias("search_mode"),
+                *(F.lit(v).alias(c) for c, v in self._names().items()), F.lit(k).alias("top_k"), "answer", F.lit(took).alias("latency_s"),
                 M.precision_at_k(F.col("docs"), relevant, k).alias("precision_5"), M.recall_at_k(F.col("docs"), relevant, k).alias("recall_5"), M.reciprocal_rank(F.col("docs"), relevant).alias("mrr"), F.col("rouge.rouge1").alias("rouge1"), F.col("rouge.rougel").alias("rougel"),
-                *(F.lit(0.0).alias(c) for c in B.QUALITY), F.size(F.array_distinct(relevant)).alias("relevant_doc_count"), F.size("ids").alias("retrieved_count"), M.hits_at_k(F.col("docs"), relevant, k).alias("relevant_hits_at_k"), F.lit(False).alias("has_relevant_hit_at_k"),
-                F.to_json("ids").alias("retrieved_chunk_ids"), F.to_json(F.array_sort("docs")).alias("retrieved_doc_ids"), F.length("context").alias("context_char_count"),
+                *B.QUALITY, F.size(F.array_distinct(relevant)).alias("relevant_doc_count"), F.size("ids").alias("retrieved_count"), hits.alias("relevant_hits_at_k"), F.lit(False).alias("has_relevant_hit_at_k"),
+                F.to_json("ids").alias("retrieved_chunk_ids"), F.to_json(F.slice("ids", 1, 5)).alias("retrieved_chunk_ids_top5"), F.to_json("payload.score").alias("retrieved_chunk_scores"), F.to_json(F.array_sort("docs")).alias("retrieved_doc_ids"),
+                F.to_json("payload").alias("retrieved_chunk_payload"), F.to_json(F.slice("payload", 1, 5)).alias("retrieved_chunk_payload_top5"), *(f"{m}_rationale" for m in B.QUALITY), B.judge_notes(F.col("faithfulness"), hits).alias("judge_validation_notes"), F.length("context").alias("context_char_count"), "context",
             )
             every = rows if every is None else every.unionByName(rows)
-        return every.withColumns(M.validated())
+        every = cut(every)
+        tokens = C.token_counts(every, "record_id", "context").withColumnRenamed("n_tokens", "estimated_context_tokens")
+        return every.drop("context").join(tokens, "record_id").withColumns(M.validated())
+
+    def _names(self) -> dict[str, str]:
+        s = get_settings()
+        known = {"llm_provider": s.llm_provider, "llm_model": s.llm_model_name, "embedding_provider": s.embedding_provider, "embedding_model": s.embedding_model_name}
+        return {c: self.models.names.get(c, v) for c, v in known.items()}
+
+    def _payload(self, asked: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+        """(query_id, ids, payload): the found chunks by rank, as their ids and
+        as they are shown; at most top_k of a question."""
+        kind = "array<struct<rank:int,chunk_id:string,score:double,text:string,metadata:map<string,string>>>"
+        none = F.array().cast(kind)
+        if "chunks" in found:
+            by = F.sort_array(F.collect_list(F.struct("rank", F.struct("chunk_id", F.round("score", 6).alias("score"), "text", F.to_json("metadata").alias("metadata")).alias("x"))))
+            listed = self.results(found).groupBy("query_id").agg(F.transform(by, lambda r: F.struct(r["rank"].alias("rank"), r["x"]["chunk_id"].alias("chunk_id"), r["x"]["score"].alias("score"), r["x"]["text"].alias("text"), F.from_json(r["x"]["metadata"], "map<string,string>").alias("metadata"))).alias("payload"))
+            rows = asked.select("query_id").join(listed, "query_id", "left").withColumn("payload", F.coalesce("payload", none))
+        else:
+            rows = asked.select("query_id", none.alias("payload"))
+        return rows.select("query_id", F.col("payload.chunk_id").alias("ids"), "payload")
+
+    def _judged(self, rows: DataFrame) -> DataFrame:
+        """The rows with the judges' scores and reasons."""
+        if self.models.judge is None:
+            return rows.select("*", *(F.lit(0.0).alias(m) for m in B.QUALITY), *(F.lit("").alias(f"{m}_rationale") for m in B.QUALITY))
+        scores = judged(rows, self.models.judge, B.QUALITY).groupBy("query_id").pivot("metric", list(B.QUALITY)).agg(F.first("score").alias("s"), F.first("rationale").alias("r"))
+        scores = scores.select("query_id", *(F.coalesce(f"{m}_s", F.lit(0.0)).alias(m) for m in B.QUALITY), *(F.coalesce(f"{m}_r", F.lit("")).alias(f"{m}_rationale") for m in B.QUALITY))
+        return rows.join(scores, "query_id", "left").fillna(0.0, list(B.QUALITY)).fillna("", [f"{m}_rationale" for m in B.QUALITY])

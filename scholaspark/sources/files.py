@@ -118,17 +118,37 @@ def _attribute(column: str):
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The graph in GraphML, as a folder of parts that make one document when
-    joined in order; chunk_ids are JSON. Nothing passes through the driver."""
+    """The graph in GraphML, chunk_ids as JSON: one document that other tools
+    open if the path ends in .graphml, else a folder of parts that make the
+    document when joined in order. The parts are written by the tasks."""
     keys = "".join(f'<key id="{k}_{n}" for="{k}" attr.name="{n}" attr.type="{"long" if n == "weight" else "string"}"/>' for k, names in _KEYS.items() for n in names)
     head = '<?xml version="1.0" encoding="utf-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + keys + '<graph edgedefault="directed">'
     spark = nodes.sparkSession
+    parts = f"{path}.parts" if path.endswith(".graphml") else path
     n = nodes.select(F.concat(F.lit('<node id="'), _attribute("node_id"), F.lit('">'), *(_xml(c, c, "node") for c in _KEYS["node"]), F.lit("</node>")).alias("value"))
     flat = edges.withColumn("chunk_ids", F.to_json("chunk_ids"))
     e = flat.select(F.concat(F.lit('<edge source="'), _attribute("src"), F.lit('" target="'), _attribute("dst"), F.lit('">'), *(_xml(c, c, "edge") for c in _KEYS["edge"]), F.lit("</edge>")).alias("value"))
     one = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
     # A union keeps the order of its sides' partitions, and so of the parts.
-    one(head).union(n).union(e).union(one("</graph></graphml>")).write.mode("overwrite").option("lineSep", "\n").text(path)
+    one(head).union(n).union(e).union(one("</graph></graphml>")).write.mode("overwrite").option("lineSep", "\n").text(parts)
+    if parts != path:
+        _joined(spark, parts, path)
+
+
+def _joined(spark: SparkSession, parts: str, path: str) -> None:
+    """Joins the part files of a folder into one file, as a stream between the
+    file systems, and takes the folder away."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    folder, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    files = folder.getFileSystem(conf)
+    out = target.getFileSystem(conf).create(target, True)
+    for name in sorted(f.getPath().getName() for f in files.listStatus(folder)):
+        if name.startswith("part-"):
+            part = files.open(hadoop.fs.Path(folder, name))
+            hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    out.close()
+    files.delete(folder, True)
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -169,6 +189,16 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines (value) in their order: one file if the path has an ending, else a
+    folder of parts."""
+    one = "." in path.rsplit("/", 1)[-1]
+    parts = f"{path}.parts" if one else path
+    lines.write.mode("overwrite").text(parts)
+    if one:
+        _joined(lines.sparkSession, parts, path)
+
+
 def write_records(records: DataFrame, path: str, kind: str = "json") -> None:
     """Benchmark records as JSON lines, CSV or parquet."""
     if kind == "csv":

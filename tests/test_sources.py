@@ -1,9 +1,12 @@
 import json
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from scholaspark import cli
+from scholaspark.operators import retrieval as R
+from scholaspark.plans import pipeline
 from scholaspark.sources import files as S
 from scholaspark.streaming import ingest
 
@@ -85,6 +88,44 @@ def test_command_line(spark, papers, tmp_path):
     assert "|rag|1|" in text and "|graphrag_local|1|" in text
     assert spark.read.parquet(str(tmp_path / "r" / "records")).where("pipeline = 'rag'").first().mrr == 1.0
     assert [r.doc_id for r in run("search-title", papers, "mill")] == ["p1"]
+    review = (tmp_path / "r" / "review.md").read_text()
+    assert review.startswith("# Benchmark Human Review") and review.count("### ") == 2 and "p1__chunk_0" in review and (tmp_path / "r" / "report.md").read_text().startswith("# Benchmark Report")
+    run("graphml", str(tmp_path / "g.graphml"))
+    graph = ElementTree.parse(tmp_path / "g.graphml").getroot()
+    assert [e.tag.rsplit("}", 1)[-1] for e in graph][-1] == "graph" and len(graph[-1]) > 2 and not (tmp_path / "g.graphml.parts").exists()
+    n, e = S.read_graphml(spark, str(tmp_path / "g.graphml"))
+    assert n.count() == spark.read.parquet(str(tmp_path / "w" / "graph" / "nodes")).count() and e.count() > 0
+
+
+def test_models_through_the_pipeline(spark, papers, tmp_path):
+    calls = []
+
+    def embed(text):
+        return F.array(F.length(F.coalesce(text, F.lit(""))).cast("float"), F.lit(1.0).cast("float"))
+
+    def generate(prompts):
+        return [None if "second" in p else f"Said of {len(prompts)}" for p in prompts]
+
+    def judge(prompts):
+        return [json.dumps({"score": 0.5, "rationale": "why not"}) for _ in prompts]
+
+    models = pipeline.Models(embed=embed, generate=generate, judge=judge, summarise=lambda ps: [f"Summary {'Entity: ' in p}" for p in ps], names={"llm_model": "told"})
+    w = pipeline.Workspace(spark, str(tmp_path / "m"), models)
+    w.index(papers)
+    assert {len(r.embedding) for r in w.read("vectors").collect()} == {2}
+    w.extract()
+    w.build_graph()
+    assert {r.summary for r in w.read("communities").collect()} == {"Summary True"}
+    asked = spark.createDataFrame([(1, "the first"), (2, "the second")], "query_id long, question string")
+    got = {r.query_id: r.answer for r in w.answer(asked).collect()}
+    assert got[1].startswith("Said of") and got[2] == R.NO_ANSWER
+    shown = w.results(w.search(asked.where("query_id = 1"), index=w.index_vectors())).collect()
+    assert shown and all(r.text and r.metadata["doc_id"] for r in shown)
+    questions = spark.createDataFrame([(7, "the first", "ref", ["p1"], "local")], "question_id long, question string, reference_answer string, relevant_doc_ids array<string>, question_scope string")
+    r = w.benchmark(questions, ("vector", "graph_only"), 2, "run", "now").orderBy("record_id").collect()
+    assert [x.pipeline for x in r] == ["rag", "graphrag_graph_only"] and r[0].faithfulness == 0.5 and r[0].directness_rationale == "why not" and r[0].llm_model == "told" and r[0].run_id == "run"
+    payload = json.loads(r[0].retrieved_chunk_payload)
+    assert [x["rank"] for x in payload] == list(range(1, len(payload) + 1)) and payload[0]["text"] and r[0].estimated_context_tokens > 0 and r[1].retrieved_chunk_ids == "[]"
 
 
 def test_streams(spark, tmp_path):
