@@ -1,17 +1,19 @@
 """Problem 1: answers that are no sound answer to their question.
 
-An answer is cut into clauses, and a linear-chain conditional random field tags
-each as answer, refusal, echo, foreign or unfinished. Its features are general
-(overlap with the question, language against the question's, how the clause
-ends, what is left open, who speaks and whether something is denied), and it
-is trained here, on clause sequences that a small grammar of its own writes
-with their tags. The share of the text under each tag then gives the defect:
-
-- empty: nothing is left once tags, frames and placeholders are taken away
-- language: most of what is said is foreign
-- truncated: the last clause is unfinished
-- copy: no clause answers or refuses, and one echoes
-- refusal: no clause answers, and one refuses
+An answer is freed of tags, placeholders and bare frames and cut into clauses,
+and a linear-chain conditional random field tags each as answer, refusal, echo,
+foreign or unfinished. Its features are general (overlap with the question,
+language against the question's, how the clause ends, what is left open, who
+speaks, what is denied, whether the clause speaks of a topic at all or only of
+asking, knowing and the given text), and it is trained here, on clause sequences
+that a small grammar of its own writes with their tags. What each tag covers of
+the text then gives the defect:
+
+- empty: nothing is covered, as no clause is left
+- language: the foreign part is larger than all others
+- truncated: the unfinished part reaches the end
+- refusal: the answered part is empty, and some is refused
+- copy: the answered part is empty, and some is echoed
 
 The model is a few thousand numbers and goes to every task; the work is per
 row. Defined results: a null answer is empty; a null or blank question has no
@@ -34,7 +36,7 @@ from scholaspark.llm.common import WORD, bounded_rows, table
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 SEED = 11
-EXAMPLES = 1500
+EXAMPLES = 2400
 ROUNDS = 160
 
 #: What stands for no answer, and words that only frame one.
@@ -47,12 +49,18 @@ _CLAUSE = re.compile(r"(?<=[.!?:…])[\"”»')\]]*\s+|(?<=[。！？；：])|\n
 _CITATION = re.compile(r"(?:\s*(?:\[\d+(?:, ?\d+)*\]|\((?:see|cf\.?|Table|Figure|Section|siehe|voir|véase)\b[^()]*\)))+\s*$")
 _ITEM = re.compile(r"^\s*(?:\(?\d+[.)]|\(?[a-z]\)|[-*•–])\s+")
 _NUMBERS = {w: i + 2 for i, ws in enumerate(("two zwei deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco", "six sechs six seis", "seven sieben sept siete")) for w in ws.split()}
-_SPEAKER = {"i", "me", "my", "i'm", "we'd", "myself", "ich", "mir", "mich", "je", "moi", "me", "yo", "mi"}
-_DENIAL = {"not", "no", "cannot", "can't", "unable", "won't", "don't", "nothing", "without", "silent", "outside", "decline", "refuse", "rather", "open", "nicht", "kein", "keine", "ne", "pas", "impossible", "insufficient"}
-_ABILITY = {"answer", "help", "know", "say", "comment", "speculate", "respond", "discuss", "decline", "guess", "access", "possible", "able", "information", "determine", "provide", "assist", "beantworten", "wissen", "weiß", "sagen", "répondre", "sais", "responder", "sé"}
-_SORRY = {"sorry", "apologies", "apologise", "apologize", "unfortunately", "regret", "afraid", "leider", "désolé", "malheureusement", "siento", "lamentablemente"}
-_CONTEXT = {"context", "passages", "sources", "material", "documents", "information", "mentioned", "paper", "provided", "retrieved", "request", "question"}
+_SPEAKER = set("i me my i'm i've i'd i'll myself we'd ich mir mich mein meine meiner meines je j'ai moi me mon ma mes yo mi mis".split())
+_DENIAL = set("not no cannot can't unable won't don't couldn't isn't doesn't didn't wouldn't nothing none nowhere neither without silent outside beyond decline refuse rather open lack lacks missing absent insufficient impossible nicht kein keine keinen nichts ne n'ai pas rien aucune aucun nada ninguna ningún imposible".split())
+_ABILITY = set("answer help know say comment speculate respond discuss decline guess access possible able information determine provide assist judge tell infer beantworten wissen weiß sagen antworten helfen répondre sais dire aider responder sé decir ayudar".split())
+_SORRY = set("sorry apologies apologise apologize unfortunately regret afraid leider désolé malheureusement siento lamentablemente".split())
+_CONTEXT = set("context passage passages source sources material document documents excerpt excerpts information text mentioned paper provided supplied given retrieved available request question kontext text quellen unterlagen contexte texte documents contexto texto fuentes".split())
+_KNOWING = set("know known knowledge idea clue certain sure aware unknown unclear uncertain answer view opinion ahnung weiß wissen idée sais idea sé".split())
+_RULE = set("guidelines guideline policy policies rules instructions permission permitted allowed allow allows forbid forbids forbidden prohibit prohibits prohibited restricted comply prevent prevents follow regeln erlaubt dürfen darf règles permis autorisé reglas permitido".split())
+_TELLING = set("address addresses cover covers mention mentions mentioned discuss discusses contain contains state states stated say says tell tells explain explains answers answering reply replying respond responding comment support supports specify specified found inferred determined described statement scope remit help".split())
+_THIS = set("this that it here these those question request das dies diese dazu darauf cela ça cette esto eso esta".split())
 _COURTESY = {"please", "hope", "understand", "anything", "else", "consult", "instead", "thank", "thanks", "asking", "bitte", "merci", "gracias"}
+#: Words that name no topic, beside the common ones.
+_TOPICLESS = _SPEAKER | _DENIAL | _ABILITY | _SORRY | _CONTEXT | _KNOWING | _RULE | _TELLING | _THIS | _COURTESY | set("am is are was were be been being do does did have has had will would can could may might must should shall about any some enough too little more than there what which how why from of to on in for with at the a an or and if so but you your me one only just all possible made make give lies falls seems topic matter subject anything something".split())
 _OPENERS = ("as a language model", "based on the", "after reading", "as an ai", "hm", "well")
 _HANGING = set("the a an of and or to in on with by for from that which its their is are was were be as at but not nor than if when while because into between each every this these those and der die das den dem ein eine und oder mit von für bei zu auf le la les un une et ou de des du dans sur avec par pour que qui el los las y o en con por del se whose it they where has have had no any some such".split())
 
@@ -87,25 +95,37 @@ def bare(text: str | None) -> str:
     return " ".join(words)
 
 
-def is_empty(answer: str | None) -> bool:
-    said = bare(answer)
-    return not said or said in PLACEHOLDERS or said in FRAMES or any(said == f"{f} {p}" for f in FRAMES for p in PLACEHOLDERS)
+def said(answer: str | None) -> str:
+    """What an answer says: without tags, and nothing where only a placeholder
+    or a frame is left."""
+    text = _TAG.sub(" ", answer or "")
+    plain = bare(text)
+    if plain in PLACEHOLDERS or plain in FRAMES or any(plain == f"{f} {p}" for f in FRAMES for p in PLACEHOLDERS):
+        return ""
+    return text
 
 
 def clauses(text: str) -> list[str]:
     return [x.strip() for x in _CLAUSE.split(text) if x and x.strip() and (any(map(str.isalnum, x)) or "```" in x)]
 
 
-def _overlap(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of two word lists."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            row[j] = last + 1 if x == y else max(row[j], row[j - 1])
-            last = keep
-    return row[-1]
+def _places(words: list[str]) -> tuple[dict[str, int], int]:
+    """Of each word the bits of its places, and the number of words."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(words):
+        at[w] = at.get(w, 0) | 1 << i
+    return at, len(words)
+
+
+def _overlap(words: list[str], places: tuple[dict[str, int], int]) -> int:
+    """Length of the longest common subsequence of words, a bit per place."""
+    at, size = places
+    full = row = (1 << size) - 1
+    for w in words:
+        hit = row & at.get(w, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return size - row.bit_count()
 
 
 def _left_open(text: str) -> bool:
@@ -119,27 +139,30 @@ FEATURES = (
     "bias", "echo_all", "echo_most", "echo_some", "covers_question", "echo_frame", "same_language", "other_language", "no_language",
     "ends_full", "ends_cited", "ends_bare", "ends_ellipsis", "ends_half", "ends_short", "hanging", "left_open", "last", "only", "last_bare_after_full", "last_item_bare", "last_item_half", "promised_more", "one_word_cut",
     "speaker", "denial", "ability", "sorry", "context", "courtesy", "opener", "speaker_denial", "denial_ability", "denial_context", "speaker_ability", "third_person", "long", "short", "item", "name_only", "after_answer",
+    "knowing", "rule", "telling", "topicless", "one_topic", "speaker_knowing", "speaker_rule", "denial_telling", "denial_this", "topicless_denial", "topicless_rule", "one_topic_denial_context", "only_hanging", "topicless_other_language",
 )
 _AT = {f: i for i, f in enumerate(FEATURES)}
 
 
-def features(question: str | None, answer: str, common: dict[str, tuple[str, ...]]) -> tuple[list[str], np.ndarray]:
+def features(question: str | None, answer: str | None, common: dict[str, tuple[str, ...]]) -> tuple[list[str], np.ndarray]:
     """The clauses of an answer and a row of 0/1 features for each."""
-    parts = clauses(_TAG.sub(" ", answer))
+    parts = clauses(said(answer))
     rows = np.zeros((len(parts), len(FEATURES)))
     asked = WORD.findall((question or "").lower())
+    places = _places(asked)
+    asked_set = set(asked)
     asked_language = language(question or "", common)
     items = [i for i, p in enumerate(parts) if _ITEM.match(p)]
     promised = 0
     full_before = False
-    open_text = _left_open(answer)
+    open_text = _left_open(answer or "")
     for i, part in enumerate(parts):
         on = set()
         words = WORD.findall(part.lower())
         tokens = re.findall(r"[\w’']+", part.lower().replace("’", "'"))
         lang = language(part, common)
-        seen = set(tokens) - ({"comment"} if lang == "fr" else set())
-        own = _overlap(words, asked) if asked and words else 0
+        seen = set(tokens)
+        own = _overlap(words, places) if asked and words else 0
         if words and asked:
             share, cover = own / len(words), own / len(asked)
             if share >= 0.75 and cover >= 0.75:
@@ -150,8 +173,8 @@ def features(question: str | None, answer: str, common: dict[str, tuple[str, ...
                 on.add("echo_some")
             if cover >= 0.75:
                 on.add("covers_question")
-        said = " ".join(words)
-        if said in ECHO_FRAMES or any(said.startswith(f + " ") for f in ECHO_FRAMES if len(f) > 1):
+        plain = " ".join(words)
+        if plain in ECHO_FRAMES or any(plain.startswith(f + " ") for f in ECHO_FRAMES if len(f) > 1):
             on.add("echo_frame")
         if lang is None or asked_language is None:
             on.add("no_language")
@@ -199,11 +222,15 @@ def features(question: str | None, answer: str, common: dict[str, tuple[str, ...
             promised = max([promised, *(_NUMBERS[w] for w in words if w in _NUMBERS)])
         size = len(words) + sum("一" <= c <= "鿿" for c in part) // 2
         speaker, denial, ability, context = bool(seen & _SPEAKER), bool(seen & _DENIAL) or "n't" in part, bool(seen & _ABILITY), bool(seen & _CONTEXT)
+        knowing, rule, telling = bool(seen & _KNOWING), bool(seen & _RULE), bool(seen & _TELLING)
+        topics = sum(w not in _TOPICLESS and w not in asked_set and w not in common for w in set(tokens))
         third = bool(re.match(r"(?:the authors|it does|they |he |she |the paper says)", part.lower()))
         for name, is_on in (
             ("speaker", speaker), ("denial", denial), ("ability", ability), ("sorry", bool(seen & _SORRY)), ("context", context), ("courtesy", len(seen & _COURTESY) >= 2 or (bool(seen & _COURTESY) and len(words) <= 6)),
-            ("opener", said.startswith(_OPENERS)), ("speaker_denial", speaker and denial), ("denial_ability", denial and ability and not third), ("denial_context", denial and context and len(words) <= 14),
+            ("opener", plain.startswith(_OPENERS)), ("speaker_denial", speaker and denial), ("denial_ability", denial and ability and not third), ("denial_context", denial and context and len(words) <= 14),
             ("speaker_ability", speaker and ability), ("third_person", third), ("long", size > 14), ("short", size <= 4), ("name_only", len(words) <= 2 and part.endswith(":")), ("after_answer", i > 0),
+            ("knowing", knowing), ("rule", rule), ("telling", telling), ("topicless", not topics), ("one_topic", topics == 1), ("speaker_knowing", speaker and knowing), ("speaker_rule", speaker and rule), ("denial_telling", denial and telling and not third),
+            ("denial_this", denial and bool(seen & _THIS)), ("topicless_denial", not topics and denial), ("topicless_rule", not topics and rule), ("one_topic_denial_context", topics == 1 and denial and context), ("only_hanging", len(parts) == 1 and "hanging" in on), ("topicless_other_language", not topics and "other_language" in on),
         ):
             if is_on:
                 on.add(name)
@@ -283,9 +310,9 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 _NOUNS = "engine valve river bridge market index table method model soil crop signal filter sample paper theory region window letter city".split()
 _SAYS = {
     "en": ("The {a} of the {b} is measured before the {c} is used.", "We find that each {a} depends on the {b}.", "There is a strong {a} between the {b} and the {c}.", "In this case the {a} was not better than the {b}.", "It drops to 7.3 after the {a} is changed.", "To reduce the {a}, every {b} is tested twice.", "I found the {a} part hard to read, and the {b} is used only once.", "Both N1 and N2 rely on a {a}, but only the latter keeps its {b}.", "No {a} was used twice unless its {b} had changed.", "You could also ask why the {a} is never used with the {b}.", "The authors of N1 report a {a} of 7.3 but the {b} remains open.", "It is not clear whether the {a} changes the {b} used in the {c}."),
-    "de": ("Wir zeigen, dass das {a} bei der Suche nach dem {b} hilft.", "Daher ist das {a} für die {b} nicht zu groß.", "Im Vergleich zu N1 wird das {a} um 3 Prozent kleiner.", "Auch ohne das {a} bleibt das {b} auf dem N2 gleich."),
-    "fr": ("Nous pensons que le {a} est plus grand que le {b} dans cette région.", "Par rapport à N1, le {a} ne change pas avec le {b}.", "Cette partie montre comment le {a} est mesuré sur la {b}.", "Les auteurs pensent que le {a} et la {b} sont liés."),
-    "es": ("El {a} no es más grande que la {b} en esta región.", "Por eso un {a} no basta para una {b} grande.", "En comparación con N1, el {a} cambia el {b} en la mayoría.", "Los autores creen que el {a} y el {b} son iguales."),
+    "de": ("Wir zeigen, dass das {a} bei der Suche nach dem {b} hilft.", "Daher ist das {a} für die {b} nicht zu groß.", "Im Vergleich zu N1 wird das {a} um 3 Prozent kleiner.", "Auch ohne das {a} bleibt das {b} auf dem N2 gleich.", "Der Text sagt nicht, wie das {a} mit dem {b} hilft, aber das ist erlaubt."),
+    "fr": ("Nous pensons que le {a} est plus grand que le {b} dans cette région.", "Par rapport à N1, le {a} ne change pas avec le {b}.", "Cette partie montre comment le {a} est mesuré sur la {b}.", "Les auteurs pensent que le {a} et la {b} sont liés.", "Le document ne modifie pas le {a} lorsque la {b} n'est pas trop grande.", "Rien ne change dans le texte de la {a}, mais le {b} aide à répondre."),
+    "es": ("El {a} no es más grande que la {b} en esta región.", "Por eso un {a} no basta para una {b} grande.", "En comparación con N1, el {a} cambia el {b} en la mayoría.", "Los autores creen que el {a} y el {b} son iguales.", "El texto no dice nada de la {a}, pero el {b} no cambia."),
     "zh": ("我们发现河流能够改变城市的结果。", "因此新的方法并不适合大的市场。", "本节说明如何用模型来改进样本。"),
 }
 _ASKS = {
@@ -295,20 +322,41 @@ _ASKS = {
     "es": ("¿Qué papel tiene el {a} en N1 y por qué?", "¿Cómo se mide el {a} en la {b}?"),
     "zh": ("为什么我们在城市的市场上没有新的方法？",),
 }
+#: Forms of refusals; {x|y} takes one of its parts.
 _REFUSALS = (
-    "I cannot answer this from what I was given.", "I do not know.", "I can't help with this.", "No answer is possible.", "No answer can be given.", "No answer is possible.", "I am unable to say anything about the {a}.", "N1 is not mentioned in the context.", "The passages do not contain enough information.",
-    "I must decline.", "I would rather not guess.", "It is not possible for me to respond.", "I don't have access to the {a}.", "This lies outside of what I may discuss.", "There is nothing that lets me say how N1 works.", "The sources are silent on N1 and I won't guess.",
-    "I have to leave this question open.", "I am not able to comment on the {a}.", "The documents do not say.", "The information is insufficient to answer this.", "Das kann ich leider nicht beantworten.", "Je ne sais pas répondre à cette question.", "No puedo responder a esta pregunta.",
+    "I {cannot|can't|am unable to|am not able to|won't|could not|must decline to|would rather not} {answer|say|tell|help with|comment on|respond to|speak to|discuss|judge} {this|that|it|your question|the {a}|N1}.",
+    "{There is|There's} {no|not enough|too little} {information|context|material|detail} {here|in the text|in the sources|to answer this|on the {a}}.",
+    "The {passages|documents|sources|excerpts} {do not|don't} {say|mention|cover|contain|discuss} {this|it|the {a}|anything on N1|enough information}.",
+    "The {context|text|material|passage} {does not|doesn't} {say|mention|cover|contain|state} {this|it|the {a}|how N1 works|the answer}.",
+    "I {have no|lack} {access to|knowledge of|information on|opinion on} {this|that|the {a}|N1}.",
+    "{This|That|It|Your question} {is|lies|falls} {outside|beyond} {of what I may discuss|my scope|my remit|the given text|what I can judge}.",
+    "{Nothing|None of it} in the {passages|context|documents|sources} {says|tells me|explains|covers|mentions} {this|it|how N1 works|the {a}}.",
+    "{My rules|The rules I follow|My instructions} {do not allow|prevent} {an answer|an answer to this|that}.",
+    "I am {not|no longer} {allowed|permitted} to {answer|discuss|say} {this|that|it}.",
+    "No {answer|reply|statement} {is possible|can be given|can be made}{| here| from the text}.", "No {answer|reply} {is possible|can be given}.",
+    "The answer {is not given|cannot be found|is nowhere stated|cannot be determined} {in|from} the {text|context|passages}.",
+    "I {do not|don't} know{| this| the answer| that}.", "I am not {sure|certain}{| about this| about the {a}}.", "{This|The answer} is {unknown|unclear} to me.", "N1 is not mentioned in the {context|passages|text}.",
+    "{I must pass|I have to leave this question open|I must decline|I'd rather not guess}.", "It is not possible {for me to respond|to say|to answer this}.", "The sources are silent on {N1|this} and I won't guess.", "The information is insufficient{| to answer this}.",
+    "Das kann ich {leider nicht|nicht} {beantworten|sagen}.", "{Dazu|Darüber} {weiß ich nichts|kann ich nichts sagen}.", "Der Text sagt {dazu nichts|das nicht}.", "Je ne {sais pas répondre à cette question|peux pas répondre|sais pas}.", "Le texte ne dit {rien|pas cela}.", "No puedo {responder a esta pregunta|decir nada}.", "No {lo sé|sé responder}.",
 )
 _OPENING = ("I'm sorry, but ", "Unfortunately, ", "With regret, ", "As a language model, ", "Based on the given context, ", "After reading the text, ", "Hm, ", "", "", "")
-_BEFORE = ("Sorry.", "Thank you for asking.", "My apologies:")
-_AFTER = ("I hope you understand.", "Please consult the paper instead.", "Is there anything else you would like to know?", "Please ask another question.", "You could look at the paper instead.")
+_BEFORE = ("Sorry.", "{Thank you|Thanks} for {asking|the question}.", "My apologies:", "I'm afraid not.")
+_AFTER = ("I hope you understand.", "Please {consult|see|ask} the {authors|paper|original text|{a}}{| instead}.", "Is there anything else you would like to know?", "{Please ask|Try} another question.", "You could look at the {paper|sources|{a}} instead.")
 _BRIEF = ("A new {a}.", "N1.", "Yes.", "No, it does not.", "12.5 points.", "Mainly through the {a} of N1.", "A {a}", "It drops to 7.3", "Mainly through the {a} of N1", "The paper says that N1 slowly changes the {a}", "In N1 the {a} is used before the {b}", "N1 changes the {a} by means of a new {b}")
-_DECOYS = ("The authors cannot answer why the {a} fails and are sorry about the missing {b}.", "It does not know the {a} in advance, so nothing can be said before the {b}.", "They do not know the {a} and leave the {b} open.", "The paper leaves the {a} open.", "The method cannot help with the {a} without any {b}.")
+_DECOYS = (
+    "The authors cannot answer why the {a} fails and are sorry about the missing {b}.", "It does not know the {a} in advance, so nothing can be said before the {b}.", "They do not know the {a} and leave the {b} open.", "The paper leaves the {a} open.", "The method cannot help with the {a} without any {b}.",
+    "Nothing in the {a} changes the {b}.", "No {a} contains the {b} of N1.", "The {a} lies outside the {b}.", "The paper does not say whether the {a} changes the {b}, but N1 keeps it.", "The rules of N1 forbid a second {a}.", "The context of the {a} is not enough for the {b}.", "The {a} lacks a {b} and cannot respond to the {c}.",
+    "My reading is that the {a} drives the {b}.", "I think the {a} is not too small for the {b}.", "We cannot compare the {a} with N1, but the {b} is smaller.", "The policy of the {a} is not known before the {b}.", "A {a} beyond the {b} is not supported by N1.", "It is unknown which {a} the {b} used, yet N1 found it.", "The question of the {a} is answered by the {b}, not by N1.",
+)
 _CUTS = ("This is due to the", "For example, the {a}", "It uses:\n```\nfor x in", "The {a} is made by the same rule, i.e.", "(see the {a}, cf.", "The paper states: “The {a} is never used, and the [")
 
 
+_CHOICE = re.compile(r"\{([^{}]*(?:\{[abc]\}[^{}]*)*\|[^{}]*(?:\{[abc]\}[^{}]*)*)\}")
+
+
 def _filled(rng: random.Random, pattern: str) -> str:
+    while _CHOICE.search(pattern):
+        pattern = _CHOICE.sub(lambda m: rng.choice(m.group(1).split("|")), pattern, count=1)
     names = [rng.choice("BDGKLMPRST") + "".join(rng.choice(["ra", "lo", "mi", "ku", "ste", "vor"]) for _ in range(3)) for _ in range(2)]
     text = pattern
     for slot in "abc":
@@ -365,9 +413,9 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[str, int]], str]:
         opening = rng.choice(_OPENING)
         parts = [(opening + (core[0].lower() + core[1:] if opening and not core.startswith(("I ", "N")) else core), REFUSAL)]
         if not opening and rng.random() < 0.5:
-            parts = [(rng.choice(_BEFORE), REFUSAL), *parts]
+            parts = [(_filled(rng, rng.choice(_BEFORE)), REFUSAL), *parts]
         if rng.random() < 0.5:
-            parts.append((rng.choice(_AFTER), REFUSAL))
+            parts.append((_filled(rng, rng.choice(_AFTER)), REFUSAL))
         return question, parts, " "
     if kind == 9:
         other = rng.choice([x for x in _SAYS if x != lang])
@@ -385,7 +433,12 @@ def _example(rng: random.Random) -> tuple[str, list[tuple[str, int]], str]:
         else:
             cut = text[: max(4, len(text) // 2)]
         cut += rng.choice(["", "", "", "", "…", "...", " …", ",", " ("])
-        return question, [*say(1), *body[:-1], (cut, UNFINISHED)], " "
+        before = [*say(1), *body[:-1]]
+        # A clause alone is known to be cut by a word that can't be its last.
+        ends = [i for i, w in enumerate(words) if i and w.lower() in _HANGING]
+        if lang != "zh" and ends and rng.random() < 0.35:
+            before, cut = [], " ".join(words[: rng.choice(ends) + 1])
+        return question, [*before, (cut, UNFINISHED)], " "
     style = rng.randrange(3)
     if style:
         return question, [*body, *[(x, UNFINISHED if i else ANSWER) for i, x in enumerate(["", *_filled(rng, rng.choice(_CUTS)).split("\n")]) if x]], " "
@@ -412,27 +465,34 @@ def train(common: dict[str, tuple[str, ...]], examples: int = EXAMPLES, seed: in
     return Crf().fit(data)
 
 
+def coverage(parts: list[str], tags: list[int]) -> tuple[list[int], list[int]]:
+    """The characters that each tag covers, and those up to the end that it
+    covers without another between."""
+    size, tail = [0] * len(TAGS), [0] * len(TAGS)
+    for p, t in zip(parts, tags):
+        size[t] += len(p)
+    for p, t in zip(parts[::-1], tags[::-1]):
+        if t != tags[-1]:
+            break
+        tail[t] += len(p)
+    return size, tail
+
+
 def defect(question: str | None, answer: str | None, model: Crf, common: dict[str, tuple[str, ...]]) -> tuple[str | None, list[tuple[str, str]]]:
     """The defect of an answer, or None, and its clauses with their tags."""
-    if is_empty(answer):
-        return "empty", []
     parts, rows = features(question, answer, common)
-    if not parts:
-        return "empty", []
-    tags = model.tag(rows)
-    size = [0] * len(TAGS)
-    for p, t in zip(parts, tags):
-        size[t] += len(p)
+    tags = model.tag(rows) if parts else []
+    size, tail = coverage(parts, tags)
     tagged = [(p, TAGS[t]) for p, t in zip(parts, tags)]
-    if size[FOREIGN] > size[ANSWER] + size[REFUSAL] + size[ECHO] + size[UNFINISHED]:
+    whole = sum(size)
+    if not whole:
+        return "empty", tagged
+    if size[FOREIGN] * 2 > whole:
         return "language", tagged
-    if tags[-1] == UNFINISHED:
+    if tail[UNFINISHED]:
         return "truncated", tagged
     if not size[ANSWER]:
-        if size[REFUSAL]:
-            return "refusal", tagged
-        if size[ECHO]:
-            return "copy", tagged
+        return "refusal" if size[REFUSAL] else "copy" if size[ECHO] else None, tagged
     return None, tagged
 
 

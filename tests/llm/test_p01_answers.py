@@ -71,3 +71,30 @@ def test_defined_results(spark):
     got = {r.record_id: r.defect for r in p1.defects(df, "record_id", "question", "answer", words).collect()}
     assert got == {1: None, 2: "empty", 3: "empty", 4: None}
     assert p1.defects(df.limit(0), "record_id", "question", "answer", words).count() == 0
+
+
+#: None of these is a form of the grammar.
+REFUSALS = (
+    "I have no idea.", "That is beyond my knowledge.", "Nothing in the supplied text addresses this.", "My guidelines forbid replying to that.", "I'm afraid I don't have an answer to that.", "Sorry, this isn't something I can speak to.", "The given documents are silent about it.",
+    "I wouldn't know.", "No information about this could be found in the excerpts.", "I am not in a position to tell.", "It is impossible to say from the provided passages.", "My policy prohibits me from commenting.", "I haven't got a clue.", "The retrieved text provides no answer to your question.",
+    "Unfortunately, I lack the information to respond.", "I refuse to answer.", "There is nothing about this in the sources.", "Ich habe dazu keine Informationen.", "Je n'ai aucune idée.", "No tengo información sobre esto.",
+)
+SOUND = (
+    "The winch of Kelmor has no rope beyond the anchor.", "Nothing but the weight of the rope.", "The rules of the harbour forbid a second winch.", "It isn't the anchor but the rope that gives way first.", "The anchor cannot hold without a chain.", "Ships avoid the route, as no signal reaches it.", "The answer lies in the weight of the winch.",
+    "Neither the rope nor the winch, only the tide.", "I measured the rope, and it was too short for the winch.", "The crew do not know the route before the tide turns.", "My guess is the tide, since the winch is strong enough.", "Its policy allows only one ship at a time.", "The text of the treaty limits each ship to one anchor.", "No", "Not much", "About twelve metres of chain",
+)
+
+
+def test_refusals_in_other_words(model):
+    missed = [t for t in REFUSALS if p1.defect(QUESTION, t, model, COMMON)[0] != "refusal"]
+    assert len(missed) <= 2, missed
+
+
+def test_sound_answers_with_like_words(model):
+    wrong = [t for t in SOUND if p1.defect(QUESTION, t, model, COMMON)[0] is not None]
+    assert len(wrong) <= 1, wrong
+
+
+@pytest.mark.parametrize("answer", ["The parser is limited by", "The rope is used by the", "It depends on whether the"])
+def test_a_clause_alone_can_be_cut(model, answer):
+    assert p1.defect(QUESTION, answer, model, COMMON)[0] == "truncated"
