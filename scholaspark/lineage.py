@@ -12,6 +12,8 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scholaspark.tables import settled
+
 #: Tables of this process that are still there.
 _made: list[str] = []
 
@@ -21,6 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     checkpoint folder. Where both are unset and all runs on one machine, as in
     tests, a temporary folder is made for the session; a cluster must name one.
     """
+    settled(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         master = spark.sparkContext.master

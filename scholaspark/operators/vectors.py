@@ -40,6 +40,10 @@ def _summed(slots: pd.Series, signs: pd.Series, dim: pd.Series) -> pd.Series:
     return pd.Series(found)
 
 
+#: Digits of a score; beyond them the order of additions would decide ties.
+DIGITS = 12
+
+
 def search(vectors: DataFrame, queries: DataFrame, top_k: int = 5, id_column: str = "id", vector_column: str = "embedding", query_column: str = "query_id") -> DataFrame:
     """(query_id, id, score, rank): the exact top_k of each query by cosine.
 
@@ -101,7 +105,7 @@ def _scorer(sent, top_k: int, kinds: tuple):
                     part = rows[first : first + 4096]
                     v = flat[starts[part][:, None] + np.arange(d)]
                     norm = np.linalg.norm(v, axis=1)
-                    scores = (v / np.where(norm > 0, norm, 1.0)[:, None]) @ matrix.T
+                    scores = np.round((v / np.where(norm > 0, norm, 1.0)[:, None]) @ matrix.T, DIGITS)
                     keep = min(top_k, len(part))
                     for j, q in enumerate(names):
                         s = scores[:, j]
@@ -121,7 +125,9 @@ class VectorIndex:
     only through the cells near a query.
 
     The centres are fitted on a sample of bounded size (``SAMPLE`` rows, by hash
-    of the id); every vector is indexed. A cell of more than ``SLICE`` vectors is
+    of the id), and so is how many cells a search must look through: as many as
+    hold ``AIM`` of the true neighbours of ``TRIED`` vectors of the sample. Every
+    vector is indexed. A cell of more than ``SLICE`` vectors is
     searched in slices, and the queries of a cell are a table like the vectors,
     so neither side passes through the driver. Null vectors and vectors of
     another length than most of the sample are not indexed.
@@ -129,9 +135,11 @@ class VectorIndex:
 
     SAMPLE = 20_000
     SLICE = 50_000
+    TRIED = 300
+    AIM = 0.97
 
-    def __init__(self, cells: DataFrame, centres: np.ndarray, id_kind: str):
-        self.cells, self.centres, self.id_kind = cells, centres, id_kind
+    def __init__(self, cells: DataFrame, centres: np.ndarray, id_kind: str, probes: int):
+        self.cells, self.centres, self.id_kind, self.probes = cells, centres, id_kind, probes
 
     @classmethod
     def build(cls, vectors: DataFrame, id_column: str = "id", vector_column: str = "embedding", cells: int | None = None, rounds: int = 10) -> VectorIndex:
@@ -150,11 +158,24 @@ class VectorIndex:
             counts = np.bincount(own, minlength=len(centres))
             centres = _unit(np.where(counts[:, None] > 0, sums, centres))
         id_kind = dict(vectors.dtypes)[id_column]
-        return cls(cut(_celled(rows.where(F.size("v") == dim), centres, 1, id_kind)), centres, id_kind)
+        return cls(cut(_celled(rows.where(F.size("v") == dim), centres, 1, id_kind)), centres, id_kind, cls._probes(x, centres))
 
-    def search(self, queries: DataFrame, top_k: int = 5, probes: int = 8, query_column: str = "query_id") -> DataFrame:
+    @classmethod
+    def _probes(cls, x: np.ndarray, centres: np.ndarray, near: int = 10) -> int:
+        """In how many of a vector's nearest cells its neighbours lie."""
+        if len(x) < 2:
+            return 1
+        own = _nearest(x, centres, 1)[:, 0]
+        tried = x[np.unique(np.linspace(0, len(x) - 1, cls.TRIED).astype(int))]
+        order = np.argsort(_nearest(tried, centres, len(centres)), axis=1)
+        found = _nearest(tried, x, min(near, len(x)))
+        places = np.take_along_axis(order, own[found], axis=1)
+        return int(np.quantile(places, cls.AIM)) + 1
+
+    def search(self, queries: DataFrame, top_k: int = 5, probes: int | None = None, query_column: str = "query_id") -> DataFrame:
         """(query_id, id, score, rank): the top_k of each query by cosine among
-        the vectors of its ``probes`` nearest cells; ties go to the smaller id."""
+        the vectors of its nearest cells; ties go to the smaller id."""
+        probes = probes or self.probes
         kind = dict(queries.dtypes)[query_column]
         asked = queries.select(F.col(query_column).alias("id"), F.col("embedding").cast("array<float>").alias("v")).where("id is not null and v is not null")
         asked = _celled(asked.where(F.size("v") == self.centres.shape[1]), self.centres, probes, kind).withColumnRenamed("id", "q")
@@ -170,7 +191,7 @@ class VectorIndex:
                 x = _unit(np.stack(left["v"].to_numpy()).astype(np.float64))
                 for first in range(0, len(right), 256):
                     some = right.iloc[first : first + 256]
-                    scores = _unit(np.stack(some["v"].to_numpy()).astype(np.float64)) @ x.T
+                    scores = np.round(_unit(np.stack(some["v"].to_numpy()).astype(np.float64)) @ x.T, DIGITS)
                     keep = min(top_k, len(left))
                     for q, s in zip(some["q"], scores):
                         near = np.flatnonzero(s >= np.partition(s, -keep)[-keep])

@@ -25,6 +25,7 @@ from scholaspark.operators import retrieval as R
 from scholaspark.operators.models import Model, judged
 from scholaspark.operators.vectors import VectorIndex
 from scholaspark.sources import files as S
+from scholaspark.tables import settled
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ class Workspace:
     """The tables of one folder, and the models they are made with."""
 
     def __init__(self, spark: SparkSession, folder: str, models: Models | None = None):
-        self.spark, self.folder, self.models = spark, folder.rstrip("/"), models or Models()
+        self.spark, self.folder, self.models = settled(spark), folder.rstrip("/"), models or Models()
 
     def has(self, name: str) -> bool:
         return S._matches(self.spark, f"{self.folder}/{name}/*")

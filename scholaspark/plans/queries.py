@@ -466,42 +466,81 @@ def _questions(spark, d) -> DataFrame:
     return B.questions_of(table(spark, d, "eval_questions")).withColumnRenamed("question_id", "query_id")
 
 
-def _vectors(spark, d) -> DataFrame:
-    return R.embedded(_chunks(spark, d).where("text is not null"), "chunk_id", "text", "chunk_id")
+def _letters(text):
+    """An embedding that SQL can say too: how often each letter stands in a text."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*((F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("float") for c in "abcdefghijklmnopqrstuvwxyz"))
 
 
-@query()
+def _letters_sql(c: str) -> str:
+    return f"list_transform({list('abcdefghijklmnopqrstuvwxyz')}, lambda c: CAST(length(lower(coalesce({c}, ''))) - length(replace(lower(coalesce({c}, '')), c, '')) AS DOUBLE))"
+
+
+_QUESTIONS = "question AS (SELECT question_id AS query_id, trim(question) AS question FROM eval_questions WHERE trim(coalesce(question, '')) <> '' QUALIFY row_number() OVER (PARTITION BY lower(trim(question)) ORDER BY question_id) = 1)"
+
+
+def _nearest(what: str, key: str, text: str, k: int) -> str:
+    """The k nearest of a table's texts to each question."""
+    return f"""asked_{what} AS (SELECT query_id, {_letters_sql('question')} AS v FROM question), known_{what} AS (SELECT {key}, {_letters_sql(text)} AS v FROM {what}),
+scored_{what} AS (SELECT query_id, {key}, CASE WHEN list_sum(k.v) = 0 OR list_sum(a.v) = 0 THEN 0.0 ELSE list_dot_product(k.v, a.v) / sqrt(list_dot_product(k.v, k.v)) / sqrt(list_dot_product(a.v, a.v)) END AS score FROM asked_{what} a CROSS JOIN known_{what} k),
+near_{what} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, {key}) AS INTEGER) AS rank FROM scored_{what} QUALIFY rank <= {k})"""
+
+
+_TEXTS = f"{_CHUNKS}, known_chunks AS (SELECT chunk_id, text FROM first_chunks WHERE text IS NOT NULL)"
+_HOP = "reached AS (SELECT query_id, node_id FROM seeds UNION SELECT query_id, dst FROM seeds JOIN edges ON src = node_id), line AS (SELECT e.query_id, x.label || ' --[' || coalesce(relation_type, 'related_to') || ']--> ' || y.label AS line FROM edges JOIN reached e ON e.node_id = src JOIN reached f ON f.node_id = dst AND f.query_id = e.query_id JOIN nodes x ON x.node_id = src JOIN nodes y ON y.node_id = dst)"
+
+
+def _vectors(spark, d, embed=_letters) -> DataFrame:
+    return R.embedded(_chunks(spark, d).where("text is not null"), "chunk_id", "text", "chunk_id", embed)
+
+
+@query(f"WITH {_TEXTS}, {_QUESTIONS}, {_nearest('known_chunks', 'chunk_id', 'text', 5)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM near_known_chunks")
 def search_vector(spark, d):
-    return R.vector_search(_questions(spark, d), _vectors(spark, d))
+    found = R.vector_search(_questions(spark, d), _vectors(spark, d), embed=_letters)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(f"""WITH {_FULL}, {_TEXTS}, {_QUESTIONS}, {_nearest('known_chunks', 'chunk_id', 'text', 5)},
+about AS (SELECT DISTINCT chunk AS chunk_id, lower(unnest([source, target])) AS node_id FROM relation_row WHERE source <> '' AND target <> '' AND chunk <> ''),
+seeds AS (SELECT DISTINCT query_id, node_id FROM near_known_chunks JOIN about USING (chunk_id)), {_HOP},
+part AS (SELECT query_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) FILTER (WHERE coalesce(text, '') <> '') AS texts FROM near_known_chunks JOIN first_chunks USING (chunk_id) GROUP BY query_id),
+told AS (SELECT query_id, string_agg(line, chr(10) ORDER BY line) AS lines FROM line GROUP BY query_id)
+SELECT query_id, md5(coalesce(concat_ws(chr(10) || chr(10), texts, lines), '')) AS digest FROM question LEFT JOIN part USING (query_id) LEFT JOIN told USING (query_id)""")
 def search_local(spark, d):
+    """The contexts of local search, as digests."""
     nodes, edges = _graph(spark, d)
-    found = R.local_search(_questions(spark, d), _vectors(spark, d), G.chunk_entities(_extractions(spark, d), _order()), nodes, edges)
-    return R.contexts(_questions(spark, d), _chunks(spark, d), found)
+    found = R.local_search(_questions(spark, d), _vectors(spark, d), G.chunk_entities(_extractions(spark, d), _order()), nodes, edges, embed=_letters)
+    return R.contexts(_questions(spark, d), _chunks(spark, d), found).select("query_id", F.md5("context").alias("digest"))
 
 
-@query()
+@query(f"WITH {_FULL}, {_QUESTIONS}, {_nearest('nodes', 'node_id', 'label', 5)}, seeds AS (SELECT query_id, node_id FROM near_nodes), {_HOP} SELECT query_id, line FROM line")
 def search_graph_only(spark, d):
     nodes, edges = _graph(spark, d)
-    return R.graph_only_search(_questions(spark, d), nodes, edges)["context"].select("query_id", "line")
+    return R.graph_only_search(_questions(spark, d), nodes, edges, embed=_letters)["context"].select("query_id", "line")
 
 
-def _communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    members = cut(CO.detect(nodes, edges))
-    return cut(CO.community_table(members, CO.summarise(members, nodes, edges)))
+_SUMMARIES = """top AS (SELECT community, size, label, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node_id) AS rank FROM member JOIN degree USING (node_id) JOIN nodes USING (node_id)),
+summaries AS (SELECT community AS community_id, 'A community of ' || size || ' entities around ' || string_agg(label, ', ' ORDER BY rank) || '.' AS summary FROM top WHERE rank <= 5 GROUP BY community, size)"""
 
 
-@query()
+@query(f"{_PARTS}, {_SUMMARIES}, {_QUESTIONS}, {_nearest('summaries', 'community_id', 'summary', 3)} SELECT query_id, community_id, round(score, 6) AS score, rank, summary FROM near_summaries JOIN summaries USING (community_id)")
 def search_global(spark, d):
-    return R.global_search(_questions(spark, d), _communities(*_graph(spark, d)))["summaries"]
+    """Global search over the summaries of the connected parts."""
+    nodes, edges, members = _parts(spark, d)
+    known = cut(CO.community_table(members, CO.summarise(members, nodes, edges)))
+    found = R.global_search(_questions(spark, d), known, embed=_letters)["summaries"]
+    return found.select("query_id", "community_id", F.round("score", 6).alias("score"), "rank", "summary")
+
+
+def _communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    members = cut(CO.detect(nodes, edges))
+    return cut(CO.community_table(members, CO.summarise(members, nodes, edges)))
 
 
 @query()
 def search_hybrid(spark, d):
     nodes, edges = _graph(spark, d)
-    found = R.hybrid_search(_questions(spark, d), _vectors(spark, d), G.chunk_entities(_extractions(spark, d), _order()), nodes, edges, _communities(nodes, edges))
+    found = R.hybrid_search(_questions(spark, d), _vectors(spark, d, V.hashed_embedding), G.chunk_entities(_extractions(spark, d), _order()), nodes, edges, _communities(nodes, edges))
     asked = R.contexts(_questions(spark, d), _chunks(spark, d), found)
     return R.extractive_answers(cut(asked))
 

@@ -32,3 +32,9 @@ def test_numbered_is_the_order(spark):
     want = {r[:2]: i for i, r in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1)}
     assert {(r.a, r.b): r.place for r in got} == want
     assert lineage.numbered(df.limit(0), ["a"], "place").count() == 0
+
+
+def test_unions_do_not_pass_on_partitioning(spark):
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    lineage.cut(spark.range(2))
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
