@@ -30,8 +30,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scholaspark.llm.common import WORD, bounded_rows, table
+from scholaspark.operators.documents import first_loads
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -522,17 +524,18 @@ def defects(records: DataFrame, key: str, question: str, answer: str, words: Dat
     return source.mapInArrow(run, "record_id long, defect string, clauses array<struct<text string, tag string>>")
 
 
-def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defects(table(spark, sf_dir, "eval_records"), "record_id", "question", "answer", table(spark, sf_dir, "common_words"))
+def _defects(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataFrame:
+    return defects(records, "record_id", "question", "answer", table(spark, sf_dir, "common_words"))
 
 
 def p1_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with its clauses, their tags and its defect."""
-    return _defects(spark, sf_dir).dropDuplicates(["record_id"])
+    records = table(spark, sf_dir, "eval_records").select("record_id", "question", "answer", "loaded_at")
+    return _defects(spark, sf_dir, first_loads(records, ["record_id"], [F.col("loaded_at"), F.xxhash64("answer")]))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _defects(spark, sf_dir).where("defect is not null").select("record_id", "defect").distinct()
+    return _defects(spark, sf_dir, table(spark, sf_dir, "eval_records")).where("defect is not null").select("record_id", "defect").distinct()
 
 
 QUERIES = {"p1_clauses": p1_clauses, "p1_found": p1_found}

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholaspark.llm.common import table
+from scholaspark.operators.documents import first_loads
 
 KINDS = ("html", "markdown", "wiki", "latex")
 SEED = 5
@@ -587,11 +588,32 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first load of each record, cleaned."""
+    rows = None
+    for name, kind, key, text in _FIELDS:
+        first = first_loads(table(spark, sf_dir, name).select(key, text, "ingested_at"), [key], [F.col("ingested_at"), F.xxhash64(text)])
+        own = cleaned(first, kind, key, text)
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean text of every distinct text of a record (repeated loads keep theirs once)."""
-    a, b = (cleaned(table(spark, sf_dir, name), kind, key, text) for name, kind, key, text in _FIELDS)
-    return a.unionByName(b).dropDuplicates(["record_type", "record_key", "clean_text"])
+    """The clean text and the blocks of every record."""
+    return _clean(spark, sf_dir)
+
+
+def p2_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records without any sign of markup, and what cleaning leaves of them."""
+    rows = _clean(spark, sf_dir).where(~F.coalesce(F.col("clean_text"), F.lit("")).rlike(TRIGGER) & (F.size("markup") == 0))
+    return rows.select("record_type", "record_key", F.md5("clean_text").alias("digest"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_clean": p2_clean, "p2_plain": p2_plain}
+_SIGNS = TRIGGER.replace("'", "''")
+SQL = {
+    "p2_plain": " UNION ALL ".join(
+        f"SELECT '{kind}' AS record_type, {key} AS record_key, md5({text}) AS digest FROM (SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY ingested_at) = 1) WHERE NOT regexp_matches(coalesce({text}, ''), '{_SIGNS}')"
+        for name, kind, key, text in _FIELDS
+    )
+}

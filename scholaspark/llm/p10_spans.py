@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholaspark.lineage import step_path
-from scholaspark.llm.common import BROADCAST_LIMIT, table, written
+from scholaspark.llm.common import BROADCAST_LIMIT, components, table, written
 
 MIN_SPAN = 600
 WINDOW = 400
@@ -402,9 +402,23 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(covered, documents, "doc_id", "text").withColumnRenamed("item_id", "doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares}
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that shares a span: the class of all it is linked with
+    over any chain, named by its least id, and its number of links."""
+    pairs = written(p10_found(spark, sf_dir))
+    ends = pairs.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
+    return components(pairs, "doc_id_a", "doc_id_b").toDF("doc_id", "class_id").join(ends, "doc_id").select("doc_id", "class_id", "links")
+
+
+QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p10_classes": p10_classes}
 _GRAMS = "g AS (SELECT doc_id, i, md5(substr(text, i, 600)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 598)) AS i FROM documents WHERE length(text) >= 600))"
 SQL = {
+    "p10_classes": f"""
+WITH RECURSIVE {_GRAMS}, held AS (SELECT DISTINCT doc_id, h FROM g),
+pair AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.h = b.h AND a.doc_id <> b.doc_id),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM pair UNION SELECT reach.doc_id, pair.b FROM reach JOIN pair ON pair.a = reach.other)
+SELECT doc_id, min(other) AS class_id, (SELECT count(*) FROM pair WHERE a = reach.doc_id) AS links FROM reach GROUP BY doc_id
+""",
     "p10_found": f"WITH {_GRAMS} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, h FROM g) a JOIN (SELECT DISTINCT doc_id, h FROM g) b ON a.h = b.h AND a.doc_id < b.doc_id",
     "p10_shares": f"""
 WITH {_GRAMS}, twice AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
