@@ -454,5 +454,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "label").where("name_a < name_b").select("name_a", "name_b").distinct()
 
 
-QUERIES = {"p6_classes": p6_classes, "p6_found": p6_found}
-SQL: dict[str, str] = {}
+def p6_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct spellings of persons (p) and bodies (o) that are compared."""
+    return spellings(*(table(spark, sf_dir, t) for t in ("papers", "extractions")))
+
+
+QUERIES = {"p6_spellings": p6_spellings, "p6_classes": p6_classes, "p6_found": p6_found}
+_IN = "lower(trim(e.entity_type)) IN ({})"
+_QUOTED = [", ".join(f"'{t}'" for t in types) for types in (PERSON_TYPES, BODY_TYPES)]
+SQL = {
+    "p6_spellings": f"""
+WITH each AS (SELECT unnest(entities) AS e FROM extractions),
+named AS (
+  SELECT unnest(authors) AS name, 'p' AS kind FROM papers
+  UNION ALL SELECT e.name, 'p' FROM each WHERE {_IN.format(_QUOTED[0])}
+  UNION ALL SELECT e.name, 'o' FROM each WHERE {_IN.format(_QUOTED[1])}
+)
+SELECT DISTINCT name, kind FROM named WHERE name <> ''
+"""
+}
