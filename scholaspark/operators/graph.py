@@ -73,6 +73,13 @@ def edge_weights(extractions: DataFrame, order: list[Column]) -> DataFrame:
     return found.select("src", "dst", "first.relation_type", "first.description", "weight", "n_chunks")
 
 
+def edge_chunks(extractions: DataFrame, order: list[Column]) -> DataFrame:
+    """(src, dst, chunk_id, n): the chunks that an edge comes from, and how often,
+    as rows; for edges whose chunk_ids are too many for one."""
+    rows = relation_mentions(extractions, order).where("chunk_id <> ''")
+    return rows.groupBy("src", "dst", "chunk_id").agg(F.count("*").alias("n"))
+
+
 def chunk_entities(extractions: DataFrame, order: list[Column]) -> DataFrame:
     """(chunk_id, node_id): the ends of the edges that a chunk supports."""
     rows = relation_mentions(extractions, order).where("chunk_id <> ''")

@@ -320,6 +320,11 @@ def graph_edge_attributes(spark, d):
     return G.edges(_extractions(spark, d), _order()).withColumn("chunk_ids", F.array_join("chunk_ids", " "))
 
 
+@query(f"{_GRAPH} SELECT lower(source) AS src, lower(target) AS dst, chunk AS chunk_id, count(*) AS n FROM relation WHERE source <> '' AND target <> '' AND chunk <> '' GROUP BY ALL")
+def graph_edge_chunks(spark, d):
+    return G.edge_chunks(_extractions(spark, d), _order())
+
+
 @query(f"{_GRAPH.replace('FROM extractions QUALIFY', 'FROM extractions WHERE coalesce(status, ' + repr('ok') + ') IN (' + repr('ok') + ', ' + repr('fallback_success') + ') QUALIFY')} SELECT * FROM edge")
 def topology_edges(spark, d):
     return G.edge_weights(G.good_only(_extractions(spark, d)), _order()).select("src", "dst", "weight", "n_chunks")
