@@ -72,6 +72,7 @@ _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 _PAGE = re.compile(r"^\s*(?:\[?\(?(\d{1,4})\)?\]?|[pP](?:age|\.|g\.)? ?(\d{1,4})(?: ?(?:of|/) ?\d{1,4})?|[–—-]{1,2} ?(\d{1,4}|[ivxlc]{1,7}) ?[–—-]{1,2}|(?=[ivxlc])(x{0,3}(?:ix|iv|v?i{0,3}))|Seite (\d{1,4})|\d{1,4} ?/ ?\d{1,4})\s*$")
 _BESIDE = re.compile(r"^(\S.*?\S)(?:\s{2,}|\s*\|\s*)(\d{1,4}|[ivxlc]{1,6})\s*$|^(\d{1,4}|[ivxlc]{1,6})(?:\s{2,}|\s*\|\s*)(\S.*?\S)\s*$")
 _BREAK = re.compile(r"([^\W\d_]{2,})-$")
+_FOLLOW = re.compile(r"\s*([^\W\d_]{2,})")
 _MARKUP = set("<>{}|\\`=#*_$&/[]")
 
 
@@ -82,7 +83,9 @@ def _page_line(line: str) -> bool:
 
 def _key(line: str) -> str:
     """A line as it may come again: without case, signs and usual misreadings."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", line.lower()) if not unicodedata.combining(c))
+    plain = line.lower()
+    if not plain.isascii():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
     for a, b in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("1", "l"), ("0", "o"), ("5", "s")):
         plain = plain.replace(a, b)
     return re.sub(r"[^\w]+", " ", plain).strip()
@@ -167,9 +170,11 @@ class Layout:
             gap = any(not lines[j].strip() for j in range(a + 1, b))
             if not gap:
                 wrapped += len(lines[a].strip()) >= 25
-            m = _BREAK.search(lines[a].rstrip())
-            follow = re.match(r"\s*([^\W\d_]{2,})", lines[b])
-            if m and follow and not gap:
+            above = lines[a].rstrip()
+            if gap or not above.endswith("-"):
+                continue
+            m, follow = _BREAK.search(above), _FOLLOW.match(lines[b])
+            if m and follow:
                 self.breaks.append((a, b, m.group(1), follow.group(1)))
         self.wrapped = wrapped >= 3
 
@@ -221,7 +226,8 @@ def words_of(layout: Layout) -> Counter:
             parts.append(line[:-1])
         else:
             parts.append(line + "\n")
-    return Counter(w for w in _WORD.findall("".join(parts).lower()) if len(w) >= 2)
+    found = Counter(_WORD.findall("".join(parts).lower()))
+    return Counter({w: n for w, n in found.items() if len(w) >= 2})
 
 
 class Trie:
