@@ -46,6 +46,9 @@ PLACEHOLDERS = {"none", "null", "nil", "nan", "n a", "na", "no answer", "not ava
 FRAMES = {"answer", "the answer", "the answer is", "response", "reply", "a", "final answer", "assistant", "output", "result", "antwort", "réponse", "respuesta", "答案", "回答"}
 ECHO_FRAMES = ("you asked", "the question is", "question", "q", "your question", "i was asked", "the user asks", "frage", "die frage", "la question", "pregunta", "la pregunta", "asked")
 
+_ECHO_STARTS = tuple(f + " " for f in ECHO_FRAMES if len(f) > 1)
+_FRAMED = {f"{f} {p}" for f in FRAMES for p in PLACEHOLDERS}
+
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _CLAUSE = re.compile(r"(?<=[.!?:…])[\"”»')\]]*\s+|(?<=[。！？；：])|\n+")
 _CITATION = re.compile(r"(?:\s*(?:\[\d+(?:, ?\d+)*\]|\((?:see|cf\.?|Table|Figure|Section|siehe|voir|véase)\b[^()]*\)))+\s*$")
@@ -67,6 +70,9 @@ _OPENERS = ("as a language model", "based on the", "after reading", "as an ai",
 _HANGING = set("the a an of and or to in on with by for from that which its their is are was were be as at but not nor than if when while because into between each every this these those and der die das den dem ein eine und oder mit von für bei zu auf le la les un une et ou de des du dans sur avec par pour que qui el los las y o en con por del se whose it they where has have had no any some such".split())
 
 
+_HAN = re.compile("[一-鿿]")
+
+
 @lru_cache(maxsize=1)
 def _letters() -> dict[str, str]:
     return {"ß": "de", "ä": "de", "ö": "de", "ü": "de", "ñ": "es", "¿": "es", "¡": "es", "ó": "es", "í": "es", "ç": "fr", "è": "fr", "ê": "fr", "à": "fr", "œ": "fr", "ô": "fr"}
@@ -75,15 +81,17 @@ def _letters() -> dict[str, str]:
 def language(text: str, common: dict[str, tuple[str, ...]]) -> str | None:
     """The language that most of the text's common words point to, or None."""
     votes: dict[str, float] = {}
-    han = sum("一" <= c <= "鿿" for c in text)
-    if han * 3 > sum(map(str.isalpha, text)) or han >= 6:
-        return "zh"
-    for word in WORD.findall(text.lower()):
+    lower = text.lower()
+    if not lower.isascii():
+        han = len(_HAN.findall(text))
+        if han >= 6 or (han and han * 3 > sum(map(str.isalpha, text))):
+            return "zh"
+        for ch, lang in _letters().items():
+            if ch in lower:
+                votes[lang] = votes.get(lang, 0.0) + 0.5
+    for word in WORD.findall(lower):
         for lang in (at := common.get(word, ())):
             votes[lang] = votes.get(lang, 0.0) + 1.0 / len(at)
-    for ch, lang in _letters().items():
-        if ch in text.lower():
-            votes[lang] = votes.get(lang, 0.0) + 0.5
     if not votes:
         return None
     best = max(sorted(votes), key=votes.get)
@@ -102,7 +110,7 @@ def said(answer: str | None) -> str:
     or a frame is left."""
     text = _TAG.sub(" ", answer or "")
     plain = bare(text)
-    if plain in PLACEHOLDERS or plain in FRAMES or any(plain == f"{f} {p}" for f in FRAMES for p in PLACEHOLDERS):
+    if plain in PLACEHOLDERS or plain in FRAMES or plain in _FRAMED:
         return ""
     return text
 
@@ -176,7 +184,7 @@ def features(question: str | None, answer: str | None, common: dict[str, tuple[s
             if cover >= 0.75:
                 on.add("covers_question")
         plain = " ".join(words)
-        if plain in ECHO_FRAMES or any(plain.startswith(f + " ") for f in ECHO_FRAMES if len(f) > 1):
+        if plain in ECHO_FRAMES or plain.startswith(_ECHO_STARTS):
             on.add("echo_frame")
         if lang is None or asked_language is None:
             on.add("no_language")
@@ -222,7 +230,7 @@ def features(question: str | None, answer: str | None, common: dict[str, tuple[s
             full_before = True
         if part.endswith(":"):
             promised = max([promised, *(_NUMBERS[w] for w in words if w in _NUMBERS)])
-        size = len(words) + sum("一" <= c <= "鿿" for c in part) // 2
+        size = len(words) + (0 if part.isascii() else len(_HAN.findall(part)) // 2)
         speaker, denial, ability, context = bool(seen & _SPEAKER), bool(seen & _DENIAL) or "n't" in part, bool(seen & _ABILITY), bool(seen & _CONTEXT)
         knowing, rule, telling = bool(seen & _KNOWING), bool(seen & _RULE), bool(seen & _TELLING)
         topics = sum(w not in _TOPICLESS and w not in asked_set and w not in common for w in set(tokens))
