@@ -266,6 +266,7 @@ class Crf:
         x, y, mask = np.zeros((n, size, len(FEATURES))), np.zeros((n, size), int), np.zeros((n, size), bool)
         for i, (rows, tags) in enumerate(data):
             x[i, : len(tags)], y[i, : len(tags)], mask[i, : len(tags)] = rows, tags, True
+        flat = x.reshape(-1, x.shape[2])
         ends = mask.sum(1) - 1
         one = np.eye(k)[y] * mask[..., None]
         every = np.arange(n)
@@ -286,9 +287,9 @@ class Crf:
             for t in range(1, size):
                 on = mask[:, t]
                 both = np.exp(alpha[on, t - 1][:, :, None] + self.step + (score[on, t] + beta[on, t])[:, None, :] - total[on][:, None, None])
-                grad_step += np.einsum("ni,nj->ij", one[on, t - 1], one[on, t]) - both.sum(0)
+                grad_step += one[on, t - 1].T @ one[on, t] - both.sum(0)
             gap = one - margin
-            grads = [np.einsum("ntf,ntk->fk", x, gap), grad_step, gap[:, 0].sum(0), (one[every, ends] - margin[every, ends]).sum(0)]
+            grads = [flat.T @ gap.reshape(-1, k), grad_step, gap[:, 0].sum(0), (one[every, ends] - margin[every, ends]).sum(0)]
             for p, g, (m, v) in zip(self._params(), grads, moment):
                 g = g / n - ridge * p
                 m += 0.1 * (g - m)
